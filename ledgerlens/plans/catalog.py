@@ -172,3 +172,7 @@ def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Round report columns (sums of doubles differ in the last bits between
     engines that add in different orders)."""
     return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
+# Register the other query families (imported for their side effect).
+from . import q_scoring  # noqa: E402,F401
