@@ -176,3 +176,4 @@ def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 
 # Register the other query families (imported for their side effect).
 from . import q_scoring  # noqa: E402,F401
+from . import q_eval  # noqa: E402,F401
