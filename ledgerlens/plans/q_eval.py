@@ -24,7 +24,11 @@ SPLIT_KEYS = ["customer_id", "snapshot_month"]
 
 
 def split_snapshots(spark, sf_dir) -> DataFrame:
-    return SP.stratified_split(snapshots(spark, sf_dir), S.LABEL, SPLIT_KEYS, 0.2, 42)
+    """Snapshot table + stored ``is_test`` column (written once, then read)."""
+    from .catalog import SNAPSHOT_INPUTS
+    from .materialize import materialized
+    return materialized(spark, "snapshot_split", sf_dir, SNAPSHOT_INPUTS,
+                        lambda: SP.stratified_split(snapshots(spark, sf_dir), S.LABEL, SPLIT_KEYS, 0.2, 42))
 
 
 def eval_frame(spark, sf_dir) -> DataFrame:
