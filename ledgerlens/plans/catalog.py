@@ -190,3 +190,5 @@ def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 from . import q_scoring  # noqa: E402,F401
 from . import q_eval  # noqa: E402,F401
 from . import q_models  # noqa: E402,F401
+from . import q_audit  # noqa: E402,F401
+from . import q_stream  # noqa: E402,F401

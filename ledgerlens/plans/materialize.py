@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,25 +39,33 @@ def _input_key(sf_dir: str, inputs: list[str]) -> str:
 
 def materialized(spark: SparkSession, name: str, sf_dir: str, inputs: list[str], build,
                  partition_by: list[str] | None = None) -> DataFrame:
-    """Read table ``name`` for these inputs, writing it first if absent."""
+    """Read table ``name`` for these inputs, writing it first if absent.
+
+    Writers never overwrite: each build goes to its own ``v=<uuid>`` folder and
+    readers take the first complete version (``_SUCCESS`` present), so
+    concurrent jobs and retried builds cannot pull files from under a reader.
+    """
     key = _input_key(sf_dir, inputs)
-    path = warehouse_path(spark, f"{name}/{key}")
+    base = warehouse_path(spark, f"{name}/{key}")
     with _LOCK:
-        if (id(spark), path) not in _KNOWN:
-            if not _exists(spark, path):
-                w = build().write.mode("overwrite")
-                if partition_by:
-                    w = w.partitionBy(*partition_by)
-                w.parquet(path)          # atomic commit: _SUCCESS marks a complete table
-            _KNOWN[(id(spark), path)] = True
+        path = _KNOWN.get((id(spark), base)) or _complete_version(base)
+        if path is None:
+            path = f"{base}/v={uuid.uuid4().hex}"
+            w = build().write.mode("errorifexists")
+            if partition_by:
+                w = w.partitionBy(*partition_by)
+            w.parquet(path)          # the commit protocol writes _SUCCESS last
+        _KNOWN[(id(spark), base)] = path
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    if path.startswith("/") or path.startswith("file:"):
-        return os.path.exists(os.path.join(path.replace("file:", ""), "_SUCCESS"))
-    try:  # remote file systems: let Spark look
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+def _complete_version(base: str) -> str | None:
+    """First complete version folder of a local table, or None (remote file
+    systems: every process builds its own version)."""
+    local = base.replace("file:", "")
+    if not local.startswith("/") or not os.path.isdir(local):
+        return None
+    for d in sorted(os.listdir(local)):
+        if d.startswith("v=") and os.path.exists(os.path.join(local, d, "_SUCCESS")):
+            return f"{base}/{d}"
+    return None

@@ -8,7 +8,7 @@ sums are cast to BIGINT, truncation uses ``trunc`` before casts.
 
 from __future__ import annotations
 
-LEDGER_CTES = """
+AMOUNT_CTES = """
 ord AS (
   SELECT o_custkey::BIGINT AS customer_id,
          ((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate))::INTEGER AS month,
@@ -24,7 +24,9 @@ spine AS (
 dense AS (
   SELECT s.customer_id, s.month, coalesce(a.n, 0)::BIGINT AS n,
          coalesce(a.bill4, 0)::BIGINT AS bill4, coalesce(a.paid4, 0)::BIGINT AS paid4
-  FROM spine s LEFT JOIN amt a ON s.customer_id = a.customer_id AND s.month = a.month),
+  FROM spine s LEFT JOIN amt a ON s.customer_id = a.customer_id AND s.month = a.month)"""
+
+LEDGER_FROM_DENSE = """
 lbase AS (
   SELECT customer_id, month,
     least(bill4::DOUBLE / 1e10, 1e0) AS credit_utilization,
@@ -55,6 +57,8 @@ ledger AS (
     num_transactions, avg_transaction_amount, missed_due_flag
   FROM lhaz)"""
 
+LEDGER_CTES = AMOUNT_CTES + ",\n" + LEDGER_FROM_DENSE
+
 PROFILE_CTE = """
 profiles AS (
   SELECT c_custkey::BIGINT AS customer_id,
@@ -78,7 +82,24 @@ def _lag(c: str, k: int) -> str:
 _PAST = "OVER (PARTITION BY customer_id ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-def snapshot_ctes(leak_safe: bool = False) -> str:
+EVENT_DENSE_CTES = """
+epd AS (
+  SELECT user_id::BIGINT AS customer_id, (datediff('day', DATE '2024-01-01', ts::DATE) + 1)::INTEGER AS month,
+    count(*) FILTER (WHERE event_type = 'purchase')::BIGINT AS n,
+    coalesce(sum(CASE WHEN event_type = 'purchase' THEN round(value * 100)::BIGINT END), 0)::BIGINT AS cents,
+    max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS err
+  FROM events GROUP BY 1, 2),
+espan AS (SELECT customer_id, min(month) AS lo, max(month) AS hi FROM epd GROUP BY 1),
+espine AS (SELECT customer_id, unnest(range(lo, hi + 1))::INTEGER AS month FROM espan),
+dense AS (
+  SELECT s.customer_id, s.month, coalesce(p.n, 0)::BIGINT AS n, (coalesce(p.cents, 0) * 100)::BIGINT AS bill4,
+    coalesce(p.cents * CASE WHEN p.err = 1 THEN 40 ELSE 100 END, 0)::BIGINT AS paid4
+  FROM espine s LEFT JOIN epd p ON s.customer_id = p.customer_id AND s.month = p.month)"""
+
+EVENT_LEDGER_CTES = EVENT_DENSE_CTES + ",\n" + LEDGER_FROM_DENSE
+
+
+def snapshot_ctes(leak_safe: bool = False, ledger_ctes: str | None = None) -> str:
     l1 = lambda c: _lag(c, 1)
     l2 = lambda c: _lag(c, 2)
     l3 = lambda c: _lag(c, 3)
@@ -87,7 +108,7 @@ def snapshot_ctes(leak_safe: bool = False) -> str:
     act_u = lambda lag: f"(CASE WHEN {lag('num_transactions')} > 0 THEN {lag('credit_utilization')} ELSE 0e0 END)"
     bal_now = l1("outstanding_balance") if leak_safe else "outstanding_balance"
     return f"""
-{LEDGER_CTES},
+{ledger_ctes or LEDGER_CTES},
 {PROFILE_CTE},
 lr AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY month) AS rn FROM ledger),
 wf AS (
