@@ -124,6 +124,12 @@ def build_snapshots(ledger: DataFrame, profiles: DataFrame, lookback: int = S.LO
     ``risk_score``); the default reproduces the current-month version.
     """
     feats = window_features(ledger, lookback, leak_safe).where(F.col("_rn") > lookback)
+    return finish_snapshots(feats, profiles)
+
+
+def finish_snapshots(feats: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Profile join + row-level features on top of the window part (shared by
+    the batch job and the stateful stream)."""
     prof = profiles.select("customer_id", *PROFILE_COLUMNS).withColumn("_matched", F.lit(True))
     joined = feats.join(prof, "customer_id", "left")
 
