@@ -133,9 +133,9 @@ def average_precision(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def _with_totals(c: DataFrame, df: DataFrame, y: str) -> DataFrame:
-    """Attach the class totals (a one-row aggregate) through a constant-key join."""
-    tot = _totals(df, y).withColumn("_k", F.lit(1))
-    return c.withColumn("_k", F.lit(1)).join(F.broadcast(tot), "_k").drop("_k")
+    """Attach the class totals as scalar subqueries (evaluated once, no join)."""
+    tot = _totals(df, y)
+    return c.withColumn("P", tot.select("P").scalar()).withColumn("N", tot.select("N").scalar())
 
 
 def log_loss(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -167,14 +167,15 @@ def threshold_sweep(df: DataFrame, y: str = "y", p: str = "p", thresholds=None)
 
 
 def metric_gate(auc: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Quality gate: AUC >= 0.7 and recall >= 0.7."""
-    a = auc.withColumn("_k", F.lit(1))
-    m = metrics.select("recall").withColumn("_k", F.lit(1))
-    j = a.join(m, "_k").drop("_k")
-    return j.select("roc_auc", "recall",
-                    (F.col("roc_auc") >= S.AUC_GATE).alias("auc_ok"),
-                    (F.col("recall") >= S.RECALL_GATE).alias("recall_ok"),
-                    ((F.col("roc_auc") >= S.AUC_GATE) & (F.col("recall") >= S.RECALL_GATE)).alias("model_good"))
+    """Quality gate: AUC >= 0.7 and recall >= 0.7 (A23); one row built from
+    two one-row results (scalar subqueries)."""
+    a = auc.select("roc_auc").scalar()
+    r = metrics.select("recall").scalar()
+    one = metrics.sparkSession.range(1).select(a.alias("roc_auc"), r.alias("recall"))
+    return one.select("roc_auc", "recall",
+                      (F.col("roc_auc") >= S.AUC_GATE).alias("auc_ok"),
+                      (F.col("recall") >= S.RECALL_GATE).alias("recall_ok"),
+                      ((F.col("roc_auc") >= S.AUC_GATE) & (F.col("recall") >= S.RECALL_GATE)).alias("model_good"))
 
 
 def decision_distribution(df: DataFrame, decision: str = "decision") -> DataFrame:
@@ -212,13 +213,13 @@ def decile_table(df: DataFrame, y: str = "y", p: str = "p", q: int = 10) -> Data
     qcut); duplicate edges raise, as qcut does."""
     probs = [i / q for i in range(q + 1)]
     qs = exact_quantiles(df, p, probs).where((F.col("q") > 0) & (F.col("q") < 1))
-    edges = qs.agg(F.array_sort(F.collect_list("quantile")).alias("_edges"),
-                   F.count(F.lit(1)).alias("_ne"), F.count_distinct("quantile").alias("_nd"))
-    edges = edges.withColumn("_k", F.lit(1))
-    x = df.withColumn("_k", F.lit(1)).join(F.broadcast(edges), "_k")
+    edges = qs.agg(F.array_sort(F.collect_list("quantile")).alias("_edges"),   # 9 values
+                   (F.count(F.lit(1)) - F.count_distinct("quantile")).alias("_dups"))
+    x = df.withColumn("_edges", edges.select("_edges").scalar()).withColumn(
+        "_dups", edges.select("_dups").scalar())
     pv = F.col(p)
     # pandas raises on duplicate edges; fail the same way
-    dec = F.when(F.col("_ne") != F.col("_nd"),
+    dec = F.when(F.col("_dups") > 0,
                  F.raise_error(F.lit("Bin edges must be unique (duplicate quantile edges)"))
                  ).otherwise(F.size(F.filter("_edges", lambda e: e < pv)))
     return (x.groupBy(dec.cast("int").alias("decile"))

@@ -24,10 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_BUCKETS = 128  # enough parallel sorts; bucket search is O(buckets) per row
+
+
 def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
     if n_buckets:
         return n_buckets
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    return min(MAX_BUCKETS, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))))
 
 
 def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None,
@@ -40,16 +43,22 @@ def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None
     """
     by = list(by or [])
     gcols = by or ["_g"]
-    x = df if by else df.withColumn("_g", F.lit(0))
     nb = _n_buckets(df, n_buckets)
     fracs = [i / nb for i in range(1, nb)]
-    bounds = x.groupBy(*gcols).agg(F.percentile_approx(order, fracs, 10000).alias("_bounds"))
     xv = F.col(order)
+    if by:
+        # one bound array per group (low-cardinality groups): broadcast hash join
+        bounds = df.groupBy(*by).agg(F.percentile_approx(order, fracs, 10000).alias("_bounds"))
+        x = df.join(F.broadcast(bounds), by)
+    else:
+        # one bound array: an uncorrelated scalar subquery, no join
+        bound = df.agg(F.percentile_approx(order, fracs, 10000)).scalar()
+        x = df.withColumn("_g", F.lit(0)).withColumn("_bounds", bound)
     if descending:
         bucket = F.size(F.filter("_bounds", lambda t: t > xv))
     else:
         bucket = F.size(F.filter("_bounds", lambda t: t < xv))
-    x = x.join(F.broadcast(bounds), gcols).withColumn("_b", bucket).drop("_bounds")
+    x = x.withColumn("_b", bucket).drop("_bounds")
 
     totals = x.groupBy(*gcols, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     w_t = Window.partitionBy(*gcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,33 +83,37 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     Returns ``(*by, q, quantile)``.
     """
     by = list(by or [])
-    gcols = by or ["_g"]
     x = df.where(F.col(value).isNotNull())
-    x = x if by else x.withColumn("_g", F.lit(0))
     # one row per distinct value, with its multiplicity
-    dist = x.groupBy(*gcols, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    cum = prefix_sums(dist, value, ["_cnt"], by=gcols, n_buckets=n_buckets)
-    cum = cum.withColumn("_lo_rank", F.col("cum__cnt") - F.col("_cnt"))  # 0-based first rank of the value
-
-    n = x.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"))
-    qs = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
-    targets = n.select(*gcols, "_n", qs)
-    pos = F.col("q") * (F.col("_n") - 1).cast("double")
-    targets = targets.select(*gcols, "q", pos.alias("_pos"),
-                             F.floor(pos).cast("long").alias("_k_lo"), F.ceil(pos).cast("long").alias("_k_hi"))
-    # each needed rank (lo and hi) -> the value whose rank range holds it
-    need = targets.select(*gcols, "q", "_pos", F.explode(F.array("_k_lo", "_k_hi")).alias("_k")).distinct()
-    hit = (cum.join(F.broadcast(need), gcols)
-           .where((F.col("_k") >= F.col("_lo_rank")) & (F.col("_k") < F.col("cum__cnt")))
-           .select(*gcols, "q", "_k", F.col(value).cast("double").alias("_v")))
-    lo = hit.select(*gcols, "q", F.col("_k").alias("_k_lo"), F.col("_v").alias("_v_lo"))
-    hi = hit.select(*gcols, "q", F.col("_k").alias("_k_hi"), F.col("_v").alias("_v_hi"))
-    res = targets.join(lo, [*gcols, "q", "_k_lo"]).join(hi, [*gcols, "q", "_k_hi"])
-    frac = F.col("_pos") - F.col("_k_lo").cast("double")
-    qv = F.when(frac == 0, F.col("_v_lo")).otherwise(
-        F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * frac)
-    out = res.select(*gcols, "q", qv.alias("quantile"))
-    return out if by else out.drop("_g")
+    dist = x.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    cum = prefix_sums(dist, value, ["_cnt"], by=by, n_buckets=n_buckets)
+    lo_rank, hi_rank = F.col("cum__cnt") - F.col("_cnt"), F.col("cum__cnt")   # 0-based [lo, hi)
+    if by:
+        n = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        cum = cum.join(F.broadcast(n), by)      # one row per group
+        n_col = F.col("_n")
+    else:
+        cum = cum.withColumn("_n", x.agg(F.count(F.lit(1))).scalar())  # scalar subquery, no join
+        n_col = F.col("_n")
+    # For every q, the values at ranks floor(pos) and ceil(pos) are the rows whose
+    # rank range holds them; emit (q, which, value) for those rows only.
+    hits = []
+    for q in probs:
+        pos = F.lit(float(q)) * (n_col - 1).cast("double")
+        for which, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            cond = (k >= lo_rank) & (k < hi_rank)
+            hits.append(F.when(cond, F.struct(F.lit(float(q)).alias("q"), F.lit(which).alias("which"),
+                                              F.col(value).cast("double").alias("v"),
+                                              pos.alias("pos"))))
+    picked = (cum.select(*by, F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
+              .select(*by, "h.q", "h.which", "h.v", "h.pos"))
+    res = picked.groupBy(*by, "q").agg(
+        F.max(F.when(F.col("which") == "lo", F.col("v"))).alias("_v_lo"),
+        F.max(F.when(F.col("which") == "hi", F.col("v"))).alias("_v_hi"),
+        F.max("pos").alias("_pos"))
+    frac = F.col("_pos") - F.floor("_pos").cast("double")
+    qv = F.when(frac == 0, F.col("_v_lo")).otherwise(F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * frac)
+    return res.select(*by, "q", qv.alias("quantile"))
 
 
 def quantile_column(quantiles: DataFrame, q: float, name: str, by: list[str] | None = None) -> DataFrame:

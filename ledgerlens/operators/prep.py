@@ -22,7 +22,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order_stats import exact_quantiles
@@ -159,10 +159,9 @@ def build_pipeline(df: DataFrame, features: list[str], classifier) -> tuple[Pipe
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (2 · n_class) (M8) — a two-row aggregate."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
-    return (counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
-            .select(F.col(label), F.col("n_class").cast("long").alias("n_class"),
-                    (F.col("n").cast("double") / (F.lit(2.0) * F.col("n_class"))).alias("weight")))
+    n = F.sum("n_class").over(Window.partitionBy())      # over <= 2 class rows
+    return counts.select(F.col(label), F.col("n_class").cast("long").alias("n_class"),
+                         (n.cast("double") / (F.lit(2.0) * F.col("n_class"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
