@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import warehouse_path
 
-CODE_VERSION = "3"
+CODE_VERSION = "4"
 _LOCK = threading.RLock()
 _KNOWN: dict = {}
 
 
 def _input_key(sf_dir: str, inputs: list[str]) -> str:
-    parts = [CODE_VERSION, sf_dir]
+    # LEDGERLENS_RUN_TAG forces a fresh build (benchmarks, reruns after a code change)
+    parts = [CODE_VERSION, os.environ.get("LEDGERLENS_RUN_TAG", ""), sf_dir]
     for name in inputs:
         p = os.path.join(sf_dir, f"{name}.parquet")
         try:
