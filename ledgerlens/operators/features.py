@@ -234,3 +234,27 @@ def risk_bands(snapshots: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                  F.avg(S.LABEL).alias("default_rate"),
                  F.avg("risk_score").alias("avg_risk_score")))
+
+
+def project_group(df: DataFrame, group: list[str], keys: list[str] | None = None,
+                  strict: bool = False) -> DataFrame:
+    """Project a named feature group (P3): absent names are skipped silently,
+    or raise when ``strict`` (the evaluation program's behaviour)."""
+    missing = [c for c in group if c not in df.columns]
+    if strict and missing:
+        raise ValueError(f"missing feature columns: {missing}")
+    return df.select(*(keys or []), *[c for c in group if c in df.columns])
+
+
+def duplicate_keys(ledger: DataFrame, keys: tuple[str, ...] = ("customer_id", "month")) -> DataFrame:
+    """Ledger keys that occur more than once (D16): with duplicates the row
+    order inside a customer is undefined, so they are quarantined, not scored."""
+    return (ledger.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+            .where(F.col("n_rows") > 1))
+
+
+def quarantine_duplicates(ledger: DataFrame, keys: tuple[str, ...] = ("customer_id", "month")):
+    """(clean ledger, quarantined rows): a semi / anti join against the
+    duplicate keys (an aggregate, so a hot key is one row before the join)."""
+    dups = duplicate_keys(ledger, keys).select(*keys)
+    return ledger.join(dups, list(keys), "left_anti"), ledger.join(dups, list(keys), "left_semi")

@@ -180,6 +180,23 @@ def q_feature_quality(spark, sf_dir):
                    "avg_risk_score": 6, "high_burden_rate": 9})
 
 
+@query("feature_groups", O.with_snapshots(
+    "SELECT customer_id, snapshot_month, age, employment_status, education_level, monthly_income, city_tier, "
+    "dependents, residence_type, account_age_months, default_next_1m FROM snapshots"))
+def q_feature_groups(spark, sf_dir):
+    """The static feature group (P3) plus the label (P4) of every snapshot row."""
+    snap = snapshots_live(spark, sf_dir)
+    return FE.project_group(snap, S.STATIC_FEATURES, keys=["customer_id", "snapshot_month"]).join(
+        snap.select("customer_id", "snapshot_month", S.LABEL), ["customer_id", "snapshot_month"])
+
+
+@query("ledger_duplicates", O.with_ledger(
+    "SELECT customer_id, month, count(*)::BIGINT AS n_rows FROM ledger GROUP BY 1, 2 HAVING count(*) > 1"))
+def q_ledger_duplicates(spark, sf_dir):
+    """Duplicate (customer_id, month) keys of the ledger (D16); empty when clean."""
+    return FE.duplicate_keys(ledger(spark, sf_dir))
+
+
 def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Round report columns (sums of doubles differ in the last bits between
     engines that add in different orders)."""

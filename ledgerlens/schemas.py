@@ -38,6 +38,22 @@ LEDGER = T.StructType([
     T.StructField("missed_due_flag", T.IntegerType()),
 ])
 
+
+def scoring_input_schema() -> T.StructType:
+    """Batch of points to score (S4): static profile fields + behavioural
+    features (types as the snapshot table), all nullable."""
+    from .operators.features import SNAPSHOT_FEATURES  # local import: features imports schemas
+    ints = {"missed_due_last_1m", "bnpl_active_last_1m", "consecutive_missed_due", "ever_defaulted",
+            "debt_burden_category", "is_deteriorating", "active_months_3m", "account_age_bucket"}
+    longs = {"late_payments_3m", "missed_due_count_3m", "default_count_history", "months_since_last_default"}
+    fields = [f for f in PROFILE.fields if f.name != "customer_id"]
+    for c in SNAPSHOT_FEATURES:
+        t = T.IntegerType() if c in ints else T.LongType() if c in longs else T.DoubleType()
+        fields.append(T.StructField(c, t))
+    fields.append(T.StructField("snapshot_month", T.IntegerType()))
+    return T.StructType(fields)
+
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — feature groups (names and order as the models expect them)
 # ---------------------------------------------------------------------------

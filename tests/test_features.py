@@ -194,3 +194,20 @@ def test_one_shuffle_for_all_windows(spark, frames):
     plan = build_snapshots(ledger, profiles)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window") >= 1
     assert "hashpartitioning(customer_id" in plan or "LocalTableScan" in plan
+
+
+def test_duplicate_keys_are_quarantined(spark, frames):
+    from ledgerlens.operators.features import quarantine_duplicates
+    ledger, _ = frames
+    dup = ledger.where("customer_id = 2 AND month = 3")
+    clean, bad = quarantine_duplicates(ledger.unionByName(dup))
+    assert bad.count() == 2 and clean.count() == ledger.count() - 1
+
+
+def test_project_group_skips_or_raises(spark, frames):
+    from ledgerlens.operators.features import project_group
+    _, profiles = frames
+    out = project_group(profiles, ["age", "not_a_column"], keys=["customer_id"])
+    assert out.columns == ["customer_id", "age"]
+    with pytest.raises(ValueError):
+        project_group(profiles, ["age", "not_a_column"], strict=True)
