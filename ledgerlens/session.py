@@ -46,15 +46,19 @@ def get_spark(app: str = "ledgerlens", cpus: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a scratch folder for it."""
+    """The shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``
+    when set; only when it is unset (local tests) a scratch folder is
+    registered through ``SparkContext.setCheckpointDir`` (the conf itself is
+    not modifiable at runtime)."""
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    if path:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(path)
+        return path
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir="/tmp"))
+    return sc.getCheckpointDir()
 
 
 def warehouse_path(spark: SparkSession, name: str) -> str:
