@@ -88,13 +88,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     dist = x.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
     cum = prefix_sums(dist, value, ["_cnt"], by=by, n_buckets=n_buckets)
     lo_rank, hi_rank = F.col("cum__cnt") - F.col("_cnt"), F.col("cum__cnt")   # 0-based [lo, hi)
+    # group sizes from the (much smaller) distinct-value table
     if by:
-        n = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        n = dist.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
         cum = cum.join(F.broadcast(n), by)      # one row per group
-        n_col = F.col("_n")
     else:
-        cum = cum.withColumn("_n", x.agg(F.count(F.lit(1))).scalar())  # scalar subquery, no join
-        n_col = F.col("_n")
+        cum = cum.withColumn("_n", dist.agg(F.sum("_cnt")).scalar())  # scalar subquery, no join
+    n_col = F.col("_n")
     # For every q, the values at ranks floor(pos) and ceil(pos) are the rows whose
     # rank range holds them; emit (q, which, value) for those rows only.
     hits = []
