@@ -335,3 +335,51 @@ def fill_defaults(df: DataFrame, defaults: dict | None = None, feature_order: li
     order = feature_order or S.ALL_FEATURES
     keep = [c for c in cols if c not in order]
     return out.select(*keep, *[c for c in order if c in out.columns])
+
+
+def route(df: DataFrame, cold_prob: Column, full_prob: Column, keep: list[str] | None = None) -> DataFrame:
+    """The tier router (F17) as staged projections: probabilities and scores,
+    then the cold guardrails, then the blend, then the per-tier pick. Each
+    stage references the previous stage's columns, so the generated code stays
+    small (one flat expression for all tiers exceeds the 64 KB method limit and
+    falls back to interpreted evaluation)."""
+    cols = df.columns
+    x = df.withColumns({
+        "_pc": with_fallback(cold_prob), "_pf": with_fallback(full_prob),
+        "_tier": customer_tier(field(cols, "account_age_months", 0).cast("int")),
+        "_acct": field(cols, "account_age_months", 0).cast("int"),
+    })
+    x = x.withColumns({
+        "_ms": prob_to_score(F.col("_pc")), "_fs": prob_to_score(F.col("_pf")),
+        "_lim0": F.least(_income(cols) * F.lit(0.3), F.lit(float(S.MAX_LIMIT_TIER_1))),
+    })
+    g = guardrail_columns(cols, F.col("_ms"), F.col("_lim0"))
+    x = x.withColumns({"_cs": g["final_score"], "_cl": g["max_credit_limit"], "_cw": g["risk_warnings"],
+                       "_flim": established_limit(F.col("_fs"), _income(cols)),
+                       "_blim": F.least(_income(cols) * F.lit(0.5), F.lit(float(S.MAX_LIMIT_TIER_2))).cast("int")})
+    x = x.withColumns({
+        "_bs": (F.lit(S.BLEND_COLD_WEIGHT) * F.col("_cs") + F.lit(S.BLEND_FULL_WEIGHT) * F.col("_fs")).cast("int"),
+        "_bp": F.lit(S.BLEND_COLD_WEIGHT) * F.col("_pc") + F.lit(S.BLEND_FULL_WEIGHT) * F.col("_pf"),
+    })
+    t = F.col("_tier")
+
+    def pick(c1, c2, c3):
+        return F.when(t == 1, c1).when(t == 2, c2).otherwise(c3)
+
+    score = pick(F.col("_cs"), F.col("_bs"), F.col("_fs"))
+    null_s = F.lit(None).cast("string")
+    out = {
+        "customer_tier": t,
+        "tier_description": tier_description(t),
+        "account_age_months": F.col("_acct"),
+        "ml_probability": pick(F.col("_pc"), F.col("_bp"), F.col("_pf")),
+        "ml_score": F.when(t == 1, F.col("_ms")),
+        "final_score": score,
+        "decision": score_to_decision(score),
+        "max_credit_limit": pick(F.col("_cl"), F.col("_blim"), F.col("_flim")),
+        "risk_warnings": F.when(t == 1, F.col("_cw")),
+        "model_used": pick(F.lit(S.MODEL_USED_COLD), F.lit(S.MODEL_USED_BLEND), F.lit(S.MODEL_USED_FULL)),
+        "note": F.when(t == 1, F.lit(S.NOTE_COLD)).when(t == 3, F.lit(S.NOTE_FULL)).otherwise(null_s),
+        "recommendation": pick(F.lit(S.RECOMMEND_TIER_1), F.lit(S.RECOMMEND_TIER_2), F.lit(S.RECOMMEND_TIER_3)),
+    }
+    return x.select(*(keep or []), *[v.alias(k) for k, v in out.items()])

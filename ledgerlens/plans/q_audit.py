@@ -138,3 +138,62 @@ SELECT scenario, count(*)::BIGINT AS n_rows, round(avg(p), 9) AS avg_probability
 def q_whatif_scenarios(spark, sf_dir):
     test = split_snapshots(spark, sf_dir).where("is_test").drop("is_test")
     return _round(AU.whatif_scenarios(test, ["customer_id", "snapshot_month"]), {"avg_probability": 9})
+
+
+# ------------------------------- personas (re-aimed) -------------------------------
+# The reference scores a few hand-made personas; here the personas come from the
+# data: the lowest-id applicant of every employment x education x city segment
+# (an aggregate by segment, then a key join), so the queries read the whole table.
+
+_SEG = ["employment_status", "education_level", "city_tier"]
+
+
+def personas(spark, sf_dir):
+    prof = profiles(spark, sf_dir)
+    reps = prof.groupBy(*_SEG).agg(F.min("customer_id").alias("customer_id"))
+    return prof.join(reps.select("customer_id"), "customer_id", "left_semi").withColumn(
+        "profile", F.concat_ws(" / ", *_SEG))
+
+
+_PERSONA_CTE = f"""WITH {O.PROFILE_CTE},
+reps AS (SELECT min(customer_id) AS customer_id FROM profiles GROUP BY employment_status, education_level, city_tier),
+pers AS (SELECT p.*, concat_ws(' / ', employment_status, education_level, city_tier) AS profile
+         FROM profiles p WHERE customer_id IN (SELECT customer_id FROM reps))"""
+
+
+@query("personas_rules", f"""{_PERSONA_CTE},
+rs AS (SELECT *, {SQL_SCORECARD} AS rule_based_score FROM pers)
+SELECT customer_id, profile, rule_based_score,
+  (CASE WHEN rule_based_score >= 750 THEN trunc(least(monthly_income * 0.5e0, 50000e0))
+        WHEN rule_based_score >= 650 THEN trunc(least(monthly_income * 0.25e0, 15000e0))
+        WHEN rule_based_score >= 550 THEN trunc(least(monthly_income * 0.1e0, 5000e0)) ELSE 0 END)::INTEGER AS credit_limit,
+  {sql_decision('rule_based_score')} AS decision FROM rs""")
+def q_personas_rules(spark, sf_dir):
+    """Rule scorecard over representative applicants."""
+    p = personas(spark, sf_dir)
+    sc = P.scorecard_columns(p.columns)
+    return p.select("customer_id", "profile", sc["rule_based_score"].alias("rule_based_score"),
+                    sc["credit_limit"].alias("credit_limit"), sc["decision"].alias("decision"))
+
+
+@query("personas_router", f"""{_PERSONA_CTE},
+cin AS (SELECT *, (900e0 - {SQL_SCORECARD}) / 600e0 AS p_raw FROM pers),
+{__import__('ledgerlens.plans.q_scoring', fromlist=['SQL_COLD_CTE']).SQL_COLD_CTE},
+r AS (SELECT *, (CASE WHEN account_age_months <= 3 THEN 1 WHEN account_age_months <= 6 THEN 2 ELSE 3 END)::INTEGER AS tier,
+        {sql_p2s('0e0')} AS fs, trunc(least(inc * 1e0, 100000e0))::INTEGER AS flim,
+        trunc(least(inc * 0.5e0, 25000e0))::INTEGER AS blim FROM cold),
+r2 AS (SELECT *, trunc(0.4e0 * final_score + 0.6e0 * fs)::INTEGER AS bs FROM r)
+SELECT customer_id, profile, tier AS customer_tier,
+  CASE tier WHEN 1 THEN final_score WHEN 2 THEN bs ELSE fs END AS final_score,
+  CASE tier WHEN 1 THEN {sql_decision('final_score')} WHEN 2 THEN {sql_decision('bs')} ELSE {sql_decision('fs')} END AS decision,
+  CASE tier WHEN 1 THEN max_credit_limit WHEN 2 THEN blim ELSE flim END AS max_credit_limit,
+  CASE tier WHEN 1 THEN 'cold_start_model + guardrails' WHEN 2 THEN 'blended (40% cold_start + 60% full)' ELSE 'full_model' END AS model_used
+FROM r2""")
+def q_personas_router(spark, sf_dir):
+    """Tier router over representative applicants with neutral behavioural
+    defaults (M19, F17): cold p from the scorecard, full p from the risk score."""
+    p = P.fill_defaults(personas(spark, sf_dir))
+    out = P.route(p, P.surrogate_cold_probability(p.columns), P.surrogate_full_probability(),
+                  keep=["customer_id", "profile"])
+    return out.select("customer_id", "profile", "customer_tier", "final_score", "decision",
+                      "max_credit_limit", "model_used")

@@ -244,9 +244,9 @@ FROM f2""")
 def q_score_router(spark, sf_dir):
     snap = snapshots(spark, sf_dir)
     cols = snap.columns
-    r = P.router_columns(cols, P.surrogate_cold_probability(cols), P.surrogate_full_probability())
-    return snap.select("customer_id", "snapshot_month", *[r[k].alias(k) for k in P.ROUTER_FIELDS]).withColumn(
-        "risk_warnings", _text("risk_warnings"))
+    out = P.route(snap, P.surrogate_cold_probability(cols), P.surrogate_full_probability(),
+                  keep=["customer_id", "snapshot_month"])
+    return out.withColumn("risk_warnings", _text("risk_warnings"))
 
 
 @query("response_cold", _cold_sql(f"""

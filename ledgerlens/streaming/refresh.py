@@ -106,6 +106,5 @@ def score_stream(requests: DataFrame) -> DataFrame:
     with the surrogate probabilities; a pure projection, so it runs per
     micro-batch without state."""
     cols = requests.columns
-    r = P.router_columns(cols, P.surrogate_cold_probability(cols), P.surrogate_full_probability())
     keep = [c for c in ("customer_id", "snapshot_month") if c in cols]
-    return requests.select(*keep, *[r[k].alias(k) for k in P.ROUTER_FIELDS])
+    return P.route(requests, P.surrogate_cold_probability(cols), P.surrogate_full_probability(), keep=keep)
