@@ -5,10 +5,13 @@ retrying a failed run. Here:
 
 * X1  ``readStream`` over a folder of new event files; the checkpoint makes a
       failed micro-batch re-run (same ``batch_id``) — the retry.
-* X2  in ``foreachBatch``: only customers present in the batch are refreshed —
-      their history is semi-joined from the event folder, their snapshots
-      rebuilt with the batch operators and written to ``batch_id=<n>``
-      with overwrite, so a replayed batch is idempotent. ``latest_snapshots``
+* X2  in ``foreachBatch``: the batch's per-customer-day partial aggregates
+      are written to a history table partitioned by ``batch_id`` and a
+      customer hash bucket; only customers present in the batch are
+      refreshed — their history is read from their buckets only (partition
+      pruning), re-aggregated, and their snapshots rebuilt with the batch
+      operators and written to ``batch_id=<n>`` with overwrite, so a replayed
+      batch is idempotent. ``latest_snapshots``
       keeps, per customer, the rows of its newest batch (an aggregate + join,
       no per-customer collect).
 * X4  ``score_stream``: a stateless projection of the scoring policy over a
@@ -42,16 +45,24 @@ BASE_DATE = "2024-01-01"   # fixture parameter: day 1 of the event stream
 ERROR_PAID_PERCENT, CLEAN_PAID_PERCENT = 40, 100
 
 
-def event_amounts(events: DataFrame, base_date: str = BASE_DATE) -> DataFrame:
-    """(customer_id, month=day, n, bill4, paid4) on a dense spine from each
-    customer's first to last day (gaps are inactive days)."""
+def day_partials(events: DataFrame, base_date: str = BASE_DATE) -> DataFrame:
+    """Per (customer, day) partial aggregates: purchase count, purchase cents,
+    error seen. Re-aggregating partials gives the same result, so they can be
+    kept per micro-batch and combined later."""
     day = (F.datediff(F.to_date("ts"), F.lit(base_date)) + 1).cast("int")
     cents = F.round(F.col("value") * 100).cast("long")
     is_purchase = F.col("event_type") == "purchase"
-    per_day = events.groupBy(F.col("user_id").cast("long").alias("customer_id"), day.alias("month")).agg(
+    return events.groupBy(F.col("user_id").cast("long").alias("customer_id"), day.alias("month")).agg(
         F.sum(is_purchase.cast("long")).alias("n"),
-        F.coalesce(F.sum(F.when(is_purchase, cents)), F.lit(0)).alias("cents"),
+        F.coalesce(F.sum(F.when(is_purchase, cents)), F.lit(0)).cast("long").alias("cents"),
         F.max((F.col("event_type") == "error").cast("int")).alias("err"))
+
+
+def amounts_from_partials(partials: DataFrame) -> DataFrame:
+    """(customer_id, month=day, n, bill4, paid4) on a dense spine from each
+    customer's first to last day (gaps are inactive days)."""
+    per_day = partials.groupBy("customer_id", "month").agg(
+        F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.max("err").alias("err"))
     share = F.when(F.col("err") == 1, F.lit(ERROR_PAID_PERCENT)).otherwise(F.lit(CLEAN_PAID_PERCENT))
     active = per_day.select("customer_id", "month", "n", (F.col("cents") * 100).alias("bill4"),
                             (F.col("cents") * share).alias("paid4"))
@@ -63,6 +74,10 @@ def event_amounts(events: DataFrame, base_date: str = BASE_DATE) -> DataFrame:
             .agg(F.sum("n").alias("n"), F.sum("bill4").alias("bill4"), F.sum("paid4").alias("paid4")))
 
 
+def event_amounts(events: DataFrame, base_date: str = BASE_DATE) -> DataFrame:
+    return amounts_from_partials(day_partials(events, base_date))
+
+
 def event_ledger(events: DataFrame, base_date: str = BASE_DATE) -> DataFrame:
     return ledger_from_amounts(event_amounts(events, base_date))
 
@@ -71,24 +86,42 @@ def event_snapshots(events: DataFrame, profiles: DataFrame, base_date: str = BAS
     return build_snapshots(event_ledger(events, base_date), profiles)
 
 
-def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, source_dir: str,
+HISTORY_BUCKETS = 64
+
+
+def _bucket(c: str):
+    return F.pmod(F.xxhash64(F.col(c)), F.lit(HISTORY_BUCKETS)).cast("int")
+
+
+def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, history_dir: str,
                   profiles: DataFrame, out_dir: str, base_date: str = BASE_DATE) -> None:
-    """X2 body: rebuild the snapshots of the customers in this micro-batch."""
-    ids = batch.select(F.col("user_id").cast("long").alias("user_id")).distinct()
-    history = spark.read.schema(EVENTS).parquet(source_dir).join(ids, "user_id", "left_semi")
-    prof = profiles.join(ids.withColumnRenamed("user_id", "customer_id"), "customer_id", "left_semi")
-    snaps = event_snapshots(history, prof, base_date)
+    """X2 body. (1) Append this batch's per-customer-day partials to the
+    history table under ``batch_id=<n>/bucket=<b>`` (overwrite of its own
+    folder: a replayed batch is idempotent). (2) Rebuild the snapshots of the
+    customers in this batch from the history of their buckets only (partition
+    pruning), re-aggregating partials of a day split across batches."""
+    base = history_dir.rstrip("/")
+    partials = day_partials(batch, base_date).withColumn("bucket", _bucket("customer_id"))
+    partials.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/batch_id={batch_id}")
+    mine = spark.read.parquet(f"{base}/batch_id={batch_id}")
+    ids = mine.select("customer_id").distinct()
+    buckets = [r["bucket"] for r in mine.select("bucket").distinct().collect()]   # <= HISTORY_BUCKETS values
+    history = (spark.read.parquet(base).where(F.col("bucket").isin(buckets))
+               .join(ids, "customer_id", "left_semi"))
+    prof = profiles.join(ids, "customer_id", "left_semi")
+    snaps = build_snapshots(ledger_from_amounts(amounts_from_partials(history)), prof)
     snaps.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
 
 def start_refresh(spark: SparkSession, source_dir: str, profiles: DataFrame, out_dir: str,
-                  checkpoint_dir: str, base_date: str = BASE_DATE, available_now: bool = True,
-                  max_files_per_trigger: int = 1, interval: str = "2 seconds"):
+                  checkpoint_dir: str, history_dir: str | None = None, base_date: str = BASE_DATE,
+                  available_now: bool = True, max_files_per_trigger: int = 1, interval: str = "2 seconds"):
     """Stream new event files into incremental refreshes."""
+    history_dir = history_dir or f"{out_dir.rstrip('/')}_history"
     stream = (spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
     writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: refresh_batch(spark, df, bid, source_dir, profiles, out_dir, base_date))
+              .foreachBatch(lambda df, bid: refresh_batch(spark, df, bid, history_dir, profiles, out_dir, base_date))
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()
