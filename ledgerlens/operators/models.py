@@ -44,7 +44,10 @@ def make_classifier(name: str, n_train: int, label: str = S.LABEL):
     if name == "random_forest":
         return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=100,
                                       featureSubsetStrategy="sqrt", maxDepth=RF_MAX_DEPTH, seed=42,
-                                      impurity="gini")
+                                      impurity="gini",
+                                      # deep trees: cache node ids per row (checkpointed into the
+                                      # shared checkpoint folder) and fewer node-group passes per level
+                                      cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
     if name == "gradient_boosting":
         return GBTClassifier(featuresCol="features", labelCol=label, maxIter=100, stepSize=0.1, maxDepth=5,
                              seed=42)
