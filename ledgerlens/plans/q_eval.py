@@ -353,3 +353,22 @@ SELECT * FROM (SELECT row_number() OVER (ORDER BY customer_id, snapshot_month)::
   score AS credit_score, decision AS final_decision FROM evalf) ORDER BY demo_customer_id LIMIT 10"""))
 def q_demo_head(spark, sf_dir):
     return ST.top_k(demo_output(spark, sf_dir), [F.col("demo_customer_id")], 10)
+
+
+@query("split_grouped", O.with_snapshots("""
+SELECT customer_id, snapshot_month,
+  ('0x' || substr(md5(customer_id::VARCHAR || '|42'), 1, 8))::BIGINT / 4294967296e0 < 0.2e0 AS is_test
+FROM snapshots"""))
+def q_split_grouped(spark, sf_dir):
+    """Customer-grouped split (D5): all months of a customer on one side, so
+    no customer's history leaks from training into the hold-out."""
+    return SP.grouped_split(snapshots(spark, sf_dir), "customer_id", 0.2, 42).select(
+        "customer_id", "snapshot_month", "is_test")
+
+
+@query("split_time", O.with_snapshots(
+    "SELECT customer_id, snapshot_month, snapshot_month >= 22 AS is_test FROM snapshots"))
+def q_split_time(spark, sf_dir):
+    """Time-based split (D5): the last periods are the hold-out."""
+    return SP.time_split(snapshots(spark, sf_dir), "snapshot_month", 22).select(
+        "customer_id", "snapshot_month", "is_test")
