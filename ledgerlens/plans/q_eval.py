@@ -372,3 +372,13 @@ def q_split_time(spark, sf_dir):
     """Time-based split (D5): the last periods are the hold-out."""
     return SP.time_split(snapshots(spark, sf_dir), "snapshot_month", 22).select(
         "customer_id", "snapshot_month", "is_test")
+
+
+@query("value_counts_discrete", O.with_snapshots(f"""
+SELECT "column", value, count(*)::BIGINT AS count FROM (
+  UNPIVOT (SELECT {', '.join(f'{c}::VARCHAR AS {c}' for c in S.DISCRETE_COLUMNS)} FROM snapshots)
+  ON {', '.join(S.DISCRETE_COLUMNS)} INTO NAME "column" VALUE value)
+WHERE value IS NOT NULL GROUP BY 1, 2"""))
+def q_value_counts_discrete(spark, sf_dir):
+    """Counts of the discrete columns (A3, the count plots), one unpivot pass."""
+    return ST.value_counts(snapshots(spark, sf_dir), S.DISCRETE_COLUMNS)
