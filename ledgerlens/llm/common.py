@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.session import ensure_checkpoint_dir
 
@@ -79,6 +80,11 @@ def without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
+def with_fields(df: DataFrame, new: dict[str, str]) -> T.StructType:
+    """The schema of ``df`` followed by new fields (name: type)."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in new.items())).fields])
+
+
 def cols(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
