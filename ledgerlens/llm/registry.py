@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import line_dedup, mixing, packing, quality_rules, site_quality
+from ledgerlens.llm import line_dedup, mixing, packing, quality_rules, site_quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_quality_rules": quality_rules.op2,
     "op6_quality_classifier": site_quality.op6,
+    "op8_toxicity": toxicity.op8,
     "op9_packing": packing.op9,
     "op10_line_dedup": line_dedup.op10,
 }
