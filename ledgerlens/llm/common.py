@@ -9,8 +9,11 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,6 +92,28 @@ def cols(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The runs of equal ``key`` in a sorted partition, whole. Memory holds one batch and one run."""
+    carry: list[pa.Table] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        k = t[key].combine_chunks()
+        change = pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).to_numpy(zero_copy_only=False) if len(k) > 1 else np.zeros(0, bool)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(k)]
+        for a, e in zip(cuts, cuts[1:]):
+            now = k[a].as_py()
+            if carry and now != last:
+                yield pa.concat_tables(carry).combine_chunks()
+                carry = []
+            carry.append(t.slice(a, e - a))
+            last = now
+    if carry:
+        yield pa.concat_tables(carry).combine_chunks()
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every end of ``edges`` (a, b: long): the smallest node
     reachable. Alternating large-star and small-star steps: each round rewrites the edge

@@ -43,8 +43,9 @@ END_ID = 1
 GROUP_TOKENS = 2_000_000
 VOCABULARY = "word_bpe_49k.json"
 
-#: Pieces of words kept by a Python worker between batches.
-CACHED_PIECES = 200_000
+#: Bytes of text taken at once, and pieces of words a Python worker keeps between them (about 100 MB).
+TEXT_BYTES = 8 << 20
+CACHED_PIECES = 400_000
 #: Texts below this are cut here as the tokenizer cuts them: Latin letters without separators or combining marks.
 _PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -92,36 +93,30 @@ class WordTokenizer:
                     at = s
         return out
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each word."""
-        parts: list[list[str] | str] = []
-        new: dict[str, None] = {}
-        for w in words:
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                p = self.cut(w.lower())
-                parts.append(p)
-                for x in p:
-                    if x not in self.cache:
-                        new[x] = None
-            else:
-                parts.append(w)
-        got = self.pieces(list(new))
-        known = self.cache | got if len(self.cache) < len(got) else _Both(got, self.cache)
-        out = [self.whole(p) if isinstance(p, str) else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
-        if len(self.cache) < CACHED_PIECES:
-            self.cache.update(list(got.items())[:CACHED_PIECES - len(self.cache)])
+        if len(self.cache) > CACHED_PIECES:
+            self.cache.clear()
+        out: list[bytes] = []
+        for i in range(0, len(words), 40_000):
+            parts: list[list[str] | str] = []
+            new: dict[str, None] = {}
+            for w in words.slice(i, 40_000).to_pylist():
+                if _PLAIN.fullmatch(w) and "<|" not in w:
+                    p = self.cut(w.lower())
+                    parts.append(p)
+                    for x in p:
+                        if x not in self.cache:
+                            new[x] = None
+                else:
+                    parts.append(w)
+            self.cache.update(self.pieces(list(new)))
+            known = self.cache
+            out += [self.whole(p) if isinstance(p, str) else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
         counts = np.fromiter((len(b) >> 2 for b in out), np.int64, len(out))
         return np.frombuffer(b"".join(out), np.uint32), counts
 
 
-class _Both:
-    def __init__(self, a: dict, b: dict):
-        self.a, self.b = a, b
-
-    def __getitem__(self, k: str) -> bytes:
-        return self.a[k] if k in self.a else self.b[k]
-
-
 def cut_lengths(n: int, capacity: int, min_cut: int) -> list[int]:
     out = [capacity] * (n // capacity)
     n %= capacity
@@ -139,7 +134,7 @@ def token_ids(texts: Texts, tokenizer: WordTokenizer, end_id: int) -> Iterator[t
     off = np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
     body = np.ascontiguousarray(texts.data[~white])
     words = pa.Array.from_buffers(pa.large_string(), len(lens), [None, pa.py_buffer(off), pa.py_buffer(body)]).dictionary_encode()
-    flat, counts = tokenizer.encode(words.dictionary.to_pylist())
+    flat, counts = tokenizer.encode(words.dictionary)
     first = np.concatenate(([0], np.cumsum(counts)))[:-1] if len(counts) else np.zeros(0, np.int64)
     which = words.indices.to_numpy(zero_copy_only=False)
     at = np.searchsorted(doc, np.arange(texts.n + 1))
@@ -165,7 +160,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int, min_cut: int, end_id:
         for b in batches:
             texts = Texts.of(b.column("text"))
             row, start, length, crc, total, kept = [], [], [], [], [], []
-            for d, ids in token_ids(texts, _TOKENIZERS[path], end_id):
+            for d, ids in ((i + d, ids) for i, _, t in texts.slices(TEXT_BYTES) for d, ids in token_ids(t, _TOKENIZERS[path], end_id)):
                 raw, at = ids.astype("<u4").tobytes(), 0
                 for n in cut_lengths(len(ids), capacity, min_cut):
                     row.append(d)

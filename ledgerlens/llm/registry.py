@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import line_dedup, mixing, packing, quality_rules, site_quality, toxicity
+from ledgerlens.llm import embedding_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, site_quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_quality_rules": quality_rules.op2,
+    "op3_embedding_dedup": embedding_dedup.op3,
+    "op5_jaccard_join": jaccard_join.op5,
     "op6_quality_classifier": site_quality.op6,
     "op8_toxicity": toxicity.op8,
     "op9_packing": packing.op9,
