@@ -114,6 +114,26 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(carry).combine_chunks()
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows of a sorted partition, each run of equal ``key`` in one of them."""
+    parts: list[pa.Table] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        parts.append(pa.Table.from_batches([b]))
+        if sum(p.num_rows for p in parts) < rows:
+            continue
+        t = pa.concat_tables(parts).combine_chunks()
+        k = t[key].combine_chunks()
+        change = np.flatnonzero(pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).to_numpy(zero_copy_only=False))
+        cut = int(change[-1]) + 1 if len(change) else 0
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        parts = [t.slice(cut)]
+    if parts:
+        yield pa.concat_tables(parts).combine_chunks()
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every end of ``edges`` (a, b: long): the smallest node
     reachable. Alternating large-star and small-star steps: each round rewrites the edge
