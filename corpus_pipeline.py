@@ -1,4 +1,67 @@
-"""The corpus pipeline: stages of the training-data operators over ``documents``."""
+"""The corpus pipeline: training-data operators over ``documents``, each stage written as
+Parquet and read again by the next one.
 
-STAGES: list = []
+1. quality: documents that the classifier rejects go.
+2. lines: lines that many documents share go; a null text stays null.
+3. near_duplicates: of documents linked by 5-word shingles at 0.8 the one with the smallest doc_id stays.
+   Rows that share a doc_id are one group, and the row with the smallest hash of its text stays; rows without a doc_id all stay.
+4. mix: documents appear as often as the mix takes them, those taken in part with the words taken.
+5. pack: pieces of token sequences.
+
+The stages but the last return the columns of the table they get; ``n_chars``, if there is one, follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import jaccard_join, line_dedup, mixing, packing, site_quality
+from ledgerlens.llm.common import cols, stored, table
+
+
+def _columns(df: DataFrame, names: list[str], text_changed: bool = False) -> DataFrame:
+    new = [F.char_length("text").cast(df.schema[c].dataType).alias(c) if text_changed and c == "n_chars" else F.col(f"`{c}`") for c in names]
+    return df.select(*new)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = docs.select(*[F.col(f"`{c}`").alias(f"__in_{c}") if c in site_quality.OUTPUTS else F.col(f"`{c}`") for c in docs.columns])
+    out = site_quality.classify(spark, scored, table(spark, sf_dir, "labels")).where("kept").drop(*site_quality.OUTPUTS)
+    return out.select(*[F.col(f"`__in_{c}`").alias(c) if c in site_quality.OUTPUTS else F.col(f"`{c}`") for c in docs.columns])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(spark, docs)
+    return _columns(out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text"))), docs.columns, True)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    linked = stored(spark, jaccard_join.link_documents(spark, docs.select("doc_id", "text")).where("doc_id is not null"), "linked")
+    gone = stored(spark, linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+        kept = kept.where("doc_id is not null").withColumn("__nth", nth).where("__nth = 1").drop("__nth").unionByName(docs.where("doc_id is null"))
+    return kept.select(*cols(docs.columns))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _columns(mixing.mixed_texts(spark, docs), docs.columns, True)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, docs)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
+
+#: SQL has neither the Jaccard components nor the tokenizer; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -149,9 +149,11 @@ def mixed_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     plan = (mix(spark, docs, **options).where("taken > 0")
             .groupBy("doc_id", "source", "th").agg(F.collect_list(F.struct("size", "passes", "span_start", "span_end")).alias("__plan"))
             .select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("th").alias("__th"), "__plan"))
-    # equal rows share one key; each of them takes one entry of the key's list
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy(F.lit(1)))
-    rows = docs.select(*cols(keep)).withColumn("__nth", nth).withColumn("__h", F.xxhash64("text"))
+    plan = stored(spark, plan, "mix")
+    rows = docs.select(*cols(keep)).withColumn("__h", F.xxhash64("text")).withColumn("__nth", F.lit(1))
+    if plan.where(F.size("__plan") > 1).limit(1).count():
+        # equal rows share one key; each of them takes one entry of the key's list
+        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__h").orderBy(F.lit(1))))
     rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__th")))
     rows = rows.withColumn("__p", F.get("__plan", F.col("__nth") - 1)).where("__p is not null")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD_RE})"), 1), (F.col("__p.span_start") + 1).cast("int"), (F.col("__p.span_end") - F.col("__p.span_start")).cast("int")), " ")

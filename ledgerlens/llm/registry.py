@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import embedding_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, site_quality, suffix_dedup, toxicity
+import corpus_pipeline
+from ledgerlens.llm import embedding_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, sharding, site_quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_quality_rules": quality_rules.op2,
     "op3_embedding_dedup": embedding_dedup.op3,
+    "op4_sharding": sharding.op4,
     "op5_jaccard_join": jaccard_join.op5,
     "op6_quality_classifier": site_quality.op6,
     "op7_suffix_dedup": suffix_dedup.op7,
     "op8_toxicity": toxicity.op8,
     "op9_packing": packing.op9,
     "op10_line_dedup": line_dedup.op10,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_mixing": mixing.op1_sql(),
