@@ -9,8 +9,9 @@ together and prunes subtrees by bounds on what is left.
    sketch of fixed size over all documents; any order is right, a good one keeps what follows short.
 3. Blocks. Two sets with Jaccard t share one of the first n - ceil(t n) + 1 shingles of each in
    that order. Documents that share such a shingle form a block; a frequent shingle's block
-   is dealt to tiles of about ``BLOCK`` documents, in which every two documents still meet. Equal blocks are kept
-   once, members without a partner of fitting size leave.
+   is dealt to tiles of about ``BLOCK`` documents, in which every two documents still meet. Members without a partner
+   whose size and parity sketch fit leave (two sets differ in at least as many shingles as their sketches in bits, so
+   no link is lost); equal blocks are kept once.
 4. Trie. Each block's whole sets are joined in a trie. A block returns edges that span its
    local components, not its pairs.
 5. Components by large-star / small-star over those edges.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import connected_components, groups, ship, stored, table
+from ledgerlens.llm.common import connected_components, groups, ship, stored, table, whole_groups
 from ledgerlens.llm.textarrays import Texts, mix64, shingle_hashes, sorted_unique
 
 WORDS = 5
@@ -56,9 +57,23 @@ def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n - -(-num * n // den) + 1
 
 
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of a set's parity sketch: a power of two from 64, at least half its size."""
+    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) - 1)
+
+
+def parity_sketches(h: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Per set, whether an odd number of its hashes falls on each bit (by the hash modulo the number of bits)."""
+    bits = sketch_bits(n)
+    base = np.cumsum(bits) - bits
+    odd = np.bincount(base[d] + (h & (bits[d] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())) & 1
+    off = np.concatenate(([0], np.cumsum(bits >> 3))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(np.packbits(odd.astype(np.uint8), bitorder="little"))])
+
+
 def digests(docs: DataFrame, k: int) -> DataFrame:
-    """One row per document (doc_id, n, d1, d2; part null) and, per task, its share of the
-    sketch (part, counts)."""
+    """One row per document (doc_id, n, d1, d2 and its parity sketch as counts; part null) and, per task, its
+    share of the sketch of all shingles (part, counts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
@@ -71,7 +86,7 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
                     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h + np.uint64(salt)))))
                     sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]),
-                                                  pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=["doc_id", "n", "d1", "d2", "part", "counts"])
+                                                  pa.nulls(j - i, pa.int32()), parity_sketches(h, d, n)], names=["doc_id", "n", "d1", "d2", "part", "counts"])
         parts = np.minimum(sketch, 2**31 - 1).astype("<i4").reshape(SKETCH_PARTS, -1)
         m = SKETCH_PARTS
         kind = pa.int64()
@@ -154,6 +169,58 @@ def blocks(posted: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
     return posted.repartition(partitions, "tile").mapInArrow(run, "block long, doc_id long").distinct()
 
 
+def fitting(listed: DataFrame, sets: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
+    """(block, doc_id) of the members that may link with another one of their block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "block", 20_000):
+            block, doc, n = (t[c].to_numpy() for c in ("block", "doc_id", "n"))
+            bits = sketch_bits(n)
+            rows: dict[int, np.ndarray] = {}     # rows of the sketches of each length, those of twice the length folded
+            at = np.zeros(len(n), np.int64)
+            fold_at = np.zeros(len(n), np.int64)
+            for b in np.unique(np.concatenate((bits, bits >> 1))).tolist():
+                own, twice = np.flatnonzero(bits == b), np.flatnonzero(bits == 2 * b)
+                parts = []
+                if len(own):
+                    parts.append(np.stack([np.frombuffer(t["sig"][i].as_buffer(), "<u8") for i in own.tolist()]))
+                    at[own] = np.arange(len(own))
+                if len(twice) and b >= 64:
+                    w = np.stack([np.frombuffer(t["sig"][i].as_buffer(), "<u8") for i in twice.tolist()])
+                    parts.append(w[:, :w.shape[1] // 2] ^ w[:, w.shape[1] // 2:])
+                    fold_at[twice] = len(own) + np.arange(len(twice))
+                if parts:
+                    rows[b] = np.concatenate(parts)
+            fits = np.zeros(len(n), bool)
+            left = np.arange(len(n) - 1)
+            k = 1
+            while len(left):
+                left = left[(left + k < len(n))]
+                left = left[block[left + k] == block[left]]     # rows of a block ascend by size
+                a, b = left, left + k
+                ok = (den * n[a] >= num * n[b]) & (bits[b] <= 2 * bits[a]) & (doc[a] != doc[b])
+                a, b = a[ok], b[ok]
+                low = bits[a]
+                for size in np.unique(low).tolist():
+                    m = low == size
+                    x, y = a[m], b[m]
+                    sig = rows[size]
+                    differ = np.bitwise_count(sig[at[x]] ^ sig[np.where(bits[y] == size, at[y], fold_at[y])]).sum(1, dtype=np.int64)
+                    # linked sets differ in at most (den - num) / (den + num) of the sum of their sizes
+                    good = (den + num) * differ <= (den - num) * (n[x] + n[y])
+                    fits[x[good]] = fits[y[good]] = True
+                k += 1
+            block, doc = block[fits], doc[fits]
+            if not len(block):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            size = np.diff(np.append(first, len(block)))
+            key = mix64(np.add.reduceat(mix64(doc.astype(np.uint64)), first) + size.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, size).view(np.int64)), pa.array(doc)], names=["block", "doc_id"])
+
+    rows = listed.join(sets, "doc_id").select("block", "doc_id", "n", "sig")
+    return rows.repartition(partitions, "block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(run, "block long, doc_id long").distinct()
+
+
 def members(docs: DataFrame, listed: DataFrame, sketch: np.ndarray, k: int) -> DataFrame:
     """(block, doc_id, grams): the whole ordered sets, in every block of the document."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -281,7 +348,7 @@ def link_documents(spark: SparkSession, docs: DataFrame, k: int = WORDS, num: in
     ship(spark)
     made = stored(spark, digests(docs, k), "digests")
     sketch = read_sketch(made)
-    sets = made.where("part is null").select("doc_id", "n", "d1", "d2")
+    sets = made.where("part is null").select("doc_id", "n", "d1", "d2", F.col("counts").alias("sig"))
     classes = stored(spark, sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     copies = (sets.where("n > 0").join(classes, ["n", "d1", "d2"]).where("doc_id > rep").select("doc_id").distinct()
               .join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
@@ -289,12 +356,14 @@ def link_documents(spark: SparkSession, docs: DataFrame, k: int = WORDS, num: in
     single = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
     total = classes.agg(F.sum(F.expr(f"n - ceil({num} * n / {den}) + 1"))).first()[0] or 0
     posted = postings(single, sketch, k, num, den, block)
-    listed = stored(spark, blocks(posted, max(1, int(total) // POSTINGS_PER_TASK), num, den), "blocks")
+    met = stored(spark, blocks(posted, max(1, int(total) // POSTINGS_PER_TASK), num, den), "blocks")
+    sizes = sets.where("n > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"]).select("doc_id", "n", "sig")
+    listed = stored(spark, fitting(met, sizes, max(1, met.count() // 50_000), num, den), "fitting")
     rows = listed.count()
     edges = join_blocks(members(single, listed, sketch, k), sketch, max(1, rows // 2000), num, den)
     parts = connected_components(spark, edges)
     named = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.join(named, ["n", "d1", "d2"], "left")
+    out = sets.drop("sig").join(named, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
