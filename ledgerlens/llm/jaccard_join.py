@@ -9,12 +9,13 @@ together and prunes subtrees by bounds on what is left.
    sketch of fixed size over all documents; any order is right, a good one keeps what follows short.
 3. Blocks. Two sets with Jaccard t share one of the first n - ceil(t n) + 1 shingles of each in
    that order. Documents that share such a shingle form a block; a frequent shingle's block
-   is dealt to tiles of about ``BLOCK`` documents, in which every two documents still meet. Members without a partner
-   whose size and parity sketch fit leave (two sets differ in at least as many shingles as their sketches in bits, so
-   no link is lost); equal blocks are kept once.
-4. Trie. Each block's whole sets are joined in a trie. A block returns edges that span its
-   local components, not its pairs.
-5. Components by large-star / small-star over those edges.
+   is dealt to tiles of about ``BLOCK`` documents, in which every two documents still meet.
+4. Candidates. Two members are candidates if their sizes and parity sketches fit (two sets differ in at least as many
+   shingles as their sketches in bits, so no link is lost). Blocks return edges that span their candidates' components, not
+   pairs; the components over all blocks are the groups that a link can't leave.
+5. Trie. Each group's whole sets are joined in a trie, large groups' in tiles of two slices of ``BLOCK`` sets. A trie returns
+   edges that span its local components.
+6. Components by large-star / small-star over those edges.
 
 Defined results: without words (or null text) n_shingles is 0 and the document links with nothing;
 rows that share a doc_id share a component; a null doc_id links with nothing and has a null component;
@@ -42,6 +43,8 @@ SKETCH_BITS = 18
 SKETCH_PARTS = 64
 BLOCK = 512
 POSTINGS_PER_TASK = 500_000
+#: Up to so many longs (8 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(arr: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -169,8 +172,22 @@ def blocks(posted: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
     return posted.repartition(partitions, "tile").mapInArrow(run, "block long, doc_id long").distinct()
 
 
+def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Component labels (smallest member) after linking x[i] with y[i]."""
+    while True:
+        a, b = label[x], label[y]
+        differ = a != b
+        if not differ.any():
+            return label
+        x, y, a, b = x[differ], y[differ], a[differ], b[differ]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def fitting(listed: DataFrame, sets: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
-    """(block, doc_id) of the members that may link with another one of their block."""
+    """(a, b): edges that span the components of the candidate pairs of each block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "block", 20_000):
             block, doc, n = (t[c].to_numpy() for c in ("block", "doc_id", "n"))
@@ -190,7 +207,7 @@ def fitting(listed: DataFrame, sets: DataFrame, partitions: int, num: int, den:
                     fold_at[twice] = len(own) + np.arange(len(twice))
                 if parts:
                     rows[b] = np.concatenate(parts)
-            fits = np.zeros(len(n), bool)
+            label = np.arange(len(n))
             left = np.arange(len(n) - 1)
             k = 1
             while len(left):
@@ -207,24 +224,28 @@ def fitting(listed: DataFrame, sets: DataFrame, partitions: int, num: int, den:
                     differ = np.bitwise_count(sig[at[x]] ^ sig[np.where(bits[y] == size, at[y], fold_at[y])]).sum(1, dtype=np.int64)
                     # linked sets differ in at most (den - num) / (den + num) of the sum of their sizes
                     good = (den + num) * differ <= (den - num) * (n[x] + n[y])
-                    fits[x[good]] = fits[y[good]] = True
+                    label = merge(label, x[good], y[good])
                 k += 1
-            block, doc = block[fits], doc[fits]
-            if not len(block):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            size = np.diff(np.append(first, len(block)))
-            key = mix64(np.add.reduceat(mix64(doc.astype(np.uint64)), first) + size.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, size).view(np.int64)), pa.array(doc)], names=["block", "doc_id"])
+            some = label != np.arange(len(n))
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(doc[label[some]])], names=["a", "b"])
 
     rows = listed.join(sets, "doc_id").select("block", "doc_id", "n", "sig")
-    return rows.repartition(partitions, "block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(run, "block long, doc_id long").distinct()
+    return rows.repartition(partitions, "block").sortWithinPartitions("block", "n", "doc_id").mapInArrow(run, "a long, b long")
+
+
+def group_tiles(parts: DataFrame, block: int) -> DataFrame:
+    """(doc_id, blocks) from (node, component): the one block of each document of a group, or of a group of more
+    than ``block`` the tiles of its slice with every slice."""
+    size = parts.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).alias("g"))
+    own = F.pmod(F.xxhash64("node"), F.col("g"))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.xxhash64("component", F.least(own, o), F.greatest(own, o)))
+    return parts.join(size, "component").select(F.col("node").alias("doc_id"), tiles.alias("blocks"))
 
 
-def members(docs: DataFrame, listed: DataFrame, sketch: np.ndarray, k: int) -> DataFrame:
+def members(docs: DataFrame, per_doc: DataFrame, sketch: np.ndarray, k: int) -> DataFrame:
     """(block, doc_id, grams): the whole ordered sets, in every block of the document."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
-    per_doc = listed.groupBy("doc_id").agg(F.collect_list("block").alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,6 +366,8 @@ def join_blocks(sets: DataFrame, sketch: np.ndarray, partitions: int, num: int,
 def link_documents(spark: SparkSession, docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; documents with
     den * |intersection| >= num * |union| are linked, component_id is the smallest doc_id reachable."""
+    if 2 * num < den:
+        raise ValueError("similarities below one half are not supported")
     ship(spark)
     made = stored(spark, digests(docs, k), "digests")
     sketch = read_sketch(made)
@@ -353,14 +376,16 @@ def link_documents(spark: SparkSession, docs: DataFrame, k: int = WORDS, num: in
     copies = (sets.where("n > 0").join(classes, ["n", "d1", "d2"]).where("doc_id > rep").select("doc_id").distinct()
               .join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
     copies = stored(spark, copies, "copies")
-    single = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
+    single = docs.where("doc_id is not null").join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti")
     total = classes.agg(F.sum(F.expr(f"n - ceil({num} * n / {den}) + 1"))).first()[0] or 0
     posted = postings(single, sketch, k, num, den, block)
     met = stored(spark, blocks(posted, max(1, int(total) // POSTINGS_PER_TASK), num, den), "blocks")
     sizes = sets.where("n > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"]).select("doc_id", "n", "sig")
-    listed = stored(spark, fitting(met, sizes, max(1, met.count() // 50_000), num, den), "fitting")
-    rows = listed.count()
-    edges = join_blocks(members(single, listed, sketch, k), sketch, max(1, rows // 2000), num, den)
+    candidates = connected_components(spark, fitting(met, sizes, max(1, met.count() // 50_000), num, den), "candidates")
+    per_doc = stored(spark, group_tiles(stored(spark, candidates, "groups"), block), "tiles")
+    rows = per_doc.agg(F.sum(F.size("blocks"))).first()[0] or 0
+    few = F.broadcast(per_doc) if rows <= BROADCAST_IDS else per_doc
+    edges = join_blocks(members(single, few, sketch, k), sketch, max(1, rows // 2000), num, den)
     parts = connected_components(spark, edges)
     named = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.drop("sig").join(named, ["n", "d1", "d2"], "left")
