@@ -18,7 +18,7 @@ together and prunes subtrees by bounds on what is left.
 6. Components by large-star / small-star over those edges.
 
 Defined results: without words (or null text) n_shingles is 0 and the document links with nothing;
-rows that share a doc_id share a component; a null doc_id links with nothing and has a null component;
+rows that share a doc_id share a component (those with words); a null doc_id links with nothing and has a null component;
 an empty table gives an empty table; other input columns are not read.
 
 Scale: texts are read by column, and moved once, for documents that share a rare shingle with another. Shingles
@@ -386,6 +386,11 @@ def link_documents(spark: SparkSession, docs: DataFrame, k: int = WORDS, num: in
     rows = per_doc.agg(F.sum(F.size("blocks"))).first()[0] or 0
     few = F.broadcast(per_doc) if rows <= BROADCAST_IDS else per_doc
     edges = join_blocks(members(single, few, sketch, k), sketch, max(1, rows // 2000), num, den)
+    # the classes of one doc_id's rows belong together
+    many = stored(spark, sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2").distinct()
+                  .groupBy("doc_id").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("doc_id"), "many")
+    if many.limit(1).count():
+        edges = edges.union(sets.join(many, "doc_id").join(classes, ["n", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     parts = connected_components(spark, edges)
     named = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.drop("sig").join(named, ["n", "d1", "d2"], "left")

@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WORD_RE, cols, stored, table, without
+from ledgerlens.llm.common import WORD_RE, stored, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -43,9 +43,6 @@ SEED = 17
 BROADCAST_SOURCES = 100_000
 SALTS = 64
 
-OUTPUTS = ("size", "source_size", "target", "taken", "passes", "span_start", "span_end")
-
-
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
@@ -145,12 +142,11 @@ def mixed_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as the mix takes it whole, and once more
     with the words of its span where the mix takes a part (the span's words joined by a space;
     a span of all words is the text as it is). Documents of which nothing is taken go."""
-    keep = without(docs, *OUTPUTS)
     plan = (mix(spark, docs, **options).where("taken > 0")
             .groupBy("doc_id", "source", "th").agg(F.collect_list(F.struct("size", "passes", "span_start", "span_end")).alias("__plan"))
             .select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("th").alias("__th"), "__plan"))
     plan = stored(spark, plan, "mix")
-    rows = docs.select(*cols(keep)).withColumn("__h", F.xxhash64("text")).withColumn("__nth", F.lit(1))
+    rows = docs.withColumn("__h", F.xxhash64("text")).withColumn("__nth", F.lit(1))
     if plan.where(F.size("__plan") > 1).limit(1).count():
         # equal rows share one key; each of them takes one entry of the key's list
         rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__h").orderBy(F.lit(1))))
@@ -160,7 +156,7 @@ def mixed_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     partial = F.when(F.col("__p.span_end") - F.col("__p.span_start") == F.col("__p.size"), F.col("text")).when(F.col("__p.span_end") > F.col("__p.span_start"), part)
     copies = F.concat(F.array_repeat(F.col("text"), F.col("__p.passes").cast("int")), F.array_compact(F.array(partial)))
     rows = rows.withColumn("__text", F.explode(copies))
-    return rows.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in keep])
+    return rows.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,9 +43,9 @@ END_ID = 1
 GROUP_TOKENS = 2_000_000
 VOCABULARY = "word_bpe_49k.json"
 
-#: Bytes of text taken at once, and pieces of words a Python worker keeps between them (about 100 MB).
-TEXT_BYTES = 8 << 20
-CACHED_PIECES = 400_000
+#: Bytes of text taken at once, and pieces of words a Python worker keeps between them (about 60 MB).
+TEXT_BYTES = 4 << 20
+CACHED_PIECES = 250_000
 #: Texts below this are cut here as the tokenizer cuts them: Latin letters without separators or combining marks.
 _PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
 _TOKENIZERS: dict[str, WordTokenizer] = {}

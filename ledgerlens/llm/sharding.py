@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import Stored, stored, table
 
 SHARDS = 8
-RANGES_PER_SHARD = 64
+RANGES_PER_SHARD = 256
 SAMPLES_PER_RANGE = 8
-LARGE = 32
+LARGE = 128
 PIECE_ROWS = 1000
 SEED = 23
 

@@ -293,6 +293,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gra
     ranks = stored(spark, classes.withColumnRenamed("rep", "doc").join(many, "doc").select("doc", "th", (F.row_number().over(Window.partitionBy("doc").orderBy("th", "th2")) - 1).cast("long").alias("rank")), "ranks")
     single = d.join(copies, "doc", "left_anti").where(F.octet_length("text") >= length).withColumn("th", F.xxhash64("text"))
     single = single.join(ranks, ["doc", "th"], "left").withColumn("rank", F.coalesce("rank", F.lit(0).cast("long"))) if ranks.limit(1).count() else single.withColumn("rank", F.lit(0).cast("long"))
+    twice = stored(spark, rows.groupBy("doc", "n_bytes", "th", "th2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc").distinct(), "twice")
+    if twice.limit(1).count():
+        # equal rows of one doc_id are one text
+        single = single.join(twice, "doc", "left_anti").unionByName(single.join(twice, "doc", "left_semi").dropDuplicates(["doc", "th"]))
     total = classes.agg(F.sum("n_bytes")).first()[0] or 0
     tasks = max(1, total * 2 // (length - gram) // SUFFIXES_PER_TASK)
     found = Stored(spark, meet(suffix_table(single, length, gram), tasks, length), "found").df

@@ -1,6 +1,6 @@
 """Numpy over Arrow text columns: words, lines and rolling hashes of many texts at once.
 
-A column of texts is taken in slices of a few megabytes (whole texts; one longer
+A column of texts is taken in slices of a megabyte (whole texts; one longer
 text is a slice by itself), so that the 8-byte arrays per text byte stay small.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)   # odd, so that its powers have inverses modulo 2^64

@@ -35,6 +35,8 @@ def rows():
         rows.append((100 - i if i % 2 else i, t, None if i % 11 == 0 else "en", None if i % 13 == 0 else f"src{i % 4}" if i % 3 else "host/path/x", None, 1, "k", 2, None, "z", 5, 7))
     rows += [(None, base, "en", "src1", 3, 1, "k", 2, None, "z", 5, 7), (None, None, None, None, None, None, None, None, None, None, None, None)]
     rows += [rows[3], rows[3], rows[60], rows[60]]
+    # one doc_id with other texts: new, a copy of another document's, none
+    rows += [rows[5][:1] + (t,) + rows[5][2:] for t in (base + " and more", rows[8][1], None)]
     return rows
 
 

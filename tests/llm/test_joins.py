@@ -43,7 +43,7 @@ def brute_components(rows, k, num, den):
         for b, y in sets[:i]:
             if a is not None and b is not None and x and y and den * len(x & y) >= num * len(x | y):
                 u.join(a, b)
-    return Counter((d, len(s), None if d is None else u.find(d)) for d, s in sets)
+    return Counter((d, len(s), None if d is None else u.find(d) if s else d) for d, s in sets)
 
 
 @pytest.mark.parametrize("k, num, den, block", [(4, 85, 100, 512), (5, 80, 100, 512), (4, 85, 100, 3), (2, 50, 100, 2)])
