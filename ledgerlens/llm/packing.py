@@ -43,9 +43,9 @@ END_ID = 1
 GROUP_TOKENS = 2_000_000
 VOCABULARY = "word_bpe_49k.json"
 
-#: Bytes of text taken at once, and pieces of words a Python worker keeps between them (about 60 MB).
-TEXT_BYTES = 4 << 20
-CACHED_PIECES = 250_000
+#: Bytes of text taken at once, and pieces of words a Python worker keeps between them, in each of two generations (about 100 MB).
+TEXT_BYTES = 8 << 20
+CACHED_PIECES = 200_000
 #: Texts below this are cut here as the tokenizer cuts them: Latin letters without separators or combining marks.
 _PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -72,6 +72,7 @@ class WordTokenizer:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -96,7 +97,8 @@ class WordTokenizer:
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each word."""
         if len(self.cache) > CACHED_PIECES:
-            self.cache.clear()
+            # what is met again moves on, the rest goes with its generation
+            self.cache, self.old = {}, self.cache
         out: list[bytes] = []
         for i in range(0, len(words), 40_000):
             parts: list[list[str] | str] = []
@@ -107,7 +109,10 @@ class WordTokenizer:
                     parts.append(p)
                     for x in p:
                         if x not in self.cache:
-                            new[x] = None
+                            if x in self.old:
+                                self.cache[x] = self.old[x]
+                            else:
+                                new[x] = None
                 else:
                     parts.append(w)
             self.cache.update(self.pieces(list(new)))
