@@ -44,7 +44,7 @@ GROUP_TOKENS = 2_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 #: Bytes of text taken at once, and pieces of words a Python worker keeps between them, in each of two generations (about 100 MB).
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 16 << 20
 CACHED_PIECES = 200_000
 #: Texts below this are cut here as the tokenizer cuts them: Latin letters without separators or combining marks.
 _PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
