@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas as S
 from .columns import customer_tier, prob_to_score, score_to_decision, tier_description
@@ -81,11 +80,6 @@ def guardrail_columns(cols: list[str], score: Column, limit: Column) -> dict[str
     }
 
 
-def apply_guardrails(df: DataFrame, score: str = "ml_score", limit: str = "initial_limit") -> DataFrame:
-    g = guardrail_columns(df.columns, F.col(score), F.col(limit))
-    return df.withColumns(g)
-
-
 # ---------------------------------------------------------------------------
 # cold start, established, blend, router
 # ---------------------------------------------------------------------------
@@ -151,48 +145,6 @@ def blended_columns(cols: list[str], cold: dict[str, Column], full: dict[str, Co
     }
 
 
-ROUTER_FIELDS = ["customer_tier", "tier_description", "account_age_months", "ml_probability",
-                 "ml_score", "final_score", "decision", "max_credit_limit", "risk_warnings",
-                 "model_used", "note", "recommendation"]
-
-
-def router_columns(cols: list[str], cold_prob: Column, full_prob: Column) -> dict[str, Column]:
-    """Score every row by both models, then pick per tier (F17). Tier-2 rows
-    carry no ``ml_score``, ``risk_warnings`` or ``note``; tier-3 rows carry no
-    ``ml_score`` / ``risk_warnings`` (uniform schema, NULL where absent)."""
-    acct = field(cols, "account_age_months", 0).cast("int")
-    tier = customer_tier(acct)
-    cold = cold_columns(cols, cold_prob)
-    full = established_columns(cols, full_prob)
-    blend = blended_columns(cols, cold, full)
-
-    def pick(name, dtype):
-        c1 = cold.get(name)
-        c2 = blend.get(name)
-        c3 = full.get(name)
-        null = F.lit(None).cast(dtype)
-        return (F.when(tier == 1, c1 if c1 is not None else null)
-                .when(tier == 2, c2 if c2 is not None else null)
-                .otherwise(c3 if c3 is not None else null))
-
-    return {
-        "customer_tier": tier,
-        "tier_description": tier_description(tier),
-        "account_age_months": acct,
-        "ml_probability": pick("ml_probability", T.DoubleType()),
-        "ml_score": pick("ml_score", T.IntegerType()),
-        "final_score": pick("final_score", T.IntegerType()),
-        "decision": pick("decision", T.StringType()),
-        "max_credit_limit": pick("max_credit_limit", T.IntegerType()),
-        "risk_warnings": pick("risk_warnings", T.ArrayType(T.StringType())),
-        "model_used": pick("model_used", T.StringType()),
-        "note": pick("note", T.StringType()),
-        "recommendation": (F.when(tier == 1, F.lit(S.RECOMMEND_TIER_1))
-                           .when(tier == 2, F.lit(S.RECOMMEND_TIER_2))
-                           .otherwise(F.lit(S.RECOMMEND_TIER_3))),
-    }
-
-
 # ---------------------------------------------------------------------------
 # rule scorecard
 # ---------------------------------------------------------------------------
@@ -263,28 +215,7 @@ def surrogate_cold_probability(cols: list[str]) -> Column:
 # validation (P7) and defaults (P10)
 # ---------------------------------------------------------------------------
 
-STATIC_RULES = [
-    ("age", 18, 100), ("employment_status", None, None), ("education_level", None, None),
-    ("monthly_income", 0, None), ("city_tier", None, None), ("dependents", 0, None),
-    ("residence_type", None, None), ("account_age_months", 0, None),
-]
-
-BEHAVIOURAL_RULES = [
-    ("util_avg_3m", None, None), ("payment_ratio_avg_3m", None, None),
-    ("max_outstanding_3m", None, None), ("avg_txn_amt_3m", None, None),
-    ("avg_txn_count_3m", None, None), ("late_payments_3m", 0, None),
-    ("missed_due_count_3m", 0, None), ("missed_due_last_1m", 0, 1),
-    ("payment_ratio_last_1m", None, None), ("outstanding_delta_3m", None, None),
-    ("bnpl_active_last_1m", 0, 1), ("consecutive_missed_due", 0, None),
-    ("payment_ratio_min_3m", None, None), ("worst_util_3m", None, None),
-    ("ever_defaulted", 0, 1), ("default_count_history", 0, None),
-    ("months_since_last_default", 0, None), ("outstanding_to_income_pct", None, None),
-    ("income_affordability_score", None, None), ("debt_burden_category", 0, 3),
-    ("payment_ratio_trend", None, None), ("utilization_trend", None, None),
-    ("outstanding_growth_rate", None, None), ("is_deteriorating", 0, 1),
-    ("active_months_3m", 0, 3), ("avg_util_when_active", None, None),
-    ("account_age_bucket", 0, 2), ("risk_score", 0, 100), ("snapshot_month", None, None),
-]
+STATIC_RULES, BEHAVIOURAL_RULES = S.STATIC_RULES, S.BEHAVIOURAL_RULES
 
 
 def violations_column(cols: list[str], rules) -> Column:
@@ -316,8 +247,8 @@ def validate(df: DataFrame, full: bool = False) -> tuple[DataFrame, DataFrame]:
 def fill_defaults(df: DataFrame, defaults: dict | None = None, feature_order: list[str] | None = None,
                   audit_variant: bool = False) -> DataFrame:
     """Neutral behavioural defaults before full-model scoring (P10): present
-    columns keep their values (NULL -> default), absent ones get the literal;
-    the result is ordered as the model's feature list. The audit variant uses
+    columns keep their values, NULLs too (the model's imputer fills them), absent ones
+    get the literal; the result is ordered as the model's feature list. The audit variant uses
     snapshot month 4 and affordability = income / 1 when income > 0."""
     d = dict(defaults or S.NEUTRAL_DEFAULTS)
     if audit_variant:
@@ -326,7 +257,7 @@ def fill_defaults(df: DataFrame, defaults: dict | None = None, feature_order: li
     filled = {}
     for name, v in d.items():
         lit = F.lit(v)
-        filled[name] = F.coalesce(F.col(name), lit) if name in cols else lit
+        filled[name] = F.col(name) if name in cols else lit
     if audit_variant:
         inc = field(cols, "monthly_income", 0)
         filled["income_affordability_score"] = F.when(
@@ -337,12 +268,14 @@ def fill_defaults(df: DataFrame, defaults: dict | None = None, feature_order: li
     return out.select(*keep, *[c for c in order if c in out.columns])
 
 
-def route(df: DataFrame, cold_prob: Column, full_prob: Column, keep: list[str] | None = None) -> DataFrame:
+def route(df: DataFrame, cold_prob: Column, full_prob: Column, keep: list[str] | None = None,
+          zero_on_reject: bool = False) -> DataFrame:
     """The tier router (F17) as staged projections: probabilities and scores,
     then the cold guardrails, then the blend, then the per-tier pick. Each
     stage references the previous stage's columns, so the generated code stays
     small (one flat expression for all tiers exceeds the 64 KB method limit and
-    falls back to interpreted evaluation)."""
+    falls back to interpreted evaluation). A rejected request keeps the limit of its tier's rule;
+    ``zero_on_reject`` makes it 0 in all tiers."""
     cols = df.columns
     x = df.withColumns({
         "_pc": with_fallback(cold_prob), "_pf": with_fallback(full_prob),
@@ -367,6 +300,9 @@ def route(df: DataFrame, cold_prob: Column, full_prob: Column, keep: list[str] |
         return F.when(t == 1, c1).when(t == 2, c2).otherwise(c3)
 
     score = pick(F.col("_cs"), F.col("_bs"), F.col("_fs"))
+    limit = pick(F.col("_cl"), F.col("_blim"), F.col("_flim"))
+    if zero_on_reject:
+        limit = F.when(score_to_decision(score) == S.DECISIONS[-1], F.lit(0)).otherwise(limit)
     null_s = F.lit(None).cast("string")
     out = {
         "customer_tier": t,
@@ -376,7 +312,7 @@ def route(df: DataFrame, cold_prob: Column, full_prob: Column, keep: list[str] |
         "ml_score": F.when(t == 1, F.col("_ms")),
         "final_score": score,
         "decision": score_to_decision(score),
-        "max_credit_limit": pick(F.col("_cl"), F.col("_blim"), F.col("_flim")),
+        "max_credit_limit": limit,
         "risk_warnings": F.when(t == 1, F.col("_cw")),
         "model_used": pick(F.lit(S.MODEL_USED_COLD), F.lit(S.MODEL_USED_BLEND), F.lit(S.MODEL_USED_FULL)),
         "note": F.when(t == 1, F.lit(S.NOTE_COLD)).when(t == 3, F.lit(S.NOTE_FULL)).otherwise(null_s),

@@ -147,7 +147,9 @@ def log_loss(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def threshold_sweep(df: DataFrame, y: str = "y", p: str = "p", thresholds=None) -> DataFrame:
     """Precision, recall, F1 and accept rate (share p < t, in %) for each
-    threshold (A22) — one aggregate pass with conditional sums per threshold."""
+    threshold (A22) — one aggregate pass with conditional sums per threshold.
+    Rows without a probability are left out."""
+    df = df.where(F.col(p).isNotNull())
     ts = thresholds or S.THRESHOLDS
     yy, pp = F.col(y), F.col(p)
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -210,7 +212,9 @@ def default_rate_by_decision(df: DataFrame, y: str = "y", decision: str = "decis
 def decile_table(df: DataFrame, y: str = "y", p: str = "p", q: int = 10) -> DataFrame:
     """Quantile bins of the probability (A13): edges are exact linear
     quantiles, bins right-closed with the lowest value in bin 0 (pandas
-    qcut); duplicate edges raise, as qcut does."""
+    qcut); duplicate edges raise, as qcut does. Rows without a probability
+    are in no bin."""
+    df = df.where(F.col(p).isNotNull())
     probs = [i / q for i in range(q + 1)]
     qs = exact_quantiles(df, p, probs).where((F.col("q") > 0) & (F.col("q") < 1))
     edges = qs.agg(F.array_sort(F.collect_list("quantile")).alias("_edges"),   # 9 values

@@ -10,7 +10,8 @@ Parity notes: sklearn's L2 logistic regression minimises
 ½‖w‖² + C·Σ wᵢ·lossᵢ; MLlib minimises (1/Σw)·Σ wᵢ·lossᵢ + ½·λ‖w‖², so
 λ = 1 / (C·Σw) (Σw = n with balanced weights) and ``standardization=False``
 since the pipeline scales already. Trees cannot match row by row (different
-split search); sklearn trees are unbounded, ours stop at depth 20.
+split search); sklearn trees are unbounded, MLlib's stop at depth 30 at most
+(``rf_max_depth``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -28,22 +29,22 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.columns import prob_to_score, score_to_decision
 from . import metrics as M
-from .prep import build_pipeline, expanded_feature_names, with_class_weights
+from .prep import expanded_feature_names, preprocessor, split_roles, with_class_weights
 
 CANDIDATE_ORDER = ["logistic_regression", "random_forest", "gradient_boosting"]
 CANDIDATE_TYPE = {"logistic_regression": "LogisticRegression", "random_forest": "RandomForestClassifier",
                   "gradient_boosting": "GBTClassifier"}
-RF_MAX_DEPTH = 20
+RF_MAX_DEPTH = 30     # MLlib's limit
 
 
-def make_classifier(name: str, n_train: int, label: str = S.LABEL):
+def make_classifier(name: str, n_train: int, label: str = S.LABEL, rf_max_depth: int = RF_MAX_DEPTH):
     if name == "logistic_regression":
         return LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=1000,
                                   regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False,
                                   family="binomial", tol=1e-6)
     if name == "random_forest":
         return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=100,
-                                      featureSubsetStrategy="sqrt", maxDepth=RF_MAX_DEPTH, seed=42,
+                                      featureSubsetStrategy="sqrt", maxDepth=rf_max_depth, seed=42,
                                       impurity="gini",
                                       # deep trees: cache node ids per row (checkpointed into the
                                       # shared checkpoint folder) and fewer node-group passes per level
@@ -68,17 +69,23 @@ class Fitted:
     metrics: dict = field(default_factory=dict)
 
 
-def fit_candidate(train: DataFrame, role: str, name: str, label: str = S.LABEL) -> Fitted:
+def fit_candidates(train: DataFrame, role: str, names: list[str], label: str = S.LABEL) -> dict[str, Fitted]:
+    """The preprocessing is fitted once; every candidate is fitted on the encoded vectors."""
     feats = role_features(role)
     data = with_class_weights(train.select(*feats, label), label)
-    n_train = data.count()
-    pipe, cat, num = build_pipeline(data, feats, make_classifier(name, n_train, label))
-    data = data.persist()          # iterative fits re-read the encoded frame
+    cat, num = split_roles(data, feats)
+    prep = Pipeline(stages=preprocessor(cat, num)).fit(data)
+    enc = prep.transform(data).select("features", label, "weight").persist()    # iterative fits re-read the vectors
     try:
-        model = pipe.fit(data)
+        n_train = enc.count()
+        return {name: Fitted(name, role, PipelineModel(prep.stages + [make_classifier(name, n_train, label).fit(enc)]), cat, num)
+                for name in names}
     finally:
-        data.unpersist()
-    return Fitted(name, role, model, cat, num)
+        enc.unpersist()
+
+
+def fit_candidate(train: DataFrame, role: str, name: str, label: str = S.LABEL) -> Fitted:
+    return fit_candidates(train, role, [name], label)[name]
 
 
 def predict(fitted: Fitted | PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -110,22 +117,20 @@ def evaluate(fitted: Fitted, test: DataFrame, label: str = S.LABEL) -> dict:
 def train_role(train: DataFrame, test: DataFrame, role: str, candidates: list[str] | None = None,
                label: str = S.LABEL) -> tuple[dict[str, Fitted], str]:
     """Fit and evaluate every candidate; best by AUC, strict >, first wins."""
-    fitted = {}
+    fitted = fit_candidates(train, role, candidates or CANDIDATE_ORDER, label)
     best, best_auc = None, None
-    for name in candidates or CANDIDATE_ORDER:
-        f = fit_candidate(train, role, name, label)
+    for name, f in fitted.items():
         evaluate(f, test, label)
-        fitted[name] = f
         auc = f.metrics["roc_auc"]
-        if best is None or (auc is not None and auc > best_auc):
+        if best is None or (auc is not None and (best_auc is None or auc > best_auc)):
             best, best_auc = name, auc
     return fitted, best
 
 
 def comparison_frame(spark: SparkSession, fitted: dict[str, Fitted], best: str) -> DataFrame:
-    """Model comparison table."""
-    rows = [(f.role, f.name, CANDIDATE_TYPE[f.name], float(f.metrics["roc_auc"]), float(f.metrics["recall"]),
-             float(f.metrics["f1"]), float(f.metrics["precision"]), float(f.metrics["accuracy"]), f.name == best)
+    """Model comparison table (A27); a metric that the hold-out doesn't define is NULL."""
+    value = lambda f, k: None if f.metrics[k] is None else float(f.metrics[k])
+    rows = [(f.role, f.name, CANDIDATE_TYPE[f.name], *[value(f, k) for k in ("roc_auc", "recall", "f1", "precision", "accuracy")], f.name == best)
             for f in fitted.values()]
     return spark.createDataFrame(rows, "role string, model string, model_type string, roc_auc double, "
                                        "recall double, f1 double, precision double, accuracy double, is_best boolean")
@@ -142,7 +147,41 @@ def feature_importance(spark: SparkSession, f: Fitted) -> DataFrame:
         imp = [float(x) for x in clf.featureImportances.toArray()]
     else:
         imp = [0.0] * len(names)
-    return spark.createDataFrame(list(zip(names, imp)), "feature string, importance double")
+    return spark.createDataFrame(list(zip(names, imp, strict=True)), "feature string, importance double")
+
+
+def feature_list(spark: SparkSession, f: Fitted, run_id: str) -> DataFrame:
+    """The model's inputs in order, with their kind."""
+    rows = [(run_id, f.role, i, c, "categorical" if c in f.categorical else "numeric") for i, c in enumerate(role_features(f.role))]
+    return spark.createDataFrame(rows, "run_id string, role string, position int, feature string, kind string")
+
+
+def evaluation_report(pred: DataFrame, role: str) -> DataFrame:
+    """All evaluation tables of one model's stored predictions (y, probability, predicted,
+    credit_score, decision) in long form: (role, section, item, metric, value)."""
+    ev = pred.select("y", F.col("probability").alias("p"), F.col("predicted").alias("pred"), F.col("credit_score").alias("score"), "decision")
+    auc, binary = M.roc_auc(ev), M.binary_metrics(ev)
+    parts = [
+        ("summary", auc, None), ("summary", binary, None), ("summary", M.average_precision(ev), None), ("summary", M.log_loss(ev), None),
+        ("confusion", M.confusion(ev), None), ("gate", M.metric_gate(auc, binary), None),
+        ("class", M.classification_report(ev), "label"), ("threshold", M.threshold_sweep(ev), "threshold"),
+        ("decision", M.default_rate_by_decision(ev), "decision"), ("score", _score_bins(ev), "bin"),
+        ("roc_curve", M.roc_curve(ev).where("threshold <> double('inf')"), "threshold"), ("pr_curve", M.pr_curve(ev).where("threshold is not null"), "threshold"),
+    ]
+    out = None
+    for section, df, item in parts:
+        values = [c for c in df.columns if c != item]
+        long = df.select((F.col(item).cast("string") if item else F.lit("all")).alias("item"),
+                         F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in values])).alias("m"))
+        long = long.select(F.lit(role).alias("role"), F.lit(section).alias("section"), "item", "m.metric", "m.value")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def _score_bins(ev: DataFrame) -> DataFrame:
+    """Rows and default rate per 60 points of the score: defined for tied probabilities too, where deciles aren't."""
+    b = F.least(F.floor((F.col("score") - S.SCORE_MIN) / 60), F.lit(9)).cast("int")
+    return ev.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("y").alias("default_rate"))
 
 
 def top_features(importance: DataFrame, n: int = 15) -> DataFrame:

@@ -5,107 +5,126 @@
                   deciles, median imputation) — same values as pandas
                   ``quantile`` / DuckDB ``quantile_cont``.
 
-Both work the same way: the input is first collapsed to one row per distinct
-value (a value that holds a third of all rows becomes one row), the value
-range is cut into ``n_buckets`` ranges with approximate quantile bounds (used
-only to balance the work — the result stays exact), every bucket's total is
-computed, and a running sum inside each bucket plus the totals of the buckets
-before it gives the global running sum. Only bucket-level data (``groups x
-n_buckets`` rows) is ever ordered as a whole; the per-bucket sorts run in
-parallel.
-
-``by`` columns must be of low cardinality (classes, column names): the
-per-group bound table is broadcast.
+Quantiles are found by rank selection: a sketch gives two bounds that hold each
+wanted rank between them, one pass counts the values outside the bounds and keeps
+the distinct values inside (a few in ten thousand of the rows), and only those are
+sorted. The bounds limit the work; the ranks come from exact counts, and a rank that
+lies outside its bounds is an error, not a guess.
+
+Running sums cut the value range into buckets with approximate bounds (only
+to balance the work), add up each bucket, and add the totals of the buckets before it
+to a running sum inside each bucket. The number of buckets grows with the rows.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import warehouse_path
+
+ROWS_PER_BUCKET = 200_000
+#: Rank error of the sketch: one in so many rows.
+SKETCH = 10_000
 
-MAX_BUCKETS = 128  # enough parallel sorts; bucket search is O(buckets) per row
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: consumers share one evaluation."""
+    path = warehouse_path(df.sparkSession, f"scratch/{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
-    if n_buckets:
-        return n_buckets
-    return min(MAX_BUCKETS, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))))
 
+def bucket_index(x: Column, bounds: Column, n: int, descending: bool = False) -> Column:
+    """How many of the ``n`` sorted bounds lie before x: first among every step-th bound, then
+    among the bounds of one step, 2 * sqrt(n) comparisons."""
+    step = max(1, math.isqrt(n))
+    before = (lambda t: t > x) if descending else (lambda t: t < x)
+    if descending:
+        bounds = F.reverse(bounds)
+    heads = F.transform(F.sequence(F.lit(1), F.lit(n), F.lit(step)), lambda i: F.element_at(bounds, i))
+    block = F.greatest(F.size(F.filter(heads, before)) - 1, F.lit(0))
+    return block * step + F.size(F.filter(F.slice(bounds, block * step + 1, F.lit(step)), before))
 
-def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None,
-                descending: bool = False, inclusive: bool = True, n_buckets: int | None = None,
-                prefix: str = "cum_") -> DataFrame:
-    """Add ``cum_<c>`` = sum of ``c`` over rows (of the same ``by`` group) that
-    come before (and, if ``inclusive``, at) each row in ``order``.
 
-    ``order`` values must be unique within a group (aggregate first).
+def prefix_sums(df: DataFrame, order: str, sums: list[str], descending: bool = False, inclusive: bool = True,
+                n_buckets: int | None = None, prefix: str = "cum_", then: list[str] | None = None) -> DataFrame:
+    """Add ``cum_<c>`` = sum of ``c`` over rows that come before (and, if
+    ``inclusive``, at) each row in ``order`` (numeric), then by the columns of ``then``.
+
+    (order, *then) must be unique (aggregate first). The input is evaluated once.
     """
-    by = list(by or [])
-    gcols = by or ["_g"]
-    nb = _n_buckets(df, n_buckets)
+    x = written(df, "prefix")
+    nb = n_buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")), -(-x.count() // ROWS_PER_BUCKET))
     fracs = [i / nb for i in range(1, nb)]
-    xv = F.col(order)
-    if by:
-        # one bound array per group (low-cardinality groups): broadcast hash join
-        bounds = df.groupBy(*by).agg(F.percentile_approx(order, fracs, 10000).alias("_bounds"))
-        x = df.join(F.broadcast(bounds), by)
-    else:
-        # one bound array: an uncorrelated scalar subquery, no join
-        bound = df.agg(F.percentile_approx(order, fracs, 10000)).scalar()
-        x = df.withColumn("_g", F.lit(0)).withColumn("_bounds", bound)
-    if descending:
-        bucket = F.size(F.filter("_bounds", lambda t: t > xv))
-    else:
-        bucket = F.size(F.filter("_bounds", lambda t: t < xv))
-    x = x.withColumn("_b", bucket).drop("_bounds")
-
-    totals = x.groupBy(*gcols, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    w_t = Window.partitionBy(*gcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*gcols, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(w_t), F.lit(0)).alias(f"_o_{c}")
-                                            for c in sums])
-    x = x.join(F.broadcast(offsets), [*gcols, "_b"])
-
-    ordc = F.col(order).desc() if descending else F.col(order).asc()
-    w = Window.partitionBy(*gcols, "_b").orderBy(ordc)
-    w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    # one bound array: an uncorrelated scalar subquery, no join
+    bound = x.agg(F.percentile_approx(order, fracs, max(SKETCH, 10 * nb))).scalar()
+    x = x.withColumn("_bounds", bound)
+    x = x.withColumn("_b", bucket_index(F.col(order), F.col("_bounds"), nb - 1, descending)).drop("_bounds")
+
+    totals = x.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    # one row per bucket
+    w_t = Window.partitionBy().orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(w_t), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    x = x.join(F.broadcast(offsets), "_b")      # nb rows
+
+    ordc = [F.col(c).desc() if descending else F.col(c).asc() for c in [order, *(then or [])]]
+    w = Window.partitionBy("_b").orderBy(*ordc).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = x.select("*", *[(F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_o_{c}")).alias(f"{prefix}{c}")
                           for c in sums])
-    drop = ["_b", *[f"_o_{c}" for c in sums]] + ([] if by else ["_g"])
-    return out.drop(*drop)
+    return out.drop("_b", *[f"_o_{c}" for c in sums])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-                    n_buckets: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: for each group and ``q`` the
     value at position ``q * (n - 1)`` of the sorted non-null values.
 
+    ``by`` must have few groups (columns of a table, classes).
     Returns ``(*by, q, quantile)``.
     """
     by = list(by or [])
-    x = df.where(F.col(value).isNotNull())
-    # one row per distinct value, with its multiplicity
-    dist = x.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    cum = prefix_sums(dist, value, ["_cnt"], by=by, n_buckets=n_buckets)
-    lo_rank, hi_rank = F.col("cum__cnt") - F.col("_cnt"), F.col("cum__cnt")   # 0-based [lo, hi)
-    # group sizes from the (much smaller) distinct-value table
+    x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    slack = 4 / SKETCH
+    fracs = [min(max(q + s, 0.0), 1.0) for q in probs for s in (-slack, slack)]
+    sketch = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", fracs, SKETCH).alias("_s"),
+                                F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    small = F.col("_n") <= SKETCH       # the slack is under two ranks: keep every distinct value
+    bounds = sketch.select(*by, "_n", *[
+        F.when(small, F.col(end)).otherwise(F.get("_s", F.lit(2 * i + j))).alias(f"_b{i}{j}")
+        for i in range(len(probs)) for j, end in ((0, "_min"), (1, "_max"))])
+    bounds = written(bounds, "bounds")          # one row per group
     if by:
-        n = dist.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
-        cum = cum.join(F.broadcast(n), by)      # one row per group
+        x = x.join(F.broadcast(bounds), by)
     else:
-        cum = cum.withColumn("_n", dist.agg(F.sum("_cnt")).scalar())  # scalar subquery, no join
-    n_col = F.col("_n")
-    # For every q, the values at ranks floor(pos) and ceil(pos) are the rows whose
-    # rank range holds them; emit (q, which, value) for those rows only.
+        x = x.withColumns({c: bounds.select(c).scalar() for c in bounds.columns})
+    v = F.col("_v")
+    inside = region = None
+    for i in range(len(probs)):
+        a, b = v >= F.col(f"_b{i}0"), v > F.col(f"_b{i}1")
+        inside = (a & ~b) if inside is None else inside | (a & ~b)
+        region = (a.cast("int") + b.cast("int")) if region is None else region + a.cast("int") + b.cast("int")
+    kept = (x.groupBy(*by, "_n", region.alias("_r"), F.when(inside, v).alias("_k"))
+            .agg(F.count(F.lit(1)).alias("_c")))
+    kept = written(kept, "ranks")
+    # running counts: regions first (a few per group), then the distinct values inside a region
+    per = kept.groupBy(*by, "_r").agg(F.sum("_c").alias("_t"))
+    per = per.select(*by, "_r", F.coalesce(F.sum("_t").over(
+        Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    run = F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    cum = kept.withColumn("_hi", run).join(F.broadcast(per), [*by, "_r"])
+    hi = F.col("_before") + F.col("_hi")
+    lo = hi - F.col("_c")
     hits = []
     for q in probs:
-        pos = F.lit(float(q)) * (n_col - 1).cast("double")
+        pos = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
         for which, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            cond = (k >= lo_rank) & (k < hi_rank)
-            hits.append(F.when(cond, F.struct(F.lit(float(q)).alias("q"), F.lit(which).alias("which"),
-                                              F.col(value).cast("double").alias("v"),
-                                              pos.alias("pos"))))
-    picked = (cum.select(*by, F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
+            hits.append(F.when((k >= lo) & (k < hi), F.struct(
+                F.lit(float(q)).alias("q"), F.lit(which).alias("which"),
+                F.coalesce("_k", F.raise_error(F.lit("quantile bounds miss a rank")).cast("double")).alias("v"), pos.alias("pos"))))
+    picked = (cum.select(*by, F.explode(F.array_compact(F.array(*hits))).alias("h"))
               .select(*by, "h.q", "h.which", "h.v", "h.pos"))
     res = picked.groupBy(*by, "q").agg(
         F.max(F.when(F.col("which") == "lo", F.col("v"))).alias("_v_lo"),

@@ -8,7 +8,8 @@
 * ``ConstantImputer`` categorical NULL -> 'Unknown', optional 0/1 indicators.
 * one-hot: ``StringIndexer(alphabetAsc, keep)`` + ``OneHotEncoder(dropLast)``:
   the extra "unseen" slot is exactly the dropped one, so an unseen category
-  encodes as all zeros.
+  encodes as all zeros (the encoder takes the slot from the indexer's metadata;
+  its own handleInvalid="keep" would add a second one).
 
 Custom stages persist through ``DefaultParamsWritable`` (fitted values are
 params), so a ``PipelineModel`` with them saves and loads.
@@ -17,7 +18,7 @@ params), so a ``PipelineModel`` with them saves and loads.
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
@@ -136,11 +137,37 @@ def preprocessor(categorical: list[str], numeric: list[str], output: str = "feat
         oh_cols.append(f"{c}__oh")
     if categorical:
         stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=oh_cols,
-                                    dropLast=True, handleInvalid="keep"))
+                                    dropLast=True))
     stages.append(VectorAssembler(inputCols=numeric + oh_cols, outputCol=output))
     return stages
 
 
+class Log1p(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """log(1 + x) in place; NULL at or below -1, where it is undefined."""
+
+    @keyword_only
+    def __init__(self, inputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.when(F.col(c) > -1, F.log1p(F.col(c).cast("double"))) for c in self.getInputCols()})
+
+
+def notebook_preprocessor(log_columns: list[str], numeric: list[str], categorical: list[str], output: str = "features") -> list:
+    """The notebook's variant (M7): median, log1p and scaling for skewed columns, median and scaling for the
+    other numerics, 'Unknown' with missing indicators (of the columns given) and one-hot for categoricals."""
+    stages: list = [MedianImputer(inputCols=log_columns + numeric), Log1p(inputCols=log_columns), MedianImputer(inputCols=log_columns),
+                    PopulationScaler(inputCols=log_columns + numeric), ConstantImputer(inputCols=categorical, indicators=True)]
+    for c in categorical:
+        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep", stringOrderType="alphabetAsc"))
+    stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=[f"{c}__oh" for c in categorical],
+                                dropLast=True))
+    stages.append(VectorAssembler(inputCols=log_columns + numeric + [f"{c}__oh" for c in categorical] + [f"{c}_missing" for c in categorical],
+                                  outputCol=output))
+    return stages
+
+
 def expanded_feature_names(model, categorical: list[str], numeric: list[str]) -> list[str]:
     """Names of the assembled vector slots: numeric names, then
     ``<column>_<category>`` per one-hot slot in alphabetical order."""
@@ -151,11 +178,6 @@ def expanded_feature_names(model, categorical: list[str], numeric: list[str]) ->
     return names
 
 
-def build_pipeline(df: DataFrame, features: list[str], classifier) -> tuple[Pipeline, list[str], list[str]]:
-    cat, num = split_roles(df, features)
-    return Pipeline(stages=preprocessor(cat, num) + [classifier]), cat, num
-
-
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (2 · n_class) (M8) — a two-row aggregate."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
@@ -165,5 +187,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
+    """``df`` with the balanced weight of its class. A NULL label is an error."""
+    known = F.when(F.col(label).isNull(), F.raise_error(F.lit(f"{label} holds NULLs")).cast(df.schema[label].dataType)).otherwise(F.col(label))
+    df = df.withColumn(label, known)
     w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
     return df.join(F.broadcast(w), label)   # one row per class: bounded

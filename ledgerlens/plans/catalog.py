@@ -121,6 +121,9 @@ def _family_query(fam: str):
 
     @query(f"feat_{fam}", O.with_snapshots(f"SELECT {cols} FROM snapshots"))
     def q(spark, sf_dir):
+        if fam in ("basic", "recency", "risk"):     # windows alone: no profile is needed
+            feats = FE.window_features(ledger(spark, sf_dir))
+            return FE.feature_family(feats.where(F.col("_rn") > S.LOOKBACK_MONTHS), fam)
         return FE.feature_family(snapshots_live(spark, sf_dir), fam)
     q.__name__ = f"q_feat_{fam}"
     return q
@@ -149,14 +152,25 @@ def q_risk_bands(spark, sf_dir):
 
 
 @query("dq_snapshot_rules", O.with_snapshots("""
+, faulty AS (SELECT * REPLACE (CASE WHEN customer_id % 97 = 0 THEN 4 ELSE missed_due_count_3m END AS missed_due_count_3m,
+    CASE WHEN customer_id % 89 = 0 THEN 2 WHEN customer_id % 83 = 0 THEN NULL ELSE default_next_1m END AS default_next_1m,
+    CASE WHEN customer_id % 79 = 0 THEN 7 ELSE consecutive_missed_due END AS consecutive_missed_due,
+    CASE WHEN customer_id % 73 = 0 THEN -1 ELSE debt_burden_category END AS debt_burden_category) FROM snapshots)
 SELECT rule, violations FROM (
-  SELECT 'missed_due_count_3m_le_lookback' AS rule, count(*) FILTER (WHERE NOT coalesce(missed_due_count_3m <= 3, false))::BIGINT AS violations FROM snapshots
-  UNION ALL SELECT 'label_is_binary', count(*) FILTER (WHERE NOT coalesce(default_next_1m IN (0, 1), false))::BIGINT FROM snapshots
-  UNION ALL SELECT 'streak_le_lookback', count(*) FILTER (WHERE NOT coalesce(consecutive_missed_due <= 3, false))::BIGINT FROM snapshots
-  UNION ALL SELECT 'active_months_le_lookback', count(*) FILTER (WHERE NOT coalesce(active_months_3m <= 3, false))::BIGINT FROM snapshots
-  UNION ALL SELECT 'debt_burden_in_0_3', count(*) FILTER (WHERE NOT coalesce(debt_burden_category IN (0, 1, 2, 3), false))::BIGINT FROM snapshots)"""))
+  SELECT 'missed_due_count_3m_le_lookback' AS rule, count(*) FILTER (WHERE NOT coalesce(missed_due_count_3m <= 3, false))::BIGINT AS violations FROM faulty
+  UNION ALL SELECT 'label_is_binary', count(*) FILTER (WHERE NOT coalesce(default_next_1m IN (0, 1), false))::BIGINT FROM faulty
+  UNION ALL SELECT 'streak_le_lookback', count(*) FILTER (WHERE NOT coalesce(consecutive_missed_due <= 3, false))::BIGINT FROM faulty
+  UNION ALL SELECT 'active_months_le_lookback', count(*) FILTER (WHERE NOT coalesce(active_months_3m <= 3, false))::BIGINT FROM faulty
+  UNION ALL SELECT 'debt_burden_in_0_3', count(*) FILTER (WHERE NOT coalesce(debt_burden_category IN (0, 1, 2, 3), false))::BIGINT FROM faulty)"""))
 def q_dq_snapshot_rules(spark, sf_dir):
-    return FE.dq_snapshot_rules(snapshots(spark, sf_dir))
+    """Violations per rule, on snapshots some of which are made faulty by their key (the data is clean)."""
+    snap = snapshots(spark, sf_dir)
+    hit = lambda n: F.col("customer_id") % n == 0
+    return FE.dq_snapshot_rules(snap.withColumns({
+        "missed_due_count_3m": F.when(hit(97), F.lit(4)).otherwise(F.col("missed_due_count_3m")),
+        S.LABEL: F.when(hit(89), F.lit(2)).when(~hit(83), F.col(S.LABEL)),
+        "consecutive_missed_due": F.when(hit(79), F.lit(7)).otherwise(F.col("consecutive_missed_due")),
+        "debt_burden_category": F.when(hit(73), F.lit(-1)).otherwise(F.col("debt_burden_category"))}))
 
 
 @query("snapshot_profile", O.with_snapshots("""
@@ -185,16 +199,33 @@ def q_feature_quality(spark, sf_dir):
     "dependents, residence_type, account_age_months, default_next_1m FROM snapshots"))
 def q_feature_groups(spark, sf_dir):
     """The static feature group (P3) plus the label (P4) of every snapshot row."""
-    snap = snapshots_live(spark, sf_dir)
-    return FE.project_group(snap, S.STATIC_FEATURES, keys=["customer_id", "snapshot_month"]).join(
-        snap.select("customer_id", "snapshot_month", S.LABEL), ["customer_id", "snapshot_month"])
+    return FE.project_group(snapshots_live(spark, sf_dir), [*S.STATIC_FEATURES, S.LABEL], keys=["customer_id", "snapshot_month"])
 
 
 @query("ledger_duplicates", O.with_ledger(
-    "SELECT customer_id, month, count(*)::BIGINT AS n_rows FROM ledger GROUP BY 1, 2 HAVING count(*) > 1"))
+    ", twice AS (SELECT customer_id, month FROM ledger UNION ALL SELECT customer_id, month FROM ledger WHERE (customer_id + month) % 50 = 0) "
+    "SELECT customer_id, month, count(*)::BIGINT AS n_rows FROM twice GROUP BY 1, 2 HAVING count(*) > 1"))
 def q_ledger_duplicates(spark, sf_dir):
-    """Duplicate (customer_id, month) keys of the ledger (D16); empty when clean."""
-    return FE.duplicate_keys(ledger(spark, sf_dir))
+    """Duplicate (customer_id, month) keys (D16) of the ledger with every fiftieth row twice."""
+    led = ledger(spark, sf_dir)
+    return FE.duplicate_keys(led.unionByName(led.where((F.col("customer_id") + F.col("month")) % 50 == 0)))
+
+
+@query("order_faults", """
+WITH o AS (SELECT o_totalprice, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS o_custkey,
+    CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate,
+    CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders),
+f AS (SELECT 'no customer' AS fault FROM o WHERE o_custkey IS NULL UNION ALL SELECT 'no date' FROM o WHERE o_orderdate IS NULL
+  UNION ALL SELECT 'no price' FROM o WHERE o_totalprice IS NULL
+  UNION ALL SELECT 'unknown status' FROM o WHERE coalesce(o_orderstatus NOT IN ('F', 'P', 'O'), true))
+SELECT fault, count(*)::BIGINT AS n_orders FROM f GROUP BY 1""")
+def q_order_faults(spark, sf_dir):
+    """Orders that can't be placed or whose status is unknown, on orders some of which are made so by their key."""
+    from ..sources.tables import read_table
+    hit = lambda n: F.col("o_orderkey") % n == 0
+    return FX.order_faults(read_table(spark, sf_dir, "orders").withColumns({
+        "o_custkey": F.when(~hit(11), F.col("o_custkey")), "o_orderdate": F.when(~hit(13), F.col("o_orderdate")),
+        "o_orderstatus": F.when(hit(17), F.lit("X")).otherwise(F.col("o_orderstatus"))}))
 
 
 def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:

@@ -5,8 +5,9 @@ evaluation read it (as the reference's programs read the snapshot file). The
 stored split column is written next to it, so evaluation can never drift from
 training. Tables live under ``spark.checkpoint.dir`` (the cluster's shared
 folder; a scratch folder only when unset, as in tests) and are keyed by the
-input files' sizes and modification times plus a code version, so a changed
-input is recomputed (the watch-mode rule of the reference).
+length and modification time of every input file, on whatever file system it lies, plus
+a code version: a changed input is recomputed (the watch-mode rule of the
+reference), and every process that shares the folder reads the same version.
 """
 
 from __future__ import annotations
@@ -20,21 +21,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import warehouse_path
 
-CODE_VERSION = "4"
+CODE_VERSION = "5"
 _LOCK = threading.RLock()
-_KNOWN: dict = {}
 
 
-def _input_key(sf_dir: str, inputs: list[str]) -> str:
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _input_key(spark: SparkSession, sf_dir: str, inputs: list[str]) -> str:
     # LEDGERLENS_RUN_TAG forces a fresh build (benchmarks, reruns after a code change)
     parts = [CODE_VERSION, os.environ.get("LEDGERLENS_RUN_TAG", ""), sf_dir]
     for name in inputs:
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:  # not a local path (object store): key by path only
-            parts.append(name)
+        p, fs = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        files = []
+        if fs.exists(p):
+            found = fs.listFiles(p, True)
+            while found.hasNext():
+                f = found.next()
+                files.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+        parts += [name, *sorted(files)]
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
@@ -46,27 +53,41 @@ def materialized(spark: SparkSession, name: str, sf_dir: str, inputs: list[str],
     readers take the first complete version (``_SUCCESS`` present), so
     concurrent jobs and retried builds cannot pull files from under a reader.
     """
-    key = _input_key(sf_dir, inputs)
+    key = _input_key(spark, sf_dir, inputs)
     base = warehouse_path(spark, f"{name}/{key}")
     with _LOCK:
-        path = _KNOWN.get((id(spark), base)) or _complete_version(base)
+        path = _complete_version(spark, base)
         if path is None:
             path = f"{base}/v={uuid.uuid4().hex}"
-            w = build().write.mode("errorifexists")
+            df = build()
             if partition_by:
-                w = w.partitionBy(*partition_by)
-            w.parquet(path)          # the commit protocol writes _SUCCESS last
-        _KNOWN[(id(spark), base)] = path
+                # tasks of about the advisory size per partition value: neither tasks x values small files nor one hot task
+                df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+            else:
+                df.write.parquet(path)          # the commit protocol writes _SUCCESS last
     return spark.read.parquet(path)
 
 
-def _complete_version(base: str) -> str | None:
-    """First complete version folder of a local table, or None (remote file
-    systems: every process builds its own version)."""
-    local = base.replace("file:", "")
-    if not local.startswith("/") or not os.path.isdir(local):
+def _complete_version(spark: SparkSession, base: str) -> str | None:
+    """First complete version folder of a table, or None."""
+    p, fs = _fs(spark, base)
+    if not fs.exists(p):
         return None
-    for d in sorted(os.listdir(local)):
-        if d.startswith("v=") and os.path.exists(os.path.join(local, d, "_SUCCESS")):
+    names = sorted(x.getPath().getName() for x in fs.listStatus(p))
+    for d in names:
+        if d.startswith("v=") and fs.exists(_fs(spark, f"{base}/{d}/_SUCCESS")[0]):
             return f"{base}/{d}"
     return None
+
+
+def drop_other_versions(spark: SparkSession, name: str, sf_dir: str, inputs: list[str]) -> int:
+    """Delete the versions of table ``name`` that belong to other inputs than these (older ones, in
+    regular use); the number deleted. For a maintenance job: readers of those versions would fail."""
+    keep = _input_key(spark, sf_dir, inputs)
+    p, fs = _fs(spark, warehouse_path(spark, name))
+    gone = 0
+    if fs.exists(p):
+        for x in fs.listStatus(p):
+            if x.getPath().getName() != keep:
+                gone += bool(fs.delete(x.getPath(), True))
+    return gone

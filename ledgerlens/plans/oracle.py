@@ -19,8 +19,9 @@ amt AS (
   SELECT customer_id, month, count(*)::BIGINT AS n, (sum(cents) * 100)::BIGINT AS bill4,
          sum(cents * share)::BIGINT AS paid4
   FROM ord GROUP BY customer_id, month),
+oids AS (SELECT c_custkey::BIGINT AS customer_id FROM customer UNION SELECT customer_id FROM ord),
 spine AS (
-  SELECT c_custkey::BIGINT AS customer_id, unnest(range(1, 28))::INTEGER AS month FROM customer),
+  SELECT customer_id, unnest(range((SELECT min(month) FROM ord), (SELECT max(month) FROM ord) + 1))::INTEGER AS month FROM oids),
 dense AS (
   SELECT s.customer_id, s.month, coalesce(a.n, 0)::BIGINT AS n,
          coalesce(a.bill4, 0)::BIGINT AS bill4, coalesce(a.paid4, 0)::BIGINT AS paid4
@@ -29,7 +30,7 @@ dense AS (
 LEDGER_FROM_DENSE = """
 lbase AS (
   SELECT customer_id, month,
-    least(bill4::DOUBLE / 1e10, 1e0) AS credit_utilization,
+    bill4::DOUBLE / 1e10 AS credit_utilization,
     CASE WHEN bill4 - paid4 > 0 AND bill4 - paid4 < bill4 THEN 1 ELSE 0 END::INTEGER AS late_payment,
     CASE WHEN bill4 = 0 THEN 1e0 ELSE paid4::DOUBLE / bill4::DOUBLE END AS payment_ratio,
     (sum(bill4 - paid4) OVER (PARTITION BY customer_id ORDER BY month
@@ -176,6 +177,7 @@ snapshots AS (
 
 
 def with_snapshots(body: str, leak_safe: bool = False) -> str:
+    """``body`` may begin with a comma and more CTEs."""
     return f"WITH {snapshot_ctes(leak_safe)}\n{body}"
 
 

@@ -22,12 +22,20 @@ def _risk_sql(m1="missed_due_last_1m", s="consecutive_missed_due", minr="payment
             f"+ ({ever}) * 5, 100e0) END")
 
 
+def _model_sql(risk: str | None = None) -> str:
+    """The surrogate model (see operators.audit) over columns in scope."""
+    return (f"(({risk or _risk_sql()}) / 100e0 + (900e0 - {SQL_SCORECARD}) / 600e0 + (late_payments_3m / 3e0 + missed_due_count_3m / 3e0 "
+            f"+ least(util_avg_3m, 1e0) + (1e0 - payment_ratio_last_1m) + least(greatest(outstanding_delta_3m / 10000e0, 0e0), 1e0) "
+            f"+ (1 - bnpl_active_last_1m)) / 6e0) / 3e0")
+
+
 # cold cohort: neutral defaults (audit variant) -> surrogate probability
-_COLD_P = _risk_sql("0", "0", "1e0", "0e0", "0", "1e0", "0") + " / 100e0"
-_EST_P = _risk_sql() + " / 100e0"
+_NEUTRAL = ", ".join(f"{float(v)!r}::DOUBLE AS {k}" if isinstance(v, float) else f"{v}::INTEGER AS {k}" for k, v in S.NEUTRAL_DEFAULTS.items())
+_COLD_P = _EST_P = _model_sql()
 
 AUDIT_CTES = f"""{O.snapshot_ctes()},
-cold AS (SELECT customer_id, {_COLD_P} AS probability, {sql_p2s(_COLD_P)} AS credit_score FROM profiles),
+neutral AS (SELECT *, {_NEUTRAL} FROM profiles),
+cold AS (SELECT *, {_COLD_P} AS probability, {sql_p2s(_COLD_P)} AS credit_score FROM neutral),
 est AS (SELECT customer_id, {_EST_P} AS probability, {sql_p2s(_EST_P)} AS credit_score FROM snapshots),
 cohorts AS (
   SELECT cohort, count(*)::BIGINT AS n_rows, avg(probability) AS mean_probability, avg(credit_score) AS mean_score,
@@ -35,10 +43,10 @@ cohorts AS (
   FROM (SELECT 'cold_start' AS cohort, probability, credit_score FROM cold
         UNION ALL SELECT 'established', probability, credit_score FROM est) GROUP BY cohort),
 labelled AS (
-  SELECT c.customer_id, {sql_decision('c.credit_score')} AS decision,
+  SELECT customer_id, {sql_decision('credit_score')} AS decision,
     CASE {sql_decision(SQL_SCORECARD)} WHEN 'Approve' THEN 'Low Risk' WHEN 'Approve_Low_Limit' THEN 'Medium-Low Risk'
       WHEN 'Conditional' THEN 'Higher Risk' WHEN 'Reject' THEN 'High Risk' END AS profile
-  FROM cold c JOIN profiles p ON c.customer_id = p.customer_id),
+  FROM cold),
 imp AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, abs(corr({f}::DOUBLE, default_next_1m::DOUBLE)) AS importance FROM snapshots"
                              for f in S.ALL_FEATURES if f not in S.CATEGORICAL_STATIC)}),
 grp AS (SELECT * FROM (VALUES {', '.join([f"('{f}', 0)" for f in S.STATIC_FEATURES] + [f"('{f}', 1)" for f in S.BEHAVIORAL_FEATURES])})
@@ -93,9 +101,9 @@ def q_audit_flags(spark, sf_dir):
 
 
 @query("ml_vs_rule", f"""WITH {AUDIT_CTES}
-SELECT c.customer_id, c.credit_score AS ml_score, {SQL_SCORECARD} AS rule_based_score,
+SELECT customer_id, credit_score AS ml_score, {SQL_SCORECARD} AS rule_based_score,
   {sql_decision(SQL_SCORECARD)} AS rule_decision
-FROM cold c JOIN profiles p ON c.customer_id = p.customer_id""")
+FROM cold""")
 def q_ml_vs_rule(spark, sf_dir):
     """ML (full model + neutral defaults) vs rule score per profile: an
     equi-join on the profile key (J3), not a positional pairing."""
@@ -120,20 +128,17 @@ def q_tier_monitor(spark, sf_dir):
 
 
 def _override_sql(over: dict) -> str:
-    cols = {"missed_due_last_1m": "missed_due_last_1m", "payment_ratio_avg_3m": "payment_ratio_avg_3m"}
-    for k, v in over.items():
-        if k in cols:
-            cols[k] = f"{v}" if isinstance(v, int) else f"{v}e0"
-    return _risk_sql(m1=cols["missed_due_last_1m"], avgr=cols["payment_ratio_avg_3m"]) + " / 100e0"
+    """A row with columns replaced."""
+    return "* REPLACE (" + ", ".join(f"{v}::{'INTEGER' if isinstance(v, int) else 'DOUBLE'} AS {k}" for k, v in over.items()) + ")"
 
 
 @query("whatif_scenarios", f"""WITH {SPLIT_CTES},
 t AS (SELECT * FROM splitted WHERE is_test),
 b AS (SELECT * FROM t ORDER BY customer_id, snapshot_month LIMIT 1),
 v AS (SELECT 'baseline' AS scenario, {_EST_P} AS p FROM t
-  UNION ALL SELECT 'history_wiped', {_override_sql({c: 0 for c in S.HISTORY_COLUMNS})} FROM t
-  UNION ALL SELECT 'high_risk_override', {_override_sql(S.HIGH_RISK_OVERRIDE)} FROM b
-  UNION ALL SELECT 'low_risk_override', {_override_sql(S.LOW_RISK_OVERRIDE)} FROM b)
+  UNION ALL SELECT 'history_wiped', {_EST_P} FROM (SELECT {_override_sql({c: 0 for c in S.HISTORY_COLUMNS})} FROM t)
+  UNION ALL SELECT 'high_risk_override', {_EST_P} FROM (SELECT {_override_sql(S.HIGH_RISK_OVERRIDE)} FROM b)
+  UNION ALL SELECT 'low_risk_override', {_EST_P} FROM (SELECT {_override_sql(S.LOW_RISK_OVERRIDE)} FROM b))
 SELECT scenario, count(*)::BIGINT AS n_rows, round(avg(p), 9) AS avg_probability FROM v GROUP BY 1""")
 def q_whatif_scenarios(spark, sf_dir):
     test = split_snapshots(spark, sf_dir).where("is_test").drop("is_test")

@@ -334,9 +334,7 @@ def q_sample_hash(spark, sf_dir):
 def demo_output(spark, sf_dir) -> DataFrame:
     """(demo_customer_id 1..n, credit_score, final_decision) of the hold-out in
     key order (P13); ids from a distributed running count."""
-    ev = eval_frame(spark, sf_dir).withColumn(
-        "_key", F.col("customer_id") * F.lit(1024) + F.col("snapshot_month"))  # month < 1024
-    ids = ST.row_ids(ev, "_key", "demo_customer_id")
+    ids = ST.row_ids(eval_frame(spark, sf_dir), ["customer_id", "snapshot_month"], "demo_customer_id")
     return ids.select("demo_customer_id", F.col("score").alias("credit_score"),
                       F.col("decision").alias("final_decision"))
 

@@ -2,19 +2,21 @@
 row-level results have no exact oracle (rows-only check), except the
 preprocessing fits (medians, scaling, one-hot, class weights), which do.
 
-Fitted models are memoised per (session, sf_dir, role, candidate) so the
-queries of one session do not refit the same model.
+Fitted roles are memoised by the stored split table they were fitted on, so the
+queries of one session do not refit the same model, and new input does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import policy as P
+from ..operators import audit as AU
 from ..operators import models as MD
 from ..operators import prep as PR
 from ..operators import stats as ST
+from ..operators.order_stats import written
 from . import oracle as O
 from .catalog import _round, query, snapshots
 from .q_eval import SPLIT_CTES, SPLIT_KEYS, split_snapshots
@@ -27,24 +29,19 @@ def _split(spark, sf_dir):
     return s.where(~F.col("is_test")).drop("is_test"), s.where("is_test").drop("is_test")
 
 
-def fitted(spark, sf_dir, role: str, name: str) -> MD.Fitted:
-    key = (id(spark), sf_dir, role, name)
+def trained_role(spark, sf_dir, role: str) -> tuple[dict[str, MD.Fitted], str]:
+    table = split_snapshots(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, table.inputFiles()[0].rsplit("/", 1)[0], role)
     if key not in _FIT_CACHE:
         train, test = _split(spark, sf_dir)
-        f = MD.fit_candidate(train, role, name)
-        MD.evaluate(f, test)
-        _FIT_CACHE[key] = f
+        _FIT_CACHE[key] = MD.train_role(train, test, role)
     return _FIT_CACHE[key]
 
 
-def trained_role(spark, sf_dir, role: str) -> tuple[dict[str, MD.Fitted], str]:
-    fits = {n: fitted(spark, sf_dir, role, n) for n in MD.CANDIDATE_ORDER}
-    best, best_auc = None, None
-    for n, f in fits.items():
-        auc = f.metrics["roc_auc"]
-        if best is None or (auc is not None and auc > best_auc):
-            best, best_auc = n, auc
-    return fits, best
+def fitted(spark, sf_dir, role: str, name: str | None = None) -> MD.Fitted:
+    """A candidate of the role, by default the selected one."""
+    fits, best = trained_role(spark, sf_dir, role)
+    return fits[name or best]
 
 
 # ------------------------------- preprocessing (exact) -------------------------------
@@ -71,16 +68,25 @@ def q_impute_median(spark, sf_dir):
     return q.select("column", F.round("quantile", 9).alias("median"))
 
 
+def _with_gaps(df):
+    """Some values missing, by key: the data itself has none."""
+    return df.withColumns({"employment_status": F.when(F.col("customer_id") % 5 > 0, F.col("employment_status")),
+                           "city_tier": F.when(F.col("customer_id") % 7 > 0, F.col("city_tier")),
+                           "monthly_income": F.when(F.col("customer_id") % 3 > 0, F.col("monthly_income")),
+                           "util_avg_3m": F.when(F.col("snapshot_month") % 4 > 0, F.col("util_avg_3m"))})
+
+
 @query("impute_constant", O.with_snapshots("""
 SELECT customer_id, snapshot_month,
   coalesce(employment_status, 'Unknown') AS employment_status, coalesce(education_level, 'Unknown') AS education_level,
   coalesce(city_tier, 'Unknown') AS city_tier, coalesce(residence_type, 'Unknown') AS residence_type,
   (employment_status IS NULL)::INTEGER AS employment_status_missing, (education_level IS NULL)::INTEGER AS education_level_missing,
   (city_tier IS NULL)::INTEGER AS city_tier_missing, (residence_type IS NULL)::INTEGER AS residence_type_missing
-FROM snapshots"""))
+FROM (SELECT * REPLACE (CASE WHEN customer_id % 5 > 0 THEN employment_status END AS employment_status,
+  CASE WHEN customer_id % 7 > 0 THEN city_tier END AS city_tier) FROM snapshots)"""))
 def q_impute_constant(spark, sf_dir):
     """'Unknown' for missing categoricals plus missing indicators (M4)."""
-    snap = snapshots(spark, sf_dir).select("customer_id", "snapshot_month", *S.CATEGORICAL_STATIC)
+    snap = _with_gaps(snapshots(spark, sf_dir)).select("customer_id", "snapshot_month", *S.CATEGORICAL_STATIC)
     return PR.ConstantImputer(inputCols=S.CATEGORICAL_STATIC, indicators=True).transform(snap)
 
 
@@ -137,7 +143,7 @@ def q_onehot_wide(spark, sf_dir):
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep", stringOrderType="alphabetAsc")
               for c in cats]
     stages.append(OneHotEncoder(inputCols=[f"{c}__i" for c in cats], outputCols=[f"{c}__v" for c in cats],
-                                dropLast=True, handleInvalid="keep"))
+                                dropLast=True))
     model = Pipeline(stages=stages).fit(train.select(*cats))
     out = model.transform(test.select("customer_id", "snapshot_month", *cats))
     sel = ["customer_id", "snapshot_month"]
@@ -160,23 +166,25 @@ def q_class_weights(spark, sf_dir):
 
 # ------------------------------- training (rows-only) -------------------------------
 
-def _metrics_frame(spark, f: MD.Fitted) -> DataFrame:
-    return MD.comparison_frame(spark, {f.name: f}, f.name)
-
-
 @query("train_full_lr")
 def q_train_full_lr(spark, sf_dir):
-    return _metrics_frame(spark, fitted(spark, sf_dir, "full", "logistic_regression"))
+    """Standardised coefficients of the full logistic regression, by expanded feature."""
+    f = fitted(spark, sf_dir, "full", "logistic_regression")
+    names = PR.expanded_feature_names(f.model, f.categorical, f.numeric)
+    rows = [*zip(names, map(float, f.model.stages[-1].coefficients.toArray()), strict=True), ("(intercept)", float(f.model.stages[-1].intercept))]
+    return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
 @query("train_full_rf")
 def q_train_full_rf(spark, sf_dir):
-    return _metrics_frame(spark, fitted(spark, sf_dir, "full", "random_forest"))
+    """Impurity importance of the full random forest, by expanded feature."""
+    return MD.feature_importance(spark, fitted(spark, sf_dir, "full", "random_forest"))
 
 
 @query("train_full_gbt")
 def q_train_full_gbt(spark, sf_dir):
-    return _metrics_frame(spark, fitted(spark, sf_dir, "full", "gradient_boosting"))
+    """Impurity importance of the full boosted trees, by expanded feature."""
+    return MD.feature_importance(spark, fitted(spark, sf_dir, "full", "gradient_boosting"))
 
 
 @query("train_cold")
@@ -200,16 +208,16 @@ def q_model_comparison(spark, sf_dir):
 
 @query("predict_test")
 def q_predict_test(spark, sf_dir):
-    """Hold-out predictions of the full LR model."""
+    """Hold-out predictions of the selected full model."""
     _, test = _split(spark, sf_dir)
-    f = fitted(spark, sf_dir, "full", "logistic_regression")
+    f = fitted(spark, sf_dir, "full")
     return MD.predict(f, test, keep=["customer_id", "snapshot_month", S.LABEL])
 
 
 @query("top_features")
 def q_top_features(spark, sf_dir):
-    """Top 15 expanded features of the full LR model by |coefficient|."""
-    f = fitted(spark, sf_dir, "full", "logistic_regression")
+    """Top 15 expanded features of the selected full model."""
+    f = fitted(spark, sf_dir, "full")
     return MD.top_features(MD.feature_importance(spark, f), 15)
 
 
@@ -217,7 +225,7 @@ def q_top_features(spark, sf_dir):
 def q_score_batch(spark, sf_dir):
     """Score a whole batch, keep the input columns + probability, score,
     decision (M17); display subset (P14)."""
-    f = fitted(spark, sf_dir, "full", "logistic_regression")
+    f = fitted(spark, sf_dir, "full")
     out = MD.predict(f, snapshots(spark, sf_dir), keep=["customer_id", "snapshot_month", "age",
                                                         "monthly_income", "util_avg_3m"])
     return out.select("customer_id", "snapshot_month", "age", "monthly_income", "util_avg_3m",
@@ -229,7 +237,7 @@ def q_sample_scores(spark, sf_dir):
     """Ten hash-sampled hold-out rows with actual, probability, score, decision."""
     _, test = _split(spark, sf_dir)
     sample = ST.sample_hash(test, SPLIT_KEYS, 10, seed=7)
-    f = fitted(spark, sf_dir, "full", "logistic_regression")
+    f = fitted(spark, sf_dir, "full")
     return MD.predict(f, sample, keep=["customer_id", "snapshot_month", F.col(S.LABEL).alias("actual")])
 
 
@@ -242,9 +250,90 @@ def q_run_metrics(spark, sf_dir):
 
 @query("cold_vs_full_auc")
 def q_cold_vs_full_auc(spark, sf_dir):
-    """Best cold AUC vs best full AUC (the full model must win on behavioural data)."""
-    cold, cb = trained_role(spark, sf_dir, "cold")
-    full, fb = trained_role(spark, sf_dir, "full")
-    return spark.createDataFrame(
-        [("cold", cb, float(cold[cb].metrics["roc_auc"])), ("full", fb, float(full[fb].metrics["roc_auc"]))],
-        "role string, model string, roc_auc double")
+    """Selected cold and full model against the quality gates, and what behaviour adds."""
+    rows = []
+    for role in ("cold", "full"):
+        fits, best = trained_role(spark, sf_dir, role)
+        m = fits[best].metrics
+        rows.append((role, best, m["roc_auc"], m["recall"], (m["roc_auc"] or 0) >= S.AUC_GATE, m["recall"] >= S.RECALL_GATE))
+    return spark.createDataFrame(rows, "role string, model string, roc_auc double, recall double, auc_ok boolean, recall_ok boolean")
+
+
+@query("evaluation_report")
+def q_evaluation_report(spark, sf_dir):
+    """Confusion, class report, curves, threshold sweep, decisions and score bins of the selected cold and full model on one hold-out."""
+    _, test = _split(spark, sf_dir)
+    out = None
+    for role in ("cold", "full"):
+        pred = written(MD.predict(fitted(spark, sf_dir, role), test, keep=[F.col(S.LABEL).alias("y")]), "predictions")
+        rep = MD.evaluation_report(pred, role)
+        out = rep if out is None else out.unionByName(rep)
+    return out
+
+
+@query("learned_router")
+def q_learned_router(spark, sf_dir):
+    """The tier router over the learned probabilities of both selected models, on every snapshot."""
+    from .jobs import _probability
+    snap = snapshots(spark, sf_dir)
+    x = _probability(snap, fitted(spark, sf_dir, "cold").model, S.STATIC_FEATURES, "_p_cold")
+    x = _probability(x, fitted(spark, sf_dir, "full").model, S.ALL_FEATURES, "_p_full")
+    return P.route(x, F.col("_p_cold"), F.col("_p_full"), keep=["customer_id", "snapshot_month"]).withColumn(
+        "risk_warnings", F.concat_ws("; ", "risk_warnings"))
+
+
+@query("learned_importance_share")
+def q_learned_importance_share(spark, sf_dir):
+    """Static and behavioural share of the selected full model's stored importance: one-hot names match their column by prefix."""
+    imp = written(MD.feature_importance(spark, fitted(spark, sf_dir, "full")), "importance")
+    return AU.importance_share(imp, AU.group_table(spark))
+
+
+@query("learned_whatif")
+def q_learned_whatif(spark, sf_dir):
+    """The what-if scenarios (P12) scored by the selected full model."""
+    _, test = _split(spark, sf_dir)
+    return AU.whatif_scenarios(test, SPLIT_KEYS, lambda u: MD.predict(fitted(spark, sf_dir, "full"), u, keep=["scenario"]))
+
+
+@query("feature_lists")
+def q_feature_lists(spark, sf_dir):
+    """The inputs of the selected models in order."""
+    return MD.feature_list(spark, fitted(spark, sf_dir, "cold"), "run").unionByName(MD.feature_list(spark, fitted(spark, sf_dir, "full"), "run"))
+
+
+def _notebook_sql() -> str:
+    num = S.LOG_COLUMNS + S.NOTEBOOK_NUMERIC
+    train, out = [], []
+    for c in num:
+        x = f"coalesce({c}::DOUBLE, (SELECT median({c}::DOUBLE) FROM tr))"
+        train.append((c, f"CASE WHEN {x} > -1 THEN ln(1 + {x}) END" if c in S.LOG_COLUMNS else x))
+    step = f"nb AS (SELECT customer_id, snapshot_month, is_test, employment_status, city_tier, {', '.join(f'{e} AS {c}' for c, e in train)} FROM gaps)"
+    step += ",\nnb2 AS (SELECT * REPLACE (" + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM nb WHERE NOT is_test)) AS {c}" for c in S.LOG_COLUMNS) + ") FROM nb)"
+    for c in num:
+        out.append(f"round(({c} - (SELECT avg({c}) FROM nb2 WHERE NOT is_test)) / (SELECT CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1e0 END FROM nb2 WHERE NOT is_test), 6) AS {c}")
+    for c, vals in (("employment_status", ["Business", "Daily Wage", "Retired", "Salaried", "Self-Employed", "Unknown"]), ("city_tier", ["Tier-1", "Tier-2", "Tier-3", "Unknown"])):
+        out += [f"(CASE WHEN coalesce({c}, 'Unknown') = '{v}' THEN 1e0 ELSE 0e0 END) AS \"{c}_{v}\"" for v in vals]
+        out.append(f"({c} IS NULL)::INTEGER::DOUBLE AS {c}_missing")
+    return f"""WITH {SPLIT_CTES},
+gaps AS (SELECT * REPLACE (CASE WHEN customer_id % 5 > 0 THEN employment_status END AS employment_status,
+  CASE WHEN customer_id % 7 > 0 THEN city_tier END AS city_tier, CASE WHEN customer_id % 3 > 0 THEN monthly_income END AS monthly_income,
+  CASE WHEN snapshot_month % 4 > 0 THEN util_avg_3m END AS util_avg_3m) FROM splitted),
+tr AS (SELECT * FROM gaps WHERE NOT is_test),
+{step}
+SELECT customer_id, snapshot_month, {', '.join(out)} FROM nb2 WHERE is_test"""
+
+
+@query("notebook_features", _notebook_sql())
+def q_notebook_features(spark, sf_dir):
+    """The notebook's preprocessing (M7: log branch, plain branch, indicators) fitted on training
+    rows with missing values and applied to the hold-out."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    train, test = (_with_gaps(x) for x in _split(spark, sf_dir))
+    num, cats = S.LOG_COLUMNS + S.NOTEBOOK_NUMERIC, ["employment_status", "city_tier"]
+    model = Pipeline(stages=PR.notebook_preprocessor(S.LOG_COLUMNS, S.NOTEBOOK_NUMERIC, cats)).fit(train)
+    v = vector_to_array("features")
+    names = [*PR.expanded_feature_names(model, cats, num), *[f"{c}_missing" for c in cats]]
+    out = model.transform(test).select("customer_id", "snapshot_month", v.alias("v"))
+    return out.select("customer_id", "snapshot_month", *[(F.round(F.get("v", F.lit(i)), 6) if n in num else F.get("v", F.lit(i))).alias(n) for i, n in enumerate(names)])

@@ -198,7 +198,8 @@ def q_score_established(spark, sf_dir):
     return snap.select("customer_id", "snapshot_month", *[v.alias(k) for k, v in full.items()])
 
 
-_ROUTER_SQL = f"""WITH {O.snapshot_ctes()},
+def router_sql(snapshot_ctes: str) -> str:
+    return f"""WITH {snapshot_ctes},
 cin AS (SELECT *, (900e0 - {SQL_SCORECARD}) / 600e0 AS p_raw FROM snapshots),
 {SQL_COLD_CTE},
 f0 AS (SELECT *, coalesce(risk_score / 100e0, 0.2e0) AS fp FROM cold),
@@ -211,6 +212,9 @@ f2 AS (SELECT *, {SQL_FULL_LIMIT} AS flim,
   FROM f1)"""
 
 
+_ROUTER_SQL = router_sql(O.snapshot_ctes())
+
+
 @query("score_blended", _ROUTER_SQL + f"""
 SELECT customer_id, snapshot_month, bp AS ml_probability, bs AS final_score,
   {sql_decision('bs')} AS decision, blim AS max_credit_limit FROM f2""")
@@ -224,7 +228,7 @@ def q_score_blended(spark, sf_dir):
     return snap.select("customer_id", "snapshot_month", *[blend[k].alias(k) for k in keep])
 
 
-@query("score_router", _ROUTER_SQL + f"""
+ROUTER_SELECT = f"""
 SELECT customer_id, snapshot_month, tier AS customer_tier,
   CASE tier WHEN 1 THEN 'New Customer (Cold Start)' WHEN 2 THEN 'Building History' ELSE 'Established Customer' END AS tier_description,
   account_age_months,
@@ -240,7 +244,10 @@ SELECT customer_id, snapshot_month, tier AS customer_tier,
   CASE tier WHEN 1 THEN 'New customer - monitor closely. Consider increasing limit after 3 months of good payment history.'
             WHEN 2 THEN 'Building credit history. Good payment behavior will unlock higher limits.'
             ELSE 'Established customer - standard credit policies apply.' END AS recommendation
-FROM f2""")
+FROM f2"""
+
+
+@query("score_router", _ROUTER_SQL + ROUTER_SELECT)
 def q_score_router(spark, sf_dir):
     snap = snapshots(spark, sf_dir)
     cols = snap.columns
@@ -296,11 +303,29 @@ def _violation_sql(rules) -> str:
     return "concat_ws('; ', " + ", ".join(parts) + ")"
 
 
+# Every 7th customer breaks a rule, another one for each remainder: the data itself is clean.
+_FAULTS = {"age": (1, "17"), "monthly_income": (2, "-5"), "city_tier": (3, "NULL"), "dependents": (4, "-1"), "account_age_months": (5, "NULL")}
+_FULL_FAULTS = {"debt_burden_category": (1, "9"), "missed_due_last_1m": (2, "2"), "risk_score": (3, "101"), "util_avg_3m": (4, "NULL"), "late_payments_3m": (5, "-2")}
+
+
+def with_faults(df, faults: dict):
+    """Values of every 49th key made faulty, by the remainder of customer_id / 7."""
+    types = dict(df.dtypes)
+    turn = F.when(F.col("customer_id") % 7 == 0, (F.col("customer_id") / 7).cast("long") % 7)
+    return df.withColumns({c: F.when(turn == r, F.lit(None if v == "NULL" else float(v)).cast(types[c])).otherwise(F.col(c))
+                           for c, (r, v) in faults.items()})
+
+
+def faults_sql(faults: dict) -> str:
+    turn = "CASE WHEN customer_id % 7 = 0 THEN (customer_id // 7) % 7 END"
+    return "* REPLACE (" + ", ".join(f"CASE WHEN {turn} = {r} THEN {v} ELSE {c} END AS {c}" for c, (r, v) in faults.items()) + ")"
+
+
 @query("validate_static", O.with_profiles(f"""
 SELECT customer_id, v AS violations, v = '' AS is_valid
-FROM (SELECT customer_id, {_violation_sql(P.STATIC_RULES)} AS v FROM profiles)"""))
+FROM (SELECT customer_id, {_violation_sql(P.STATIC_RULES)} AS v FROM (SELECT {faults_sql(_FAULTS)} FROM profiles))"""))
 def q_validate_static(spark, sf_dir):
-    prof = profiles(spark, sf_dir)
+    prof = with_faults(profiles(spark, sf_dir), _FAULTS)
     v = P.violations_column(prof.columns, P.STATIC_RULES)
     return prof.select("customer_id", F.concat_ws("; ", v).alias("violations"),
                        (F.size(v) == 0).alias("is_valid"))
@@ -308,9 +333,10 @@ def q_validate_static(spark, sf_dir):
 
 @query("validate_full", O.with_snapshots(f"""
 SELECT customer_id, snapshot_month, v AS violations, v = '' AS is_valid
-FROM (SELECT customer_id, snapshot_month, {_violation_sql(P.STATIC_RULES + P.BEHAVIOURAL_RULES)} AS v FROM snapshots)"""))
+FROM (SELECT customer_id, snapshot_month, {_violation_sql(P.STATIC_RULES + P.BEHAVIOURAL_RULES)} AS v
+      FROM (SELECT {faults_sql(_FULL_FAULTS)} FROM snapshots))"""))
 def q_validate_full(spark, sf_dir):
-    snap = snapshots(spark, sf_dir)
+    snap = with_faults(snapshots(spark, sf_dir), _FULL_FAULTS)
     v = P.violations_column(snap.columns, P.STATIC_RULES + P.BEHAVIOURAL_RULES)
     return snap.select("customer_id", "snapshot_month", F.concat_ws("; ", v).alias("violations"),
                        (F.size(v) == 0).alias("is_valid"))
@@ -319,6 +345,9 @@ def q_validate_full(spark, sf_dir):
 def _defaults_sql(audit: bool) -> str:
     cols = []
     for k, v in S.NEUTRAL_DEFAULTS.items():
+        if k == "util_avg_3m":
+            cols.append("CASE WHEN customer_id % 3 > 0 THEN customer_id % 3 / 10e0 END AS util_avg_3m")
+            continue
         if audit and k == "snapshot_month":
             v = S.AUDIT_SNAPSHOT_MONTH_DEFAULT
         if audit and k == "income_affordability_score":
@@ -331,15 +360,22 @@ def _defaults_sql(audit: bool) -> str:
         "dependents, residence_type, account_age_months, " + ", ".join(cols) + " FROM profiles")
 
 
+def _batch_with_one_feature(spark, sf_dir):
+    """Profiles with one behavioural feature of their own, missing for every third: what a
+    request brings is kept, its NULLs too; what it lacks gets the default."""
+    n = F.col("customer_id") % 3
+    return profiles(spark, sf_dir).withColumn("util_avg_3m", F.when(n > 0, n / F.lit(10.0)))
+
+
 @query("defaults_fill", _defaults_sql(False))
 def q_defaults_fill(spark, sf_dir):
-    """A profile-only batch made ready for the full model (P10)."""
-    return P.fill_defaults(profiles(spark, sf_dir))
+    """A batch made ready for the full model (P10)."""
+    return P.fill_defaults(_batch_with_one_feature(spark, sf_dir))
 
 
 @query("defaults_fill_audit", _defaults_sql(True))
 def q_defaults_fill_audit(spark, sf_dir):
-    return P.fill_defaults(profiles(spark, sf_dir), audit_variant=True)
+    return P.fill_defaults(_batch_with_one_feature(spark, sf_dir), audit_variant=True)
 
 
 @query("log_scaled", O.with_snapshots("""

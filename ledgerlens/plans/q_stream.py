@@ -8,6 +8,7 @@ from ..sources.tables import read_table
 from ..streaming import refresh as R
 from . import oracle as O
 from .catalog import _LEDGER_COLS, _SNAPSHOT_COLS, profiles, query
+from .q_scoring import ROUTER_SELECT, _text, router_sql
 
 
 def _events(spark, sf_dir):
@@ -25,10 +26,8 @@ def q_events_snapshots(spark, sf_dir):
     return R.event_snapshots(_events(spark, sf_dir), profiles(spark, sf_dir))
 
 
-@query("events_scored", f"""WITH {O.snapshot_ctes(ledger_ctes=O.EVENT_LEDGER_CTES)}
-SELECT customer_id, snapshot_month, (CASE WHEN account_age_months <= 3 THEN 1 WHEN account_age_months <= 6 THEN 2 ELSE 3 END)::INTEGER AS customer_tier
-FROM snapshots""")
+@query("events_scored", router_sql(O.snapshot_ctes(ledger_ctes=O.EVENT_LEDGER_CTES)) + ROUTER_SELECT)
 def q_events_scored(spark, sf_dir):
-    """X4 over the batch twin: router tier of each event-derived snapshot."""
+    """X4 over the batch twin: all router fields of each event-derived snapshot."""
     s = R.score_stream(R.event_snapshots(_events(spark, sf_dir), profiles(spark, sf_dir)))
-    return s.select("customer_id", "snapshot_month", "customer_tier")
+    return s.withColumn("risk_warnings", _text("risk_warnings"))

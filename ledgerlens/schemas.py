@@ -111,6 +111,11 @@ DISCRETE_COLUMNS = [
     "snapshot_month", "missed_due_count_3m", "late_payments_3m", "missed_due_last_1m",
     "bnpl_active_last_1m", "default_next_1m", "dependents",
 ]
+# Plain numeric columns of the notebook pipeline.
+NOTEBOOK_NUMERIC = [
+    "age", "account_age_months", "util_avg_3m", "payment_ratio_avg_3m", "avg_txn_count_3m",
+    "missed_due_count_3m", "late_payments_3m", "missed_due_last_1m", "bnpl_active_last_1m", "dependents",
+]
 CONTINUOUS_COLUMNS = [
     "age", "account_age_months", "util_avg_3m", "payment_ratio_avg_3m", "max_outstanding_3m",
     "avg_txn_count_3m", "avg_txn_amt_3m", "outstanding_delta_3m", "monthly_income",
@@ -171,7 +176,6 @@ BLEND_FULL_WEIGHT = 0.6
 RISKY_EMPLOYMENT = ["Daily Wage", "Unemployed"]
 WARN_LOW_INCOME = "Low income - maximum limit capped"
 WARN_DEPENDENCY = "High dependency ratio - limit reduced"
-WARN_EMPLOYMENT = "High-risk employment ({}) - conservative limits applied"
 WARN_YOUNG = "Young borrower - limit capped"
 WARN_SENIOR = "Senior borrower - limit adjusted to income"
 
@@ -206,4 +210,27 @@ SCORECARD_DEPENDENT_PENALTY = 10
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5]
 AUC_GATE = 0.70
 RECALL_GATE = 0.70
-RISK_BANDS = [(0, 20, "safe"), (20, 50, "caution"), (50, None, "high")]
+
+# Allowed ranges of the request fields: (name, lowest, highest)
+STATIC_RULES = [
+    ("age", 18, 100), ("employment_status", None, None), ("education_level", None, None),
+    ("monthly_income", 0, None), ("city_tier", None, None), ("dependents", 0, None),
+    ("residence_type", None, None), ("account_age_months", 0, None),
+]
+
+BEHAVIOURAL_RULES = [
+    ("util_avg_3m", None, None), ("payment_ratio_avg_3m", None, None),
+    ("max_outstanding_3m", None, None), ("avg_txn_amt_3m", None, None),
+    ("avg_txn_count_3m", None, None), ("late_payments_3m", 0, None),
+    ("missed_due_count_3m", 0, None), ("missed_due_last_1m", 0, 1),
+    ("payment_ratio_last_1m", None, None), ("outstanding_delta_3m", None, None),
+    ("bnpl_active_last_1m", 0, 1), ("consecutive_missed_due", 0, None),
+    ("payment_ratio_min_3m", None, None), ("worst_util_3m", None, None),
+    ("ever_defaulted", 0, 1), ("default_count_history", 0, None),
+    ("months_since_last_default", 0, None), ("outstanding_to_income_pct", None, None),
+    ("income_affordability_score", None, None), ("debt_burden_category", 0, 3),
+    ("payment_ratio_trend", None, None), ("utilization_trend", None, None),
+    ("outstanding_growth_rate", None, None), ("is_deteriorating", 0, 1),
+    ("active_months_3m", 0, 3), ("avg_util_when_active", None, None),
+    ("account_age_bucket", 0, 2), ("risk_score", 0, 100), ("snapshot_month", None, None),
+]

@@ -2,12 +2,15 @@
 TPC-H-style tables (L1–L5, J7, T6).
 
 Mapping (portable, so DuckDB can reproduce it exactly):
-  period   = (year(o_orderdate) - 1995) * 4 + quarter(o_orderdate), 1..27, called ``month``
+  period   = (year(o_orderdate) - 1995) * 4 + quarter(o_orderdate), called ``month``;
+             the range runs from the first to the last period of the orders
   cents    = bigint(round(o_totalprice * 100))
   paid %   = status F 100, P 75, O 40
   bill4    = sum(cents) * 100, paid4 = sum(cents * paid%), unpaid4 = bill4 - paid4
              (integers in 1e-6 currency units, so running sums are exact)
-  spine    = every customer x every period; a period without orders is inactive
+  spine    = every customer, and every customer id of the orders, x every period of the
+             range; a period without orders is inactive. Orders that can't be placed are
+             reported by ``order_faults``
   default  = md5-derived uniform < hazard of the previous period (first period never)
 
 Plan shape: the order rows and the spine rows are unioned and aggregated once
@@ -26,7 +29,6 @@ from .tables import read_table
 
 # FIXED VALUES — fixture mapping
 BASE_YEAR = 1995
-N_PERIODS = 27
 PAID_PERCENT = {"F": 100, "P": 75, "O": 40}
 EMPLOYMENT_BY_SEGMENT = {"BUILDING": "Salaried", "AUTOMOBILE": "Self-Employed",
                          "MACHINERY": "Business", "HOUSEHOLD": "Daily Wage"}  # else Retired
@@ -81,36 +83,52 @@ def period_of(ts: Column) -> Column:
     return ((F.year(ts) - BASE_YEAR) * 4 + F.quarter(ts)).cast("int")
 
 
-def ledger_amounts(orders: DataFrame, customer: DataFrame, n_periods: int = N_PERIODS) -> DataFrame:
+def ledger_amounts(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """Per customer-period integer amounts on the dense spine.
 
+    The spine holds the ids of ``customer`` and of ``orders`` (a customer without a
+    profile has a ledger too) over the periods that the orders span. Rows that
+    ``order_faults`` reports as unplaced have no period or no customer and are left out.
+
     Output: customer_id, month, n, bill4, paid4 — inactive periods have zeros.
     """
+    month = period_of(F.col("o_orderdate"))
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     share = _pick_int(F.col("o_orderstatus"), PAID_PERCENT)
     order_rows = orders.select(
         F.col("o_custkey").cast("long").alias("customer_id"),
-        period_of(F.col("o_orderdate")).alias("month"),
+        month.alias("month"),
         F.lit(1).cast("long").alias("n"),
         cents.alias("cents"),
-        (cents * share).alias("paid4"),
-        F.lit(0).alias("on_spine"),
-    )
-    spine_rows = customer.select(
-        F.col("c_custkey").cast("long").alias("customer_id"),
-        F.explode(F.sequence(F.lit(1), F.lit(n_periods))).alias("month"),
+        (cents * F.coalesce(share, F.lit(0))).alias("paid4"),
+    ).where("customer_id is not null and month is not null")
+    ids = (customer.select(F.col("c_custkey").cast("long").alias("customer_id"))
+           .union(order_rows.select("customer_id")).where("customer_id is not null").distinct())
+    span = order_rows.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    spine_rows = ids.select(
+        "customer_id",
+        F.explode(F.sequence(span.select("lo").scalar(), span.select("hi").scalar())).alias("month"),
         F.lit(0).cast("long").alias("n"),
         F.lit(0).cast("long").alias("cents"),
         F.lit(0).cast("long").alias("paid4"),
-        F.lit(1).alias("on_spine"),
     )
     # One aggregate over both inputs: partial sums run before the shuffle.
     return (order_rows.unionByName(spine_rows)
             .groupBy("customer_id", "month")
             .agg(F.sum("n").alias("n"), (F.sum("cents") * 100).alias("bill4"),
-                 F.sum("paid4").alias("paid4"), F.max("on_spine").alias("on_spine"))
-            .where(F.col("on_spine") == 1)  # spine is the left side: orders of unknown customers drop
-            .drop("on_spine"))
+                 F.sum("paid4").alias("paid4")))
+
+
+def order_faults(orders: DataFrame) -> DataFrame:
+    """Orders with faults, counted by kind: without customer, date or price, of an unknown
+    status (billed, nothing counts as paid). The first two can't be placed in the ledger."""
+    kinds = F.array(
+        F.when(F.col("o_custkey").isNull(), F.lit("no customer")),
+        F.when(F.col("o_orderdate").isNull(), F.lit("no date")),
+        F.when(F.col("o_totalprice").isNull(), F.lit("no price")),
+        F.when(~F.coalesce(F.col("o_orderstatus").isin(*PAID_PERCENT), F.lit(False)), F.lit("unknown status")))
+    return (orders.select(F.explode(F.array_compact(kinds)).alias("fault"))
+            .groupBy("fault").agg(F.count(F.lit(1)).cast("long").alias("n_orders")))
 
 
 def _pick_int(value: Column, mapping: dict[str, int]) -> Column:
@@ -136,7 +154,7 @@ def ledger_from_amounts(amounts: DataFrame) -> DataFrame:
     ratio = F.when(bill4 == 0, F.lit(1.0)).otherwise(paid4.cast("double") / bill4.cast("double"))
     base = amounts.select(
         "customer_id", "month",
-        F.least(bill4.cast("double") / F.lit(UTILIZATION_DIVISOR), F.lit(1.0)).alias("credit_utilization"),
+        (bill4.cast("double") / F.lit(UTILIZATION_DIVISOR)).alias("credit_utilization"),
         ((unpaid4 > 0) & (unpaid4 < bill4)).cast("int").alias("late_payment"),
         ratio.alias("payment_ratio"),
         (F.sum(unpaid4).over(running).cast("double") / F.lit(CURRENCY_SCALE)).alias("outstanding_balance"),

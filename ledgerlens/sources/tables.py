@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -45,6 +46,12 @@ def try_read_parquet(spark: SparkSession, path: str) -> ReadResult:
         return ReadResult(None, False, str(e).splitlines()[0])
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in a floating column is a missing value, hence NULL."""
+    return df.withColumns({f.name: F.when(~F.isnan(F.col(f.name)), F.col(f.name)) for f in df.schema.fields
+                           if isinstance(f.dataType, (T.FloatType, T.DoubleType))})
+
+
 def require_columns(df: DataFrame, required: list[str], what: str = "input") -> None:
     """Required-column check (P5): raise when a name is missing."""
     missing = [c for c in required if c not in df.columns]

@@ -86,27 +86,29 @@ def event_snapshots(events: DataFrame, profiles: DataFrame, base_date: str = BAS
     return build_snapshots(event_ledger(events, base_date), profiles)
 
 
+#: Buckets of the history table: choose so that one bucket's history is a task or a few.
 HISTORY_BUCKETS = 64
 
 
-def _bucket(c: str):
-    return F.pmod(F.xxhash64(F.col(c)), F.lit(HISTORY_BUCKETS)).cast("int")
+def _bucket(c: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(c)), F.lit(buckets)).cast("int")
 
 
-def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, history_dir: str,
-                  profiles: DataFrame, out_dir: str, base_date: str = BASE_DATE) -> None:
+def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, history_dir: str, profiles: DataFrame,
+                  out_dir: str, base_date: str = BASE_DATE, buckets: int = HISTORY_BUCKETS) -> None:
     """X2 body. (1) Append this batch's per-customer-day partials to the
     history table under ``batch_id=<n>/bucket=<b>`` (overwrite of its own
     folder: a replayed batch is idempotent). (2) Rebuild the snapshots of the
     customers in this batch from the history of their buckets only (partition
     pruning), re-aggregating partials of a day split across batches."""
     base = history_dir.rstrip("/")
-    partials = day_partials(batch, base_date).withColumn("bucket", _bucket("customer_id"))
+    finish_compaction(spark, base)
+    partials = day_partials(batch, base_date).withColumn("bucket", _bucket("customer_id", buckets))
     partials.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/batch_id={batch_id}")
     mine = spark.read.parquet(f"{base}/batch_id={batch_id}")
     ids = mine.select("customer_id").distinct()
-    buckets = [r["bucket"] for r in mine.select("bucket").distinct().collect()]   # <= HISTORY_BUCKETS values
-    history = (spark.read.parquet(base).where(F.col("bucket").isin(buckets))
+    hit = [r["bucket"] for r in mine.select("bucket").distinct().collect()]   # at most `buckets` values
+    history = (spark.read.parquet(base).where(F.col("bucket").isin(hit))
                .join(ids, "customer_id", "left_semi"))
     prof = profiles.join(ids, "customer_id", "left_semi")
     snaps = build_snapshots(ledger_from_amounts(amounts_from_partials(history)), prof)
@@ -115,13 +117,17 @@ def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, history_
 
 def start_refresh(spark: SparkSession, source_dir: str, profiles: DataFrame, out_dir: str,
                   checkpoint_dir: str, history_dir: str | None = None, base_date: str = BASE_DATE,
-                  available_now: bool = True, max_files_per_trigger: int = 1, interval: str = "2 seconds"):
-    """Stream new event files into incremental refreshes."""
+                  available_now: bool = True, max_files_per_trigger: int | None = None, interval: str = "2 seconds",
+                  buckets: int = HISTORY_BUCKETS):
+    """Stream new event files into incremental refreshes, all waiting files in one micro-batch
+    unless ``max_files_per_trigger`` limits it."""
     history_dir = history_dir or f"{out_dir.rstrip('/')}_history"
-    stream = (spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
+    reader = spark.readStream.schema(EVENTS)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_dir)
     writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: refresh_batch(spark, df, bid, history_dir, profiles, out_dir, base_date))
+              .foreachBatch(lambda df, bid: refresh_batch(spark, df, bid, history_dir, profiles, out_dir, base_date, buckets))
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()
@@ -134,6 +140,40 @@ def latest_snapshots(spark: SparkSession, out_dir: str) -> DataFrame:
     return allb.join(newest, ["customer_id", "batch_id"], "left_semi").drop("batch_id")
 
 
+COMPACTED = -1      # batch_id of the merged history
+
+
+def compact_history(spark: SparkSession, history_dir: str, buckets: int = HISTORY_BUCKETS) -> None:
+    """Merge the partials of all batches but the newest (a failed micro-batch writes that one
+    again) into one folder, one row per customer and day. Run between refreshes. The merged table is complete before
+    the folders that went into it are removed; what an interruption leaves is finished by the
+    next call or refresh."""
+    base = history_dir.rstrip("/")
+    finish_compaction(spark, base)
+    every = spark.read.parquet(base)
+    ids = sorted(r["batch_id"] for r in every.select("batch_id").distinct().collect())[:-1]
+    if len(ids) < 2:
+        return
+    merged = (every.where(F.col("batch_id").isin(ids)).groupBy("customer_id", "month")
+              .agg(F.sum("n").alias("n"), F.sum("cents").cast("long").alias("cents"), F.max("err").alias("err"))
+              .withColumn("bucket", _bucket("customer_id", buckets)))
+    merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}__compact-{ids[-1]}")
+    finish_compaction(spark, base)
+
+
+def finish_compaction(spark: SparkSession, history_dir: str) -> None:
+    base = history_dir.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [x.getPath() for x in fs.globStatus(path(f"{base}__compact-*")) or [] if fs.exists(path(f"{x.getPath()}/_SUCCESS"))]
+    for new in done:
+        last = int(new.getName().rsplit("__compact-", 1)[1])
+        for x in fs.globStatus(path(f"{base}/batch_id=*")) or []:
+            if int(x.getPath().getName().split("=")[1]) <= last:
+                fs.delete(x.getPath(), True)
+        fs.rename(new, path(f"{base}/batch_id={COMPACTED}"))
+
+
 def score_stream(requests: DataFrame) -> DataFrame:
     """The policy router over a (streaming) DataFrame of scoring requests,
     with the surrogate probabilities; a pure projection, so it runs per

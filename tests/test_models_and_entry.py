@@ -67,3 +67,26 @@ def test_lr_full_beats_cold_and_roundtrips(spark, split):
     imp = MD.feature_importance(spark, full)
     assert imp.count() == len(MD.role_features("full")) - len(S.CATEGORICAL_STATIC) + sum(
         len(s.labels) for s in full.model.stages if hasattr(s, "labels"))
+
+
+def test_importance_names_are_aligned(spark):
+    """Each one-hot slot is named after its own category, an unseen one is all zeros."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    rows = [(float(i), ["a", "b", "c"][i % 3], ["x", None, "z"][i % 3]) for i in range(9)]
+    df = spark.createDataFrame(rows, "n double, c string, d string")
+    model = Pipeline(stages=PR.preprocessor(["c", "d"], ["n"])).fit(df)
+    names = PR.expanded_feature_names(model, ["c", "d"], ["n"])
+    assert names == ["n", "c_a", "c_b", "c_c", "d_Unknown", "d_x", "d_z"]
+    odd = spark.createDataFrame([(4.0, "b", None), (4.0, "new", "z")], "n double, c string, d string")
+    got = [r["v"] for r in model.transform(odd).select(vector_to_array("features").alias("v")).collect()]
+    assert got == [[0.0, 0, 1, 0, 1, 0, 0], [0.0, 0, 0, 0, 0, 0, 1]]
+
+
+def test_one_class_hold_out_is_reported(spark, split):
+    train, test = split
+    f = MD.fit_candidate(train, "cold", "logistic_regression")
+    MD.evaluate(f, test.where(F.col(S.LABEL) == 0))
+    row = MD.comparison_frame(spark, {f.name: f}, f.name).first()
+    assert row["roc_auc"] is None and row["accuracy"] is not None

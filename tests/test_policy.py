@@ -106,8 +106,7 @@ def test_scorecard_field_defaults(spark):
 def test_router_tiers_and_blend(spark):
     rows = [(35, "Salaried", "Graduate", 80000, "Tier-1", 1, "Owned", acct) for acct in (1, 5, 12)]
     df = _one(spark, rows, PROFILE_DDL)
-    r = P.router_columns(df.columns, F.lit(0.1), F.lit(0.3))
-    out = df.select(*[r[k].alias(k) for k in P.ROUTER_FIELDS]).collect()
+    out = P.route(df, F.lit(0.1), F.lit(0.3)).collect()
     t1, t2, t3 = out
     assert (t1["customer_tier"], t2["customer_tier"], t3["customer_tier"]) == (1, 2, 3)
     assert t1["model_used"] == S.MODEL_USED_COLD and t1["ml_score"] == 840
@@ -116,6 +115,14 @@ def test_router_tiers_and_blend(spark):
     assert t2["max_credit_limit"] == 25000 and t2["ml_probability"] == pytest.approx(0.4 * 0.1 + 0.6 * 0.3)
 
 
+def test_zero_on_reject(spark):
+    rows = [(35, "Salaried", "Graduate", 80000, "Tier-1", 1, "Owned", acct) for acct in (1, 5, 12)]
+    df = _one(spark, rows, PROFILE_DDL)
+    out = P.route(df, F.lit(0.9), F.lit(0.9)).collect()
+    assert {r["decision"] for r in out} == {"Reject"} and out[0]["max_credit_limit"] > 0
+    assert {r["max_credit_limit"] for r in P.route(df, F.lit(0.9), F.lit(0.9), zero_on_reject=True).collect()} == {0}
+
+
 def test_validation_quarantine(spark):
     rows = [(17, "Salaried", "Graduate", 1000, "Tier-1", 0, "Owned", 0),
             (30, None, "Graduate", -5, "Tier-1", 0, "Owned", 2),
@@ -130,7 +137,8 @@ def test_validation_quarantine(spark):
 def test_fill_defaults_absent_and_null(spark):
     df = spark.createDataFrame([(1, None)], "customer_id int, util_avg_3m double")
     out = P.fill_defaults(df).collect()[0]
-    assert out["util_avg_3m"] == 0.0 and out["payment_ratio_avg_3m"] == 1.0 and out["snapshot_month"] == 6
+    # a NULL that the request brings stays for the model's imputer
+    assert out["util_avg_3m"] is None and out["payment_ratio_avg_3m"] == 1.0 and out["snapshot_month"] == 6
     audit = P.fill_defaults(spark.createDataFrame([(1, 5000)], "customer_id int, monthly_income long"),
                             audit_variant=True).collect()[0]
     assert audit["snapshot_month"] == 4 and audit["income_affordability_score"] == 5000.0

@@ -22,8 +22,9 @@ def test_hot_customer_is_collapsed_before_the_window(spark):
     skewed = orders.unionByName(hot)
     amounts = FX.ledger_amounts(skewed, customer)
     per_customer = amounts.groupBy("customer_id").count()
-    # every customer — the hot one included — has exactly one row per period
-    assert per_customer.agg(F.max("count")).first()[0] == FX.N_PERIODS
+    # every customer — the hot one included — has exactly one row per period of the orders
+    span = orders.agg((F.max(FX.period_of(F.col("o_orderdate"))) - F.min(FX.period_of(F.col("o_orderdate"))) + 1).alias("n")).first()["n"]
+    assert {r["count"] for r in per_customer.select("count").distinct().collect()} == {span}
     hot_orders = amounts.where("customer_id = 1").agg(F.sum("n")).first()[0]
     assert hot_orders == skewed.where("o_custkey = 1").count()
     # the partial aggregate sits before the shuffle
@@ -38,6 +39,86 @@ def test_score_batch_from_csv(spark):
     spark.createDataFrame(rows, schema).write.option("header", True).csv(os.path.join(root, "in"))
     batch = read_csv(spark, os.path.join(root, "in"), schema)
     filled = P.fill_defaults(batch)
-    r = P.router_columns(filled.columns, F.lit(None).cast("double"), F.lit(None).cast("double"))
-    out = filled.select(*[r[k].alias(k) for k in P.ROUTER_FIELDS]).first()
+    r = P.route(filled, F.lit(None).cast("double"), F.lit(None).cast("double"))
+    out = r.first()
     assert out["customer_tier"] == 1 and out["ml_probability"] == 0.2 and out["ml_score"] == 780
+
+
+def test_spine_follows_the_orders(spark):
+    """Orders far outside, without a profile, and that can't be placed."""
+    orders = spark.sql("""SELECT * FROM VALUES (1L, timestamp'1990-05-01', 100.0D, 'F'), (2L, timestamp'2030-01-15', 50.0D, 'O'),
+        (9L, timestamp'1995-02-01', 2000000.0D, 'P'), (1L, NULL, 5.0D, 'F'), (NULL, timestamp'1995-02-01', 5.0D, 'F'), (2L, timestamp'1995-02-01', 7.0D, 'Z')
+        AS t(o_custkey, o_orderdate, o_totalprice, o_orderstatus)""")
+    customer = spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long")
+    amounts = FX.ledger_amounts(orders, customer)
+    n = (2030 - 1990) * 4 - 1 + 1 - 1       # second quarter of 1990 to first of 2030
+    assert {r["customer_id"]: r["count"] for r in amounts.groupBy("customer_id").count().collect()} == dict.fromkeys((1, 2, 3, 9), n + 1)
+    assert amounts.agg(F.sum("n")).first()[0] == 4
+    led = FX.ledger_from_amounts(amounts)
+    assert led.where("customer_id = 9 and num_transactions > 0").first()["credit_utilization"] == 2.0     # not capped
+    assert led.where("customer_id = 2 and month = 1").first()["payment_ratio"] == 0.0                     # unknown status: nothing paid
+    faults = {r["fault"]: r["n_orders"] for r in FX.order_faults(orders).collect()}
+    assert faults == {"no date": 1, "no customer": 1, "unknown status": 1}
+
+
+def test_quantiles_sort_only_what_the_sketch_leaves(spark):
+    """Ranks are picked among the few values inside the sketch's bounds."""
+    import numpy as np
+
+    from ledgerlens.operators.order_stats import exact_quantiles, prefix_sums
+    from ledgerlens.operators.stats import row_ids
+
+    g = np.random.default_rng(0)
+    v = np.concatenate([g.normal(size=60_000), np.zeros(30_000), np.round(g.exponential(size=10_000), 1)])
+    df = spark.createDataFrame([(float(x), int(i % 3)) for i, x in enumerate(v)], "x double, g int").repartition(8)
+    qs = [0.0, 0.01, 0.25, 0.3, 0.5, 0.75, 0.999, 1.0]
+    got = {r["q"]: r["quantile"] for r in exact_quantiles(df, "x", qs).collect()}
+    for q in qs:
+        assert abs(got[q] - np.quantile(v, q)) < 1e-12
+    by = {(r["g"], r["q"]): r["quantile"] for r in exact_quantiles(df, "x", [0.1, 0.5], by=["g"]).collect()}
+    for k in range(3):
+        assert abs(by[k, 0.5] - np.quantile(v[k::3], 0.5)) < 1e-12
+    kept = spark.read.parquet(*_scratch(spark, "ranks"))
+    assert kept.count() < 0.05 * len(v)
+    # more buckets than the partitions of the session
+    ids = row_ids(df.select((F.monotonically_increasing_id() % 5000).alias("a"), F.monotonically_increasing_id().alias("b")), ["a", "b"])
+    rows = sorted((r["a"], r["b"], r["row_id"]) for r in ids.collect())
+    assert [r[2] for r in rows] == list(range(1, len(rows) + 1))
+    many = prefix_sums(spark.range(3000).select(F.col("id").cast("double").alias("x"), F.lit(1).alias("c")), "x", ["c"], n_buckets=700)
+    assert all(r["cum_c"] == r["x"] + 1 for r in many.collect())
+
+
+def _scratch(spark, tag):
+    import glob
+
+    from ledgerlens.session import warehouse_path
+    paths = glob.glob(warehouse_path(spark, f"scratch/{tag}-*").replace("file:", ""))
+    return [max(paths, key=os.path.getmtime)]
+
+
+def test_correlation_is_pairwise(spark):
+    import pandas as pd
+
+    from ledgerlens.operators.stats import correlation
+
+    pdf = pd.DataFrame({"a": [1, 2, 3, 4, None, 7], "b": [2, 1, 4, None, 5, 8], "c": [None, 3, 1, 1, 2, 1], "k": [1.0] * 6})
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation(spark.createDataFrame(pdf).replace(float("nan"), None), list(pdf)).collect()}
+    want = pdf.corr()
+    for (a, b), x in got.items():
+        assert (x is None and pd.isna(want.loc[a, b])) or abs(x - want.loc[a, b]) < 1e-12
+
+
+def test_null_labels_and_probabilities(spark):
+    import pytest
+
+    from ledgerlens.operators import metrics as M
+    from ledgerlens.operators.prep import with_class_weights
+    from ledgerlens.operators.splits import stratified_split
+
+    df = spark.range(100).select("id", F.when(F.col("id") % 10 > 0, (F.col("id") % 2).cast("int")).alias("y"))
+    for f in (lambda: stratified_split(df, "y", ["id"]).count(), lambda: with_class_weights(df, "y").count()):
+        with pytest.raises(Exception, match="holds NULLs"):
+            f()
+    ev = spark.range(40).select((F.col("id") % 2).cast("int").alias("y"), F.when(F.col("id") < 10, F.col("id") / 10.0).alias("p"))
+    assert sorted(r["n_rows"] for r in M.decile_table(ev).collect()) == [1] * 10
+    assert {r["accept_rate"] for r in M.threshold_sweep(ev, thresholds=[0.55]).collect()} == {60.0}

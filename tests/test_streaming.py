@@ -34,6 +34,26 @@ def test_refresh_stream_equals_batch(spark):
     assert _sorted(streamed.select(*cols), keys) == _sorted(batch.select(*cols), keys)
 
 
+def test_compacted_history_gives_the_same_refresh(spark):
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    prof = profiles(spark, SF_SMALL)
+    root = tempfile.mkdtemp(prefix="ll-compact-", dir="/tmp")
+    days = [r["d"] for r in events.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()][:5]
+    batch = lambda i: events.where(F.to_date("ts") == F.lit(days[i]))
+    for i in range(4):
+        R.refresh_batch(spark, batch(i), i, f"{root}/h", prof, f"{root}/out", buckets=4)
+    R.compact_history(spark, f"{root}/h", buckets=4)
+    assert sorted(os.listdir(f"{root}/h")) == ["batch_id=-1", "batch_id=3"]
+    R.refresh_batch(spark, batch(3), 3, f"{root}/h", prof, f"{root}/out", buckets=4)      # the newest batch again
+    # an interruption after the merge is finished by the next refresh
+    R.compact_history(spark, f"{root}/h", buckets=4)
+    os.rename(f"{root}/h/batch_id=-1", f"{root}/h__compact-2")
+    R.refresh_batch(spark, batch(4), 4, f"{root}/h", prof, f"{root}/out", buckets=4)
+    whole = R.event_snapshots(events.where(F.to_date("ts").isin(days)), prof)
+    keys, cols = ["customer_id", "snapshot_month"], sorted(whole.columns)
+    assert _sorted(R.latest_snapshots(spark, f"{root}/out").select(*cols), keys) == _sorted(whole.select(*cols), keys)
+
+
 def test_score_stream_equals_batch(spark):
     from ledgerlens.operators.features import build_snapshots
     from ledgerlens.sources.fixtures import ledger
