@@ -201,6 +201,8 @@ def window_starts(t: pa.Table, length: int) -> tuple[Texts, np.ndarray, np.ndarr
 
 def merged(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals of the windows at (doc, start), overlapping ones as one."""
+    if not len(doc):
+        return doc, start, start
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     new = np.ones(len(doc), bool)

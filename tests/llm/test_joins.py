@@ -144,6 +144,22 @@ def test_multikey_sort():
     assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+def test_merged():
+    doc, start = np.array([2, 1, 1, 1]), np.array([5, 300, 10, 110])
+    assert [x.tolist() for x in suffix_dedup.merged(doc, start, 100)] == [[1, 1, 2], [10, 300, 5], [210, 400, 105]]
+    none = np.zeros(0, np.int64)
+    assert all(len(x) == 0 for x in suffix_dedup.merged(none, none, 100))
+
+
+def test_windows_met_only_by_themselves(spark):
+    """A text of one repeated character: windows meet at many suffixes of their own text."""
+    docs = spark.createDataFrame([(1, "ab" * 70), (2, "x" * 100), (3, "q" * 101), (4, "ab" * 60 + "c" * 130)], "doc_id long, text string")
+    every, cut = suffix_dedup.drop_repeats(spark, docs)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in cut.collect()}
+    want = {d: (g, s) for (d, n, g, s, _), c in brute_cut([(r["doc_id"], r["text"], 0) for r in docs.collect()]).items() if g}
+    assert got == want and every.count() == 4
+
+
 def test_sliding():
     x = np.random.default_rng(0).integers(0, 99, 200)
     for w in (1, 2, 3, 7, 8, 61):
