@@ -128,6 +128,8 @@ def first_graph(nodes: DataFrame, orders: range, partitions: int, reach: int, ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
             if carry is not None:
                 t = pa.concat_tables([carry, t])
