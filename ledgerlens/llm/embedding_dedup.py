@@ -9,8 +9,10 @@ audited against brute force on a sample, and the edges over the threshold are ke
 3. Rounds: each node's neighbours (its list, and of those that list it as many) meet
    each other; every node keeps the best of what it met, until no list changes. Two nodes linked
    at cosine t to a third are at 2 t^2 - 1 at least, so lists hold nothing below that.
-4. Links join nodes to components. A list that links fill up is enlarged to its whole
-   component: the component's members meet in tiles, which return counts of links, not pairs.
+4. Links join nodes to components. A list that links fill up may have lost others, so it is enlarged: inside
+   its component the members meet in tiles, which return counts of links, not pairs; for what leaves the component
+   the search is made again with lists that hold nodes of other components only, and components that links
+   then join are one, until no link leaves a component.
 5. Audit: the links of a bounded sample of nodes are counted against all nodes. Below
    ``RECALL`` of them found, the search goes on with new orders.
 
@@ -81,7 +83,9 @@ def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def placed(nodes: DataFrame, orders: range) -> DataFrame:
-    """Every node in every order: (grp, code, node, unit); grp holds the order, label and length."""
+    """Every node in every order: (grp, code, node, part, unit); grp holds the order, label and length."""
+    kept = ["node", "part", "unit"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = np.array([len(x.as_buffer()) // 8 for x in b.column("unit")])
@@ -92,9 +96,9 @@ def placed(nodes: DataFrame, orders: range) -> DataFrame:
                 for o in orders:
                     code = (x @ planes(o, dim) > 0) @ (1 << np.arange(PLANES - 1, -1, -1, dtype=np.int64))
                     grp = [f"{o}|{dim}|{label[i]}" for i in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(code, pa.int64()), b.column("node").take(pa.array(at)), b.column("unit").take(pa.array(at))], names=["grp", "code", "node", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(code, pa.int64()), *[b.column(c).take(pa.array(at)) for c in kept]], names=["grp", "code", *kept])
 
-    return nodes.select("label", "node", "unit").mapInArrow(run, "grp string, code long, node long, unit binary")
+    return nodes.select("label", *kept).mapInArrow(run, "grp string, code long, node long, part long, unit binary")
 
 
 def _best(sims: np.ndarray, keep: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +114,9 @@ def _best(sims: np.ndarray, keep: int, floor: float) -> tuple[np.ndarray, np.nda
 
 
 def first_graph(nodes: DataFrame, orders: range, partitions: int, reach: int, keep: int, floor: float) -> DataFrame:
-    """(u, v, sim): each node's best among those that follow it in each order."""
+    """(u, v, sim): each node's best among those of other parts that follow it in each order."""
     def meet(run: pa.Table) -> Iterator[pa.RecordBatch]:
-        grp, ids = run["grp"].to_pylist(), run["node"].to_numpy()
+        grp, ids, part = run["grp"].to_pylist(), run["node"].to_numpy(), run["part"].to_numpy()
         edge = [0, *[i for i in range(1, len(grp)) if grp[i] != grp[i - 1]], len(grp)]
         for a, e in zip(edge, edge[1:]):
             x = matrix(run["unit"].slice(a, e - a))
@@ -120,7 +124,8 @@ def first_graph(nodes: DataFrame, orders: range, partitions: int, reach: int, ke
                 rows, cols = slice(i, min(i + 64, e - a)), slice(i, min(i + 64 + reach, e - a))
                 sims = x[rows] @ x[cols].T
                 gap = np.arange(cols.stop - i)[None] - np.arange(rows.stop - i)[:, None]
-                sims[(gap <= 0) | (gap > reach)] = -2
+                own = part[a:e]
+                sims[(gap <= 0) | (gap > reach) | (own[rows][:, None] == own[cols][None])] = -2
                 r, c = _best(sims, keep, floor)
                 if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a + i + r], pa.int64()), pa.array(ids[a + i + c], pa.int64()), pa.array(sims[r, c])], names=["u", "v", "sim"])
@@ -149,22 +154,32 @@ def lists(edges: DataFrame, keep: int) -> DataFrame:
     return both.withColumn("rank", rank).where(F.col("rank") <= keep).drop("rank")
 
 
-def local_join(graph: DataFrame, nodes: DataFrame, keep: int, floor: float) -> DataFrame:
-    """(u, v, sim) of nodes that share a neighbour: each node's list, and as many that list it, meet."""
+def around(graph: DataFrame, keep: int) -> DataFrame:
+    """(u, v): each node with itself, its list, and as many that list it."""
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("v", "u"), "v"))
     back = back.withColumn("rank", rank).where(F.col("rank") <= keep).drop("rank")
     own = graph.select("u", F.col("u").alias("v")).distinct()
-    members = graph.select("u", "v").union(back).union(own).distinct()
-    members = members.join(nodes.select(F.col("node").alias("v"), "unit"), "v")
+    return graph.select("u", "v").union(back).union(own).distinct()
+
+
+def local_join(graph: DataFrame, nodes: DataFrame, keep: int, floor: float, inside: DataFrame | None = None) -> DataFrame:
+    """(u, v, sim) of nodes of different parts that share a neighbour: each node's list, and as many that list it, meet,
+    with the same of the lists ``inside`` its part."""
+    members = around(graph, keep)
+    if inside is not None:
+        # only where a list has something to tell
+        near = around(inside, keep)
+        members = members.union(near.join(members.select("u").distinct(), "u", "left_semi").select("u", "v")).distinct()
+    members = members.join(nodes.select(F.col("node").alias("v"), "part", "unit"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "u"):
             if g.num_rows < 3:
                 continue
-            ids, x = g["v"].to_numpy(), matrix(g["unit"])
+            ids, part, x = g["v"].to_numpy(), g["part"].to_numpy(), matrix(g["unit"])
             sims = x @ x.T
-            np.fill_diagonal(sims, -2)
+            sims[part[:, None] == part[None]] = -2
             r, c = _best(sims, keep, floor)
             yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(ids[c], pa.int64()), pa.array(sims[r, c])], names=["u", "v", "sim"])
 
@@ -227,27 +242,55 @@ def audit(spark: SparkSession, nodes: DataFrame, found: DataFrame, threshold: fl
     return 1.0 if not got["true"] else got["n"] / got["true"]
 
 
+def refined(spark: SparkSession, graph: DataFrame, nodes: DataFrame, keep: int, floor: float, inside: DataFrame | None = None) -> DataFrame:
+    """The lists after the rounds."""
+    for _ in range(ROUNDS):
+        nxt = stored(spark, lists(local_join(graph, nodes, keep, floor, inside).union(graph), keep), "graph")
+        changed = nxt.join(graph, ["u", "v"], "left_anti").limit(1).count()
+        graph = nxt
+        if not changed:
+            break
+    return graph
+
+
+def ends_of_links(graph: DataFrame, threshold: float) -> DataFrame:
+    return graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def joined(spark: SparkSession, nodes: DataFrame, graph: DataFrame, links: DataFrame, orders: range, partitions: int, reach: int,
+           keep: int, floor: float, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The links with those that leave the components of full lists, and the components (node, component)."""
+    parts = Stored(spark, connected_components(spark, links), "parts").df
+    full = ends_of_links(graph, threshold).groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= keep)
+    if not full.limit(1).count():
+        return links, parts
+    while True:
+        apart = stored(spark, nodes.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "apart")
+        cross = stored(spark, lists(first_graph(apart, orders, partitions, reach, keep, floor), keep), "graph")
+        more = ends_of_links(refined(spark, cross, apart, keep, floor, graph), threshold)
+        if not more.limit(1).count():
+            return links, parts
+        links = stored(spark, links.union(more).distinct(), "ends")
+        parts = Stored(spark, connected_components(spark, links), "parts").df
+
+
 def near_duplicates(spark: SparkSession, emb: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS, keep: int = LIST,
                     reach: int = REACH, recall: float = RECALL) -> DataFrame:
     """One row per row of ``emb``: vec_id, n_links, component_id, kept."""
     ship(spark)
     vectors = stored(spark, unit_vectors(emb), "vectors")
     nodes = stored(spark, vectors.where("node is not null").groupBy("node").agg(
-        F.first("label").alias("label"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("low")), "nodes")
+        F.first("label").alias("label"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("low")).withColumn("part", F.col("node")), "nodes")
     n = nodes.count()
     floor = 2 * threshold ** 2 - 1
-    graph = None
+    graph = links = None
     for search in range(SEARCHES):
-        fresh = first_graph(nodes, range(search * orders, (search + 1) * orders), max(1, n * orders // 20_000), reach, keep, floor)
+        span, tasks = range(search * orders, (search + 1) * orders), max(1, n * orders // 20_000)
+        fresh = first_graph(nodes, span, tasks, reach, keep, floor)
         graph = stored(spark, lists(fresh if graph is None else fresh.union(graph), keep), "graph")
-        for _ in range(ROUNDS):
-            nxt = stored(spark, lists(local_join(graph, nodes, keep, floor).union(graph), keep), "graph")
-            changed = nxt.join(graph, ["u", "v"], "left_anti").limit(1).count()
-            graph = nxt
-            if not changed:
-                break
-        links = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        parts = Stored(spark, connected_components(spark, links), "parts").df
+        graph = refined(spark, graph, nodes, keep, floor)
+        ends = ends_of_links(graph, threshold)
+        links, parts = joined(spark, nodes, graph, ends if links is None else links.union(ends).distinct(), span, tasks, reach, keep, floor, threshold)
         found = stored(spark, link_counts(parts.join(nodes.select("node", "unit", "mult"), "node"), threshold, TILE), "links")
         if audit(spark, nodes, found, threshold, AUDIT) >= recall:
             break

@@ -226,3 +226,27 @@ def test_vectors_equal_brute_force(spark):
 
 def test_vectors_empty(spark):
     assert embedding_dedup.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def families(g, sizes, inside, between, dim=64):
+    """Rows of tight families, and no links but ``inside`` and ``between`` them."""
+    base, second = np.linalg.qr(g.standard_normal((dim, 2)))[0].T
+    c = between / inside
+    rows = []
+    for center, size in zip((base, c * base + np.sqrt(1 - c * c) * second), sizes):
+        e = g.standard_normal((size, dim))
+        e -= np.outer(e @ base, base) + np.outer(e @ second, second)
+        e /= np.linalg.norm(e, axis=1)[:, None]
+        rows += (np.sqrt(inside) * center + np.sqrt(1 - inside) * e).tolist()
+    return [(i, v, 0) for i, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("size, reach", [(14, 128), (40, 16)])
+def test_linked_families(spark, size, reach):
+    rows = families(np.random.default_rng(5), (size, size), 0.99, 0.942)
+    x = np.array([v for _, v, _ in rows])
+    n = (x @ x.T >= 0.93).sum(1) - 1
+    assert n.min() == 2 * size - 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark, df, reach=reach).collect())
+    assert got == [(i, int(n[i]), 0, i == 0) for i in range(len(rows))]
