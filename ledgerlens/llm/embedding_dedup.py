@@ -4,7 +4,8 @@ audited against brute force on a sample, and the edges over the threshold are ke
 
 1. Nodes: equal vectors of a label are one node with a multiplicity. Vectors that are null,
    zero, or hold null or non-finite components, and those without a label, link with nothing.
-2. First graph: in each of several seeded orders by the signs of random projections, every
+2. First graph: in each of several seeded orders (``ORDERS``, or more where a label is so large that a pair at the threshold
+   would be missed by all of them more often than ``MISS``) by the signs of random projections, every
    node meets the ``REACH`` nodes that follow it and keeps its ``LIST`` best.
 3. Rounds: each node's neighbours (its list, and of those that list it as many) meet
    each other; every node keeps the best of what it met, until no list changes. Two nodes linked
@@ -13,8 +14,9 @@ audited against brute force on a sample, and the edges over the threshold are ke
    its component the members meet in tiles, which return counts of links, not pairs; for what leaves the component
    the search is made again with lists that hold nodes of other components only, and components that links
    then join are one, until no link leaves a component.
-5. Audit: the links of a bounded sample of nodes are counted against all nodes. Below
-   ``RECALL`` of them found, the search goes on with new orders.
+5. Audit: the links of a bounded sample of nodes are counted against all nodes. Where the nodes that have links, or those
+   of them with about as many, find less than ``RECALL`` of theirs on average, the search goes on with new orders;
+   after ``SEARCHES`` searches that is an error.
 
 Defined results: one row per input row; rows of one vec_id are vectors of their own; a null vec_id
 counts as a vector but never names a component; vectors of different lengths don't compare; an empty
@@ -27,6 +29,7 @@ ever gathered; lists, tiles and the audit's sample have fixed sizes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +46,10 @@ LIST = 10
 TILE = 256
 AUDIT = 2048
 RECALL = 0.97
-ROUNDS = 4
 SEARCHES = 4
+MISS = 0.01
+#: Nodes of the audit's sample with about as many links are judged by themselves from so many on.
+AUDIT_CLASS = 64
 PLANES = 40
 
 
@@ -113,6 +118,14 @@ def _best(sims: np.ndarray, keep: int, floor: float) -> tuple[np.ndarray, np.nda
     return rows[ok], cols[ok]
 
 
+def orders_for(n: int, reach: int, threshold: float, least: int) -> int:
+    """Orders in which a pair at the threshold agrees, but for ``MISS``, at least once on the planes that
+    leave ``reach`` of ``n`` nodes."""
+    bits = min(max(0.0, math.log2(max(n, 1) / reach)), PLANES)
+    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    return max(least, math.ceil(math.log(MISS) / math.log1p(-meet))) if meet < 1 else least
+
+
 def first_graph(nodes: DataFrame, orders: range, partitions: int, reach: int, keep: int, floor: float) -> DataFrame:
     """(u, v, sim): each node's best among those of other parts that follow it in each order."""
     def meet(run: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -213,7 +226,8 @@ def link_counts(members: DataFrame, threshold: float, tile: int) -> DataFrame:
 
 
 def audit(spark: SparkSession, nodes: DataFrame, found: DataFrame, threshold: float, sample: int) -> float:
-    """The share of the true links of a bounded sample of nodes that were found."""
+    """The mean share of its true links that a linked node of a bounded sample found, or the lowest such
+    mean of the nodes with about as many links (by powers of two)."""
     picked = nodes.orderBy(F.xxhash64(F.lit(3), "node"), "node").limit(sample).select("node", "label", "unit").toArrow()
     if not picked.num_rows:
         return 1.0
@@ -238,19 +252,21 @@ def audit(spark: SparkSession, nodes: DataFrame, found: DataFrame, threshold: fl
         yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(total[some], pa.int64())], names=["node", "true"])
 
     true = nodes.select("node", "label", "unit", "mult").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    got = true.join(found, "node", "left").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("n")).first()
-    return 1.0 if not got["true"] else got["n"] / got["true"]
+    got = true.where(F.col("true") > 0).join(found, "node", "left").select(F.floor(F.log2("true")).alias("size"), (F.least("true", F.coalesce("n", F.lit(0))) / F.col("true")).alias("share"))
+    rows = got.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("share")).collect()     # at most 64 rows
+    if not rows:
+        return 1.0
+    return min([sum(r["share"] for r in rows) / sum(r["n"] for r in rows), *[r["share"] / r["n"] for r in rows if r["n"] >= AUDIT_CLASS]])
 
 
 def refined(spark: SparkSession, graph: DataFrame, nodes: DataFrame, keep: int, floor: float, inside: DataFrame | None = None) -> DataFrame:
-    """The lists after the rounds."""
-    for _ in range(ROUNDS):
+    """The lists after rounds that go on until none changes."""
+    while True:
         nxt = stored(spark, lists(local_join(graph, nodes, keep, floor, inside).union(graph), keep), "graph")
         changed = nxt.join(graph, ["u", "v"], "left_anti").limit(1).count()
         graph = nxt
         if not changed:
-            break
-    return graph
+            return graph
 
 
 def ends_of_links(graph: DataFrame, threshold: float) -> DataFrame:
@@ -282,6 +298,8 @@ def near_duplicates(spark: SparkSession, emb: DataFrame, threshold: float = THRE
     nodes = stored(spark, vectors.where("node is not null").groupBy("node").agg(
         F.first("label").alias("label"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("low")).withColumn("part", F.col("node")), "nodes")
     n = nodes.count()
+    largest = nodes.groupBy("label", F.octet_length("unit")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    orders = orders_for(largest, reach, threshold, orders)
     floor = 2 * threshold ** 2 - 1
     graph = links = None
     for search in range(SEARCHES):
@@ -292,8 +310,11 @@ def near_duplicates(spark: SparkSession, emb: DataFrame, threshold: float = THRE
         ends = ends_of_links(graph, threshold)
         links, parts = joined(spark, nodes, graph, ends if links is None else links.union(ends).distinct(), span, tasks, reach, keep, floor, threshold)
         found = stored(spark, link_counts(parts.join(nodes.select("node", "unit", "mult"), "node"), threshold, TILE), "links")
-        if audit(spark, nodes, found, threshold, AUDIT) >= recall:
+        share = audit(spark, nodes, found, threshold, AUDIT)
+        if share >= recall:
             break
+    else:
+        raise RuntimeError(f"embedding near-dedup found {share:.4f} of the links of audited nodes, below {recall}")
     whole = parts.join(nodes.select("node", "low"), "node")
     low = whole.groupBy("component").agg(F.min("low").alias("component_id"))
     ends = parts.join(low, "component").join(found, "node").select(F.col("node").alias("__n"), "n", "component_id")

@@ -250,3 +250,27 @@ def test_linked_families(spark, size, reach):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
     got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark, df, reach=reach).collect())
     assert got == [(i, int(n[i]), 0, i == 0) for i in range(len(rows))]
+
+
+def test_audit_counts_nodes(spark):
+    g = np.random.default_rng(6)
+    rows = families(g, (600, 0), 0.99, 0.94)
+    for a in g.standard_normal((100, 64)):
+        rows += [(len(rows) + k, (a + k * 0.1 * g.standard_normal(64)).tolist(), 0) for k in (0, 1)]
+    nodes = [(i, 0, (np.array(v) / np.linalg.norm(v)).tobytes(), 1) for i, v, _ in rows]
+    df = spark.createDataFrame(nodes, "node long, label int, unit binary, mult long")
+    found = spark.createDataFrame([(i, 599) for i in range(600)], "node long, n long")
+    # all links of the large group, none of the pairs
+    assert embedding_dedup.audit(spark, df, found, 0.93, 2048) == 0
+
+
+def test_orders_grow():
+    few, many = (embedding_dedup.orders_for(n, 128, 0.93, 12) for n in (1000, 10_000_000))
+    assert few == 12 and many > 24
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame(families(np.random.default_rng(7), (3, 3), 0.99, 0.5), "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embedding_dedup, "SEARCHES", 1)
+    with pytest.raises(RuntimeError, match="below"):
+        embedding_dedup.near_duplicates(spark, df, recall=1.01)
