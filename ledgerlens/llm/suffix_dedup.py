@@ -290,10 +290,15 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gra
     rows = stored(spark, d.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("th2"), F.sha2("text", 256).alias("whole_sha256")), "rows")
     classes = stored(spark, rows.groupBy("n_bytes", "th", "th2").agg(F.min("doc").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc"))
-    copies = stored(spark, rows.join(classes, ["n_bytes", "th", "th2"]).where("doc > rep").select("doc").distinct().join(reps, "doc", "left_anti"), "copies")
+    later = stored(spark, rows.join(classes, ["n_bytes", "th", "th2"]).where("doc > rep").select("doc", "th", "th2").distinct(), "later")
+    copies = stored(spark, later.select("doc").distinct().join(reps, "doc", "left_anti"), "copies")
+    # copies under a doc_id that has a text of its own too
+    mixed = stored(spark, later.join(reps, "doc", "left_semi"), "mixed")
     many = reps.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
     ranks = stored(spark, classes.withColumnRenamed("rep", "doc").join(many, "doc").select("doc", "th", (F.row_number().over(Window.partitionBy("doc").orderBy("th", "th2")) - 1).cast("long").alias("rank")), "ranks")
     single = d.join(copies, "doc", "left_anti").where(F.octet_length("text") >= length).withColumn("th", F.xxhash64("text"))
+    if mixed.limit(1).count():
+        single = single.withColumn("th2", F.xxhash64(F.lit(1), "text")).join(mixed, ["doc", "th", "th2"], "left_anti").drop("th2")
     single = single.join(ranks, ["doc", "th"], "left").withColumn("rank", F.coalesce("rank", F.lit(0).cast("long"))) if ranks.limit(1).count() else single.withColumn("rank", F.lit(0).cast("long"))
     twice = stored(spark, rows.groupBy("doc", "n_bytes", "th", "th2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc").distinct(), "twice")
     if twice.limit(1).count():

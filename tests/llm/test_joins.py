@@ -274,3 +274,12 @@ def test_low_recall_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SEARCHES", 1)
     with pytest.raises(RuntimeError, match="below"):
         embedding_dedup.near_duplicates(spark, df, recall=1.01)
+
+
+def test_copy_beside_own_text(spark):
+    g = random.Random(8)
+    a, b = (" ".join(f"{g.getrandbits(40):x}" for _ in range(30)) for _ in range(2))
+    df = spark.createDataFrame([(1, a), (5, a), (5, b)], "doc_id long, text string")
+    every, cut = suffix_dedup.drop_repeats(spark, df)
+    assert sorted((r["doc_id"], r["n_bytes"], r["copy"]) for r in every.collect()) == sorted([(1, len(a), False), (5, len(a), True), (5, len(b), False)])
+    assert cut.collect() == []
