@@ -3,8 +3,8 @@ Parquet and read again by the next one.
 
 1. quality: documents that the classifier rejects go.
 2. lines: lines that many documents share go; a null text stays null.
-3. near_duplicates: of documents linked by 5-word shingles at 0.8 the one with the smallest doc_id stays.
-   Rows that share a doc_id are one group, and the row with the smallest hash of its text stays; rows without a doc_id all stay.
+3. near_duplicates: of rows linked by 5-word shingles at 0.8 the one with the smallest doc_id stays, of several with that
+   doc_id the one with the smallest hash of its text. A shared doc_id links no rows; rows without a doc_id all stay.
 4. mix: documents appear as often as the mix takes them, those taken in part with the words taken.
 5. pack: pieces of token sequences.
 
@@ -13,7 +13,7 @@ The stages but the last return the columns of the table they get; ``n_chars``, i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import jaccard_join, line_dedup, mixing, packing, site_quality
@@ -37,12 +37,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = stored(spark, jaccard_join.link_documents(spark, docs.select("doc_id", "text")).where("doc_id is not null"), "linked")
-    gone = stored(spark, linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        kept = kept.where("doc_id is not null").withColumn("__nth", nth).where("__nth = 1").drop("__nth").unionByName(docs.where("doc_id is null"))
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        # numbers that rise with doc_id and text; written, as they differ from run to run
+        known = stored(spark, known.orderBy("doc_id", F.xxhash64("text"), F.xxhash64(*cols(docs.columns))).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    else:
+        known = known.withColumn("__row", F.col("doc_id"))
+    linked = jaccard_join.link_documents(spark, known.select(F.col("__row").alias("doc_id"), "text"))
+    gone = stored(spark, linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__row")), "gone")
+    kept = known.join(gone, "__row", "left_anti").unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
     return kept.select(*cols(docs.columns))
 
 

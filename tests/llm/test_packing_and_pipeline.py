@@ -158,3 +158,11 @@ def test_registry():
     names = [n for n in registry.QUERIES if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in registry.QUERIES
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_near_duplicates_keep_unique_rows(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (5, c), (5, b), (7, c), (8, ""), (8, None), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert Counter(map(tuple, got.collect())) == Counter([(1, a), (5, b), (5, c), (8, ""), (8, None), (None, a), (None, a)])
