@@ -7,10 +7,11 @@ windows of ``WINDOW`` words, ``STRIDE`` apart, the last one ending with the text
 window is scored and a text's score is its highest window, calibrated to a probability.
 
 Fitting takes a bounded sample of labelled rows: of each class the first
-``MAX_LABELLED`` in the order of a hash of the doc_id, among them texts up to
-``MAX_FIT_BYTES``; rows held out (crc32 of the doc_id mod 5 is 0) are never used. A toxic
-text teaches through its highest window, any other through its highest and a random one.
-One row in four is kept for the calibration.
+``MAX_LABELLED`` in the order of a hash of the doc_id, texts of any length; rows held out
+(crc32 of the doc_id mod 5 is 0) are never used. Of a text with more, ``FIT_WINDOWS`` windows, spread evenly over its whole
+length, are learned from (fewer where they hold over ``FIT_BYTES``; words count to ``FIT_WORD`` bytes there). A toxic
+text teaches through the highest of them, any other through the highest and a random one.
+One row in four is kept for the calibration, by the score of its whole text.
 
 Defined results: texts without a word, empty and null ones get the share of toxic
 labels; a null doc_id is not held out and has no label; null labels are left out; without
@@ -34,7 +35,7 @@ from ledgerlens.llm.textarrays import Texts
 WINDOW, STRIDE = 32, 24
 WORD_BITS, CHAR_BITS, DIM, HIDDEN = 13, 13, 8, 8
 MAX_LABELLED = 3000
-MAX_FIT_BYTES = 4096
+FIT_WINDOWS, FIT_BYTES, FIT_WORD = 24, 16384, 256
 EPOCHS = 12
 BATCH = 4096
 SEED = 5
@@ -224,14 +225,34 @@ class Network:
         return np.where(np.isnan(logit), self.share, p)
 
 
-def train(texts: Texts, y: np.ndarray, held: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """A network fitted to the texts that are not ``held``, calibrated on those that are."""
+def drawn_windows(texts: Texts) -> Iterator[tuple[int, int, bytes]]:
+    """(text, window, its words) of at most ``FIT_WINDOWS`` windows of each text."""
+    for i, _, t in texts.slices():
+        t = t.lower_ascii()
+        starts, ends, doc = t.spans(_WORD[t.data])
+        first = np.searchsorted(doc, np.arange(t.n + 1))
+        for k in range(t.n):
+            a, n = int(first[k]), int(first[k + 1] - first[k])
+            if not n:
+                continue
+            per = max(-(-(n - WINDOW) // STRIDE), 0) + 1
+            mean = WINDOW * (np.minimum(ends[a:a + n] - starts[a:a + n], FIT_WORD).mean() + 1)
+            nth = np.unique(np.linspace(0, per - 1, max(1, min(per, FIT_WINDOWS, int(FIT_BYTES / mean)))).round().astype(np.int64))
+            for j in nth.tolist():
+                at = a + min(j * STRIDE, max(n - WINDOW, 0))
+                end = min(at + WINDOW, a + n)
+                yield i + k, j, b" ".join(t.data[s:min(e, s + FIT_WORD)].tobytes() for s, e in zip(starts[at:end].tolist(), ends[at:end].tolist()))
+
+
+def train(texts: Texts, y: np.ndarray, held: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, owner: np.ndarray | None = None) -> Network:
+    """A network fitted to the texts that are not ``held``; ``owner`` has (rising) the text of y and held that each of ``texts`` is a part of."""
     net, g = Network(seed), np.random.default_rng(seed)
     w = Words(texts)
     ids, real, doc = w.windows()
+    doc = doc if owner is None else owner[doc]
     used = ~held[doc]
-    first = np.searchsorted(doc, np.arange(texts.n))
-    count = np.bincount(doc, minlength=texts.n)
+    first = np.searchsorted(doc, np.arange(len(y)))
+    count = np.bincount(doc, minlength=len(y))
     fit_docs = np.flatnonzero(~held & (count > 0))
     if not len(fit_docs) or len(set(y[fit_docs])) < 2:
         return net
@@ -277,19 +298,36 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
     for y in (0, 1):
         top = known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
         sample = top if sample is None else sample.union(top)
-    # at most 2 * max_labelled ids, then texts of at most MAX_FIT_BYTES
-    got = (docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_FIT_BYTES)
-           .join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("__y").alias("y"))
-           .toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, 4 * max_labelled))
-    y = got["y"].to_numpy().astype(np.int64)
+    # at most 2 * max_labelled ids; what comes to the driver of each text is bounded too
+    ship(spark)
+    rows = docs.select(F.col("doc_id").alias("__id"), "text", F.xxhash64("text").alias("__th"))
+    got = rows.join(F.broadcast(sample), "__id").select("__id", "__th", "__y").distinct().orderBy("__id", "__th", "__y").limit(4 * max_labelled).toArrow().sort_by([("__id", "ascending"), ("__th", "ascending"), ("__y", "ascending")])
+    y = got["__y"].to_numpy().astype(np.int64)
     held = np.arange(len(y)) % 4 == 0
     if min([((y == a) & (held == b)).sum() for a in (0, 1) for b in (False, True)]) == 0:
         return net
-    texts = Texts.of(got["text"])
-    share, net = net.share, train(texts, y, held, epochs)
+
+    def of(which: np.ndarray) -> DataFrame:
+        at = np.flatnonzero(which)
+        keys = spark.createDataFrame(got.select(["__id", "__th"]).take(pa.array(at)).append_column("nth", pa.array(at, pa.int64())))
+        return rows.join(F.broadcast(keys), ["__id", "__th"]).select("nth", "text")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nth = b.column("nth").to_numpy()
+            parts = list(drawn_windows(Texts.of(b.column("text"))))
+            yield pa.RecordBatch.from_arrays([pa.array([int(nth[k]) for k, _, _ in parts], pa.int64()), pa.array([j for _, j, _ in parts], pa.int64()), pa.array([x for _, _, x in parts], pa.binary())], names=["nth", "part", "words"])
+
+    parts = of(~held).mapInArrow(draw, "nth long, part long, words binary").dropDuplicates(["nth", "part"]).toArrow().sort_by([("nth", "ascending"), ("part", "ascending")])
+    share, net = net.share, train(Texts.of(parts["words"]), y, held, epochs, owner=parts["nth"].to_numpy())
     net.share = share
-    own = np.flatnonzero(held)
-    logit = net.text_logits(Texts.of(got["text"].combine_chunks().take(pa.array(own))))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("nth"), pa.array(net.text_logits(Texts.of(b.column("text"))), pa.float64())], names=["nth", "logit"])
+
+    scores = of(held).mapInArrow(whole, "nth long, logit double").dropDuplicates(["nth"]).toArrow().sort_by("nth")
+    logit, own = scores["logit"].to_numpy(), scores["nth"].to_numpy()
     ok = ~np.isnan(logit)
     net.slope, net.shift = calibrate(logit[ok], y[own][ok].astype(float), share)
     return net

@@ -173,3 +173,23 @@ def test_toxicity_edges(spark, docs, empty, labels, no_labels):
 def test_toxicity_split(spark, tables):
     got = toxicity.op8(spark, tables[0]).collect()
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """Labelled texts of over 4 KB only."""
+    g = np.random.default_rng(1)
+    vocab = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(240):
+        w = g.choice(vocab, int(g.integers(700, 1500))).tolist()
+        if i % 2:
+            for _ in range(len(w) // 10):
+                w[int(g.integers(len(w)))] = "grolt" + str(g.choice(["ish", "ed", "er"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, i % 2))
+    assert min(len(t) for _, t in rows) > 4096
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    net = toxicity.fit(spark, docs, lab, epochs=10)
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(spark, docs, net).collect()}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (y == 1) for i, y in held]) > 0.9
