@@ -9,13 +9,13 @@ coordinates, a range of values that a partner can have, and only rows in all of
 3. Every task reads its rows as buckets of at most ``BUCKET`` rows of one label and band. A bucket whose longest
    vector can't reach an anchor's threshold is left out; else the threshold is a cosine, the angle around the anchor
    gives the feasible range of each of its ``FOCUS`` largest coordinates, the ranges are looked up in the sorted lists
-   and intersected, and what is left is scored exactly. A range that leaves most rows costs more than
-   it saves, so such anchors are scored against the whole bucket. Thresholds rise as better partners are found.
+   and intersected, and what is left is scored exactly. Ranges that leave most rows cost more than
+   they save, so such anchors are scored against the whole bucket. Thresholds rise as better partners are found.
 4. Two searches: positives (same label, the ``POSITIVES`` best), then negatives (other labels, the ``NEGATIVES`` best of
    score ``LOW``/100 to ``HIGH``/100 of the positive's).
 
 Defined results: rows are compared by row, not by vec_id, so rows that share a vec_id are other rows of each other;
-a null vec_id is no anchor and comes last among ties; vectors of different lengths don't compare; 256 * x beyond
+a null vec_id is no anchor and comes last among ties; vectors of different lengths don't compare, empty ones score 0; 256 * x beyond
 the doubles counts as not finite; a score beyond 64 bits is an error; an empty table gives an empty table; other columns are not read.
 
 Scale: the rows are sorted once; each block of anchors is one map over them without a shuffle of vectors. A task returns at
@@ -38,8 +38,8 @@ SCALE = 256
 BAND = 0.9
 BUCKET = 4096
 FOCUS = 3
-#: Where the narrowest range leaves more than this part of a bucket, the bucket is scored as a whole.
-DENSE = 0.25
+#: Where the ranges together are expected to leave more than this part of a bucket, the bucket is scored as a whole.
+DENSE = 0.2
 BLOCK_BYTES = 4 << 20
 POSITIVES, NEGATIVES = 5, 5
 LOW, HIGH = 80, 100
@@ -118,7 +118,7 @@ class Bucket:
             hi[i, j] = np.searchsorted(values, np.cos(np.maximum(mid - angle[i], 0.0)) + 1e-9, "right")
         size = np.maximum(hi - lo, 0)
         out: list[np.ndarray | None] = [None] * m
-        for a in np.flatnonzero(size.min(1, initial=n) <= DENSE * n).tolist():
+        for a in np.flatnonzero((size / max(n, 1)).prod(1) <= DENSE).tolist():
             first = int(size[a].argmin())
             found = self.coordinate(int(focus[a, first]))[0][lo[a, first]:hi[a, first]]
             for j, f in enumerate(focus[a].tolist()):
@@ -173,7 +173,8 @@ class Anchors:
         every = np.arange(len(b.x))
         found = [self.take(b, dense[i:i + step], every, bound) for i in range(0, len(dense), step)]
         found += [self.take(b, np.array([i]), c, bound) for i, c in zip(use.tolist(), some) if c is not None and len(c)]
-        self.add(*map(np.concatenate, zip(*found)))
+        if found:
+            self.add(*map(np.concatenate, zip(*found)))
 
     def take(self, b: Bucket, anchors: np.ndarray, cand: np.ndarray, bound: float) -> tuple[np.ndarray, ...]:
         """(slot, score, vec_id, row): the best of the candidates (by place, so by vec_id) for each slot of the anchors."""
