@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WORD_RE, stored, table
+from ledgerlens.llm.common import WORD_RE, cols, stored, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -142,16 +142,17 @@ def mixed_texts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as the mix takes it whole, and once more
     with the words of its span where the mix takes a part (the span's words joined by a space;
     a span of all words is the text as it is). Documents of which nothing is taken go."""
-    plan = (mix(spark, docs, **options).where("taken > 0")
-            .groupBy("doc_id", "source", "th").agg(F.collect_list(F.struct("size", "passes", "span_start", "span_end")).alias("__plan"))
-            .select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("th").alias("__th"), "__plan"))
-    plan = stored(spark, plan, "mix")
-    rows = docs.withColumn("__h", F.xxhash64("text")).withColumn("__nth", F.lit(1))
-    if plan.where(F.size("__plan") > 1).limit(1).count():
-        # equal rows share one key; each of them takes one entry of the key's list
-        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__h").orderBy(F.lit(1))))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__th")))
-    rows = rows.withColumn("__p", F.get("__plan", F.col("__nth") - 1)).where("__p is not null")
+    plan = stored(spark, mix(spark, docs, **options).where("taken > 0").select(
+        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("th").alias("__th"), "size", "passes", "span_start", "span_end"), "mix")
+    key = ["__doc", "__source", "__th"]
+    rows = docs.withColumn("__h", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__th"))
+    if plan.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        # equal rows share one key: the k-th of them, by the rest of their columns, takes the k-th entry
+        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__h").orderBy(F.xxhash64(*cols(docs.columns)))))
+        plan = plan.withColumn("__at", F.row_number().over(Window.partitionBy(*key).orderBy("span_start", "span_end")))
+        same = same & (F.col("__nth") == F.col("__at"))
+    rows = rows.join(plan.select(*key, *(["__at"] if "__at" in plan.columns else []), F.struct("size", "passes", "span_start", "span_end").alias("__p")), same)
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD_RE})"), 1), (F.col("__p.span_start") + 1).cast("int"), (F.col("__p.span_end") - F.col("__p.span_start")).cast("int")), " ")
     partial = F.when(F.col("__p.span_end") - F.col("__p.span_start") == F.col("__p.size"), F.col("text")).when(F.col("__p.span_end") > F.col("__p.span_start"), part)
     copies = F.concat(F.array_repeat(F.col("text"), F.col("__p.passes").cast("int")), F.array_compact(F.array(partial)))
