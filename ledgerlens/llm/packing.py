@@ -17,20 +17,20 @@ columns are not read.
 
 Scale: tokens are made and cut in one pass over the texts in Arrow batches; only the
 pieces' numbers (and, if asked for, their ids) are written and shuffled. Groups are
-hash classes of documents of about ``group_tokens`` tokens, so no class, source or
-document gathers more than that; a piece is never longer than a sequence.
+hash classes of pieces, which are numbered by task, of about ``group_tokens`` tokens: neither a long document
+nor equal documents or rows without doc_id gather in one; a piece is never longer than a sequence.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +43,16 @@ END_ID = 1
 GROUP_TOKENS = 2_000_000
 VOCABULARY = "word_bpe_49k.json"
 
-#: Bytes of text taken at once, and pieces of words a Python worker keeps between them, in each of two generations (about 100 MB).
-TEXT_BYTES = 16 << 20
-CACHED_PIECES = 200_000
-#: Texts below this are cut here as the tokenizer cuts them: Latin letters without separators or combining marks.
-_PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
+#: Bytes of text taken at once, and pieces of words whose ids a Python worker keeps (about 100 MB).
+TEXT_BYTES = 2 << 20
+KNOWN_PIECES = 1_000_000
+#: Classes of bytes in words that are cut here as the tokenizer cuts them: letters (ASCII, and U+00C0 to U+024F in two
+#: bytes), digits, other ASCII.
+LETTER, DIGIT, OTHER = 1, 2, 3
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = OTHER
+_CLASS[0x30:0x3A] = DIGIT
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = LETTER
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -58,27 +63,32 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordTokenizer:
-    """Ids of white-space separated words. The tokenizer encodes the pieces of a word
-    independently of each other, so each distinct piece is encoded once."""
+    """Ids of white-space separated words. The tokenizer lower-cases words, cuts them where letters, single digits and other
+    characters meet, and encodes these pieces independently of each other, so each distinct piece is encoded once. The ids
+    of known pieces are kept by the piece's 64-bit hash; words with apostrophes or characters of other scripts
+    are one piece each, which the tokenizer cuts itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
         vocab = self.tk.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.keep(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def keep(self, known: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """``known`` hashes in order, how many ids each has, and all ids."""
+        self.known, self.count, self.ids = known, count, ids
+        self.first = np.cumsum(count) - count
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def pieces(self, new: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
+    def pieces(self, new: list[str]) -> list[bytes]:
+        """The ids of pieces that the tokenizer doesn't cut."""
+        out: list[bytes] = []
         for i in range(0, len(new), 20_000):
             part = new[i:i + 20_000]
             runs = [part[j:j + 400] for j in range(0, len(part), 400)]
@@ -86,40 +96,76 @@ class WordTokenizer:
                 ids = np.array(e.ids, np.uint32)
                 stop = np.flatnonzero(self.ends[ids]) + 1
                 if len(stop) != len(run) or stop[-1] != len(ids):
-                    out.update((p, self.whole(p)) for p in run)
+                    out += [self.whole(p) for p in run]
                     continue
                 raw, at = ids.tobytes(), 0
-                for p, s in zip(run, (stop * 4).tolist()):
-                    out[p] = raw[at:s]
+                for s in (stop * 4).tolist():
+                    out.append(raw[at:s])
                     at = s
         return out
 
-    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each word."""
-        if len(self.cache) > CACHED_PIECES:
-            # what is met again moves on, the rest goes with its generation
-            self.cache, self.old = {}, self.cache
-        out: list[bytes] = []
-        for i in range(0, len(words), 40_000):
-            parts: list[list[str] | str] = []
-            new: dict[str, None] = {}
-            for w in words.slice(i, 40_000).to_pylist():
-                if _PLAIN.fullmatch(w) and "<|" not in w:
-                    p = self.cut(w.lower())
-                    parts.append(p)
-                    for x in p:
-                        if x not in self.cache:
-                            if x in self.old:
-                                self.cache[x] = self.old[x]
-                            else:
-                                new[x] = None
-                else:
-                    parts.append(w)
-            self.cache.update(self.pieces(list(new)))
-            known = self.cache
-            out += [self.whole(p) if isinstance(p, str) else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
-        counts = np.fromiter((len(b) >> 2 for b in out), np.int64, len(out))
-        return np.frombuffer(b"".join(out), np.uint32), counts
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place among the known) of every piece of the texts."""
+        starts, ends, cut = word_pieces(texts)
+        low = texts.data + (((texts.data >= 65) & (texts.data <= 90) & cut).astype(np.uint8) << 5)
+        lowered = Texts(low, texts.offsets)
+        coded = pa.array(Texts.span_hash(lowered.prefix_hash(), starts, ends)).dictionary_encode()
+        met, which = coded.dictionary.to_numpy(), coded.indices.to_numpy(zero_copy_only=False)
+        at = self.places(met)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            # a place of each new piece in the texts
+            example = np.empty(len(met), np.int64)
+            example[which] = np.arange(len(which))
+            k = example[new]
+            raw = low.tobytes()
+            words = [raw[a:e].decode("utf-8", "replace").lower() if c else raw[a:e].decode("utf-8", "replace")
+                     for a, e, c in zip(starts[k].tolist(), ends[k].tolist(), cut[starts[k]].tolist())]
+            plain = cut[starts[k]]
+            found = np.empty(len(new), object)
+            found[plain] = self.pieces([w for w, c in zip(words, plain.tolist()) if c])
+            found[~plain] = [self.whole(w) for w, c in zip(words, plain.tolist()) if not c]
+            if len(self.known) + len(new) > KNOWN_PIECES:
+                # what these texts have stays
+                use = np.sort(at[at >= 0])
+                n = self.count[use]
+                self.keep(self.known[use], n, self.ids[np.repeat(self.first[use] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            known = np.concatenate((self.known, met[new]))
+            count = np.concatenate((self.count, np.fromiter((len(b) >> 2 for b in found), np.int64, len(found))))
+            ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), np.uint32)))
+            order = np.argsort(known, kind="stable")
+            first, n = (np.cumsum(count) - count)[order], count[order]
+            self.keep(known[order], n, ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            at = self.places(met)
+        return texts.doc_of(starts), at[which]
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at, -1)
+
+
+def word_pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of all words, and for each byte whether its word is cut here."""
+    data = texts.data
+    kind = _CLASS[data]
+    before, after = np.concatenate(([np.uint8(0)], data[:-1])), np.concatenate((data[1:], [np.uint8(0)]))
+    inside = ~texts.white()
+    starts, ends, _ = texts.spans(inside)
+    # U+00D7, U+00F7, U+0130 and what lies beyond U+024F are no plain letters; special tokens begin with <|
+    odd = inside & ((kind == 0) | (data == 39) | ((before == 0xC3) & ((data == 0x97) | (data == 0xB7))) | ((before == 0xC4) & (data == 0xB0))
+           | ((before == 0xC9) & (data > 0x8F)) | ((data == 60) & (after == 124)))
+    bad = np.add.reduceat(odd, starts) > 0 if len(starts) else np.zeros(0, bool)
+    plain = np.zeros(len(data), bool)
+    plain[inside] = np.repeat(~bad, ends - starts)
+    first = np.zeros(len(data), bool)
+    first[starts] = True
+    kind_before = np.concatenate(([np.uint8(0)], kind[:-1]))
+    new = np.flatnonzero(first | (plain & ((kind != kind_before) | (kind == DIGIT))))
+    # a piece ends where its word ends or the next piece begins
+    stop = np.append(new[1:], len(data))
+    return new, np.minimum(stop, ends[np.cumsum(first)[new] - 1]) if len(new) else stop[:0], plain
 
 
 def cut_lengths(n: int, capacity: int, min_cut: int) -> list[int]:
@@ -133,25 +179,17 @@ def cut_lengths(n: int, capacity: int, min_cut: int) -> list[int]:
 
 def token_ids(texts: Texts, tokenizer: WordTokenizer, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids with the end id) of each text."""
-    white = texts.white()
-    starts, ends, doc = texts.spans(~white)
-    lens = ends - starts
-    off = np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
-    body = np.ascontiguousarray(texts.data[~white])
-    words = pa.Array.from_buffers(pa.large_string(), len(lens), [None, pa.py_buffer(off), pa.py_buffer(body)]).dictionary_encode()
-    flat, counts = tokenizer.encode(words.dictionary)
-    first = np.concatenate(([0], np.cumsum(counts)))[:-1] if len(counts) else np.zeros(0, np.int64)
-    which = words.indices.to_numpy(zero_copy_only=False)
+    doc, place = tokenizer.encode(texts)
     at = np.searchsorted(doc, np.arange(texts.n + 1))
     step = 200_000
     i = 0
     while i < texts.n:
-        # some texts at once, about `step` words
+        # some texts at once, about `step` pieces
         j = max(i + 1, int(np.searchsorted(at, at[i] + step, "right")) - 1)
-        w = which[at[i]:at[j]]
-        c = counts[w]
+        w = place[at[i]:at[j]]
+        c = tokenizer.count[w]
         stop = np.cumsum(c)
-        ids = flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(first[w] - (stop - c), c)]
+        ids = tokenizer.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(tokenizer.first[w] - (stop - c), c)]
         edge = np.concatenate(([0], stop))[at[i:j + 1] - at[i]]
         for d in range(i, j):
             yield d, np.append(ids[edge[d - i]:edge[d - i + 1]], np.uint32(end_id))
@@ -162,6 +200,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int, min_cut: int, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordTokenizer(path)
+        piece = TaskContext.get().partitionId() << 40
         for b in batches:
             texts = Texts.of(b.column("text"))
             row, start, length, crc, total, kept = [], [], [], [], [], []
@@ -176,20 +215,21 @@ def piece_table(docs: DataFrame, path: str, capacity: int, min_cut: int, end_id:
                     if with_ids:
                         kept.append(raw[4 * at:4 * (at + n)])
                     at += n
-            out = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            out = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(np.arange(piece, piece + len(row)))]
+            piece += len(row)
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece"]
             if with_ids:
                 out, names = [*out, pa.array(kept, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, piece long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def first_fit(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Leftover pieces of one group, longest first, each to the first sequence with room."""
-    pdf = pdf.sort_values(["length", "turn", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+    pdf = pdf.sort_values(["length", "piece"], ascending=[False, True], kind="stable")
     used: list[int] = []
     seq, at, first = [], [], 0
     for n in pdf["length"].tolist():
@@ -213,14 +253,13 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, min_cut
     ship(spark)
     path = vocabulary or vocabulary_path()
     pieces = Stored(spark, piece_table(docs, path, capacity, min_cut, end_id, with_ids), "pieces")
-    names = pieces.schema.names
+    names = [n for n in pieces.schema.names if n != "piece"]
     tokens = pieces.df.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-tokens // group_tokens))
-    p = (pieces.df.withColumn("turn", F.xxhash64("doc_id", "doc_tokens"))
-         .withColumn("grp", F.pmod(F.col("turn"), F.lit(groups)).cast("long"))
+    p = (pieces.df.withColumn("grp", F.pmod(F.xxhash64("piece"), F.lit(groups)).cast("long"))
          .withColumn("k", F.floor(F.lit(capacity) / F.col("length")).cast("long")))
     one = Window.partitionBy("grp", "k")
-    p = (p.withColumn("rn", F.row_number().over(one.orderBy("turn", "start", "ids_crc32")) - 1)
+    p = (p.withColumn("rn", F.row_number().over(one.orderBy("piece")) - 1)
          .withColumn("n", F.count(F.lit(1)).over(one))
          .withColumn("bin", F.floor(F.col("rn") / F.col("k")).cast("long")))
     p = stored(spark, p, "classes")
@@ -230,12 +269,12 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, min_cut
                 .withColumn("offset", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
                 .withColumn("sequence_id", F.shiftleft("grp", 32) + F.shiftleft("k", 20) + F.col("bin"))
                 .select(*names, "sequence_id", "offset"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    fields = ", ".join(f"{n} {pieces.schema[n].dataType.simpleString()}" for n in names)
 
     def left(pdf: pd.DataFrame) -> pd.DataFrame:
         return first_fit(pdf, capacity)[[*names, "sequence_id", "offset"]]
 
-    rest = p.where(~full).select(*names, "turn", "grp").groupBy("grp").applyInPandas(left, f"{fields}, sequence_id long, offset long")
+    rest = p.where(~full).select(*names, "piece", "grp").groupBy("grp").applyInPandas(left, f"{fields}, sequence_id long, offset long")
     return harmonic.union(rest)
 
 
