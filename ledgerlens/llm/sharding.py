@@ -8,7 +8,7 @@ equal texts are one group; a group stays in one shard, unless it is larger than
    large groups are certain to be in it. Expected size: at most ``SAMPLES_PER_RANGE`` a range.
 2. Boundaries: quantiles of the sample's cumulated weights, ``RANGES_PER_SHARD`` a shard.
 3. Units: groups over 1/``LARGE`` of a shard are units by themselves (there are at most LARGE a shard), larger than a
-   shard in pieces by doc_id. The rest lies in ranges; a range with over twice its share is subdivided by hash.
+   shard in pieces by row. The rest lies in ranges; a range with over twice its share is subdivided by hash.
 4. Units to shards: large ones by size, back and forth; ranges in order, up to the level that makes the shards even.
 5. Slots: units and their pieces of about ``PIECE_ROWS`` rows get offsets from a running sum of their counts,
    records a row number in their piece.
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Stored, stored, table
+from ledgerlens.llm.common import Stored, cols, stored, table
 
 SHARDS = 8
 RANGES_PER_SHARD = 256
@@ -93,7 +93,8 @@ def assign(units: DataFrame, shards: int) -> DataFrame:
 
 def shard_records(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_PER_SHARD, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(doc_id, size, text_crc32, key, shard, slot) of every row of ``docs``."""
-    recs = Stored(spark, records(docs), "records").df
+    # a number of its own for every row, written, so that rows equal in all columns can be told apart
+    recs = Stored(spark, records(docs).withColumn("row", F.monotonically_increasing_id()), "records").df
     groups = stored(spark, recs.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     ranges = shards * ranges_per_shard
@@ -108,7 +109,7 @@ def shard_records(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, ra
     full = (placed.where("not large").groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 2 * total / ranges)
             .select(F.col("range").alias("__range"), F.ceil(F.col("bytes") * ranges / max(total, 1)).alias("__parts")))
     placed = placed.join(F.broadcast(full), F.col("range") == F.col("__range"), "left")
-    part = F.when(F.col("large"), F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.col("__cuts"))).otherwise(F.pmod(F.xxhash64(F.lit(3), "key"), F.coalesce("__parts", F.lit(1))))
+    part = F.when(F.col("large"), F.pmod(F.xxhash64(F.lit(2), "row"), F.col("__cuts"))).otherwise(F.pmod(F.xxhash64(F.lit(3), "key"), F.coalesce("__parts", F.lit(1))))
     unit = F.struct("range", F.when(F.col("large"), F.col("key")).alias("own"), part.alias("part"))
     placed = placed.withColumn("unit", unit).drop("__range", "__parts", "__cuts")
     units = placed.groupBy("large", "unit").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
@@ -117,23 +118,27 @@ def shard_records(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, ra
     where_to = stored(spark, where_to.select(F.col("unit").alias("__unit"), "shard", "pieces"), "shards")
     # units are bounded by the ranges, not by the records
     placed = placed.join(F.broadcast(where_to), F.col("unit") == F.col("__unit")).drop("__unit")
-    placed = stored(spark, placed.withColumn("turn", F.xxhash64(F.lit(4), "doc_id", "key")).withColumn("piece", F.pmod("turn", F.col("pieces"))), "pieces")
+    placed = stored(spark, placed.withColumn("turn", F.xxhash64(F.lit(4), "row")).withColumn("piece", F.pmod("turn", F.col("pieces"))), "pieces")
     counts = placed.groupBy("shard", "unit", "piece").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("unit", "piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     counts = counts.withColumn("before", before).drop("n")
-    nth = F.row_number().over(Window.partitionBy("shard", "unit", "piece").orderBy("turn", "doc_id", "size", "text_crc32")) - 1
+    nth = F.row_number().over(Window.partitionBy("shard", "unit", "piece").orderBy("turn", "row")) - 1
     return (placed.withColumn("nth", nth).join(counts, ["shard", "unit", "piece"])
             .select("doc_id", "size", "text_crc32", "key", "shard", (F.col("before") + F.col("nth")).alias("slot")))
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, **options) -> None:
     """The records as Parquet, one folder a shard; equal rows take one slot each."""
-    plan = shard_records(spark, docs, **options).groupBy(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("shard", "slot")).alias("__at"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
-    rows = docs.withColumn("__nth", nth).withColumn("__h", F.xxhash64("text"))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__key")))
-    at = F.get("__at", F.col("__nth") - 1)
-    (rows.select(*[f"`{c}`" for c in docs.columns], at["shard"].alias("shard"), at["slot"].alias("slot"))
+    plan = stored(spark, shard_records(spark, docs, **options).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")), "slots")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key"))
+    rows = docs
+    if plan.groupBy("__doc", "__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        # the k-th of equal rows, by the rest of their columns, takes the k-th slot
+        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*cols(docs.columns)))))
+        plan = plan.withColumn("__at", F.row_number().over(Window.partitionBy("__doc", "__key").orderBy("__shard", "__slot")))
+        same = same & (F.col("__nth") == F.col("__at"))
+    rows = rows.join(plan, same)
+    (rows.select(*[f"`{c}`" for c in docs.columns], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
      .sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))
 
 

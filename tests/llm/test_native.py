@@ -167,3 +167,19 @@ def test_line_sql(spark):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{d}/documents.parquet'")
     same_rows(line_dedup.op10(spark, d), c.sql(line_dedup.OP10_SQL))
+
+
+def test_shards_of_rows_without_doc_id(spark):
+    """A text that fills more than a shard is cut whatever its doc_ids are."""
+    rows = [(None, "the same fifteen")] * 2000 + [(i, f"text number {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    load = check_shards(sharding.shard_records(spark, docs, piece_rows=50).collect(), 8)
+    assert max(load) <= 1.02 * min(load)
+
+
+def test_written_shards_keep_columns_of_equal_rows(spark, tmp_path):
+    rows = [(None if i % 2 else 7, "same text", i) for i in range(300)] + [(i, f"t{i}", i) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(3)
+    sharding.write_shards(spark, docs, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["k"] for r in back) == sorted(r[2] for r in rows) and len({(r["shard"], r["slot"]) for r in back}) == len(rows)
