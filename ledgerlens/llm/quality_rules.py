@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import ship, table, with_fields, without
+from ledgerlens.llm.common import ship, stored, table, with_fields, without
 from ledgerlens.llm.textarrays import Texts, mix64
 
 WORD_BITS, CHAR_BITS = 11, 12
@@ -175,18 +175,21 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
     for y in (0, 1):
         top = known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
         sample = top if sample is None else sample.union(top)
-    # at most 2 * max_labelled ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select(
-        F.col("__y").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)).alias("fold"), "text", F.xxhash64("doc_id").alias("o"))
+    # at most 2 * max_labelled ids, and of rows that share one the text with the smallest hash, drawn before any feature is made
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
+    drawn = stored(spark, named.groupBy("doc_id", "__y").agg(F.min("th").alias("th")), "drawn")
+    one = (docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(F.broadcast(drawn), ["doc_id", "th"])
+           .groupBy("doc_id", "th", "__y").agg(F.first("text").alias("text")))
+    rows = one.select(F.col("__y").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)).alias("fold"), "text", F.xxhash64("doc_id").alias("o"), "th")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 x = frequencies(Texts.of(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("y"), part.column("fold"), part.column("o"), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "fold", "o", "x"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("y", "fold", "o", "th")], pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "fold", "o", "th", "x"])
 
-    got = rows.mapInArrow(vectors, "y int, fold long, o long, x binary").toArrow().sort_by("o").slice(0, 4 * max_labelled)
+    got = rows.mapInArrow(vectors, "y int, fold long, o long, th long, x binary").toArrow().sort_by([("o", "ascending"), ("th", "ascending"), ("y", "ascending")])
     x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in got["x"]]) if len(got) else np.zeros((0, len(blank)), np.float32)
     y = got["y"].to_numpy().astype(np.float64)
     held = got["fold"].to_numpy() == 0

@@ -193,3 +193,15 @@ def test_toxicity_learns_from_long_texts(spark):
     got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(spark, docs, net).collect()}
     held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.5) == (y == 1) for i, y in held]) > 0.9
+
+
+def test_quality_rules_bounded_sample(spark, monkeypatch):
+    """Rows that share a labelled doc_id reach the fit as one text each (here once to fit and once to calibrate)."""
+    seen = []
+    plain = quality_rules.fit_logistic
+    monkeypatch.setattr(quality_rules, "fit_logistic", lambda x, y, *a: seen.append(len(x)) or plain(x, y, *a))
+    monkeypatch.setattr(quality_rules, "calibrate", lambda s, y, share: seen.append(len(s)) or (1.0, 0.0))
+    rows = [(i % 40, f"text {i % 700} of {i % 40} words " * 5) for i in range(8000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    quality_rules.fit(spark, spark.createDataFrame(rows, "doc_id long, text string"), labels, max_labelled=10)
+    assert len(seen) == 2 and 0 < sum(seen) <= 40
