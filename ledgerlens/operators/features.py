@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.columns import account_age_bucket, debt_burden_category, flag, risk_band
+from .carry import OFFSETS
 
 SNAPSHOT_FEATURES = [
     "util_avg_3m", "payment_ratio_avg_3m", "max_outstanding_3m", "avg_txn_amt_3m",
@@ -61,19 +62,25 @@ def _windows(lookback: int):
 def window_features(ledger: DataFrame, lookback: int = S.LOOKBACK_MONTHS,
                     leak_safe: bool = False) -> DataFrame:
     """Window part of the features, before the profile join. Keeps the helper
-    columns the row-level features need (``_bal_now``, ``_rn``)."""
+    columns the row-level features need (``_bal_now``, ``_rn``). A ledger with the offsets
+    of ``carry.OFFSETS`` continues one whose earlier rows are not here."""
     w, frame, past = _windows(lookback)
     lag = lambda c, k: F.lag(c, k).over(w)
     missed, ntx, util = F.col("missed_due_flag"), F.col("num_transactions"), F.col("credit_utilization")
     ratio, bal = F.col("payment_ratio"), F.col("outstanding_balance")
 
     # Stage 1: row number (the next stage's history aggregates refer to it).
-    ranked = ledger.withColumn("_rn", F.row_number().over(w))
+    rn0, defaults0, last0 = (F.col(c) if c in ledger.columns else F.lit(None) for c in OFFSETS)
+    carried = OFFSETS[0] in ledger.columns
+    ranked = ledger.withColumn("_rn", F.row_number().over(w) + rn0.cast("int") if carried else F.row_number().over(w))
     rn = F.col("_rn")
     active = ntx > 0
     last_non_missed = F.max(F.when(~F.coalesce(missed == 1, F.lit(False)), rn)).over(past)
     last_default = F.max(F.when(F.col("default_event") == 1, rn)).over(past)
     defaults_before = F.sum("default_event").over(past)
+    if carried:
+        last_default = F.coalesce(last_default, F.when(last0 > 0, last0))
+        defaults_before = F.coalesce(defaults_before, F.lit(0)) + defaults0
 
     return ranked.select(
         F.col("customer_id"),

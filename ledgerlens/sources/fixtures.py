@@ -146,7 +146,10 @@ def hash_uniform(*cols: Column) -> Column:
 
 
 def ledger_from_amounts(amounts: DataFrame) -> DataFrame:
-    """Monthly behaviour ledger (A2 schema) from per-period amounts."""
+    """Monthly behaviour ledger (A2 schema) from per-period amounts (L2–L5). A column ``before``
+    (``BEFORE``, NULL for a new customer) holds a customer's row before its first one here and the unpaid sum up to it."""
+    known = "before" in amounts.columns
+    start = F.coalesce(F.col("before.unpaid4"), F.lit(0)) if known else F.lit(0)
     w = Window.partitionBy("customer_id").orderBy("month")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bill4, paid4, n = F.col("bill4"), F.col("paid4"), F.col("n")
@@ -157,24 +160,30 @@ def ledger_from_amounts(amounts: DataFrame) -> DataFrame:
         (bill4.cast("double") / F.lit(UTILIZATION_DIVISOR)).alias("credit_utilization"),
         ((unpaid4 > 0) & (unpaid4 < bill4)).cast("int").alias("late_payment"),
         ratio.alias("payment_ratio"),
-        (F.sum(unpaid4).over(running).cast("double") / F.lit(CURRENCY_SCALE)).alias("outstanding_balance"),
+        ((F.sum(unpaid4).over(running) + start).cast("double") / F.lit(CURRENCY_SCALE)).alias("outstanding_balance"),
         n.cast("int").alias("num_transactions"),
         F.when(n == 0, F.lit(0)).otherwise(
             bill4.cast("double") / F.lit(CURRENCY_SCALE) / n.cast("double")
         ).cast("long").alias("avg_transaction_amount"),
         (ratio < F.lit(MISSED_RATIO)).cast("int").alias("missed_due_flag"),
+        *(["before"] if known else []),
     )
-    default = F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(
-        (hash_uniform(F.col("customer_id"), F.col("month")) < _hazard(w)).cast("int"))
+    first = (F.row_number().over(w) == 1) & F.col("before").isNull() if known else F.row_number().over(w) == 1
+    default = F.when(first, F.lit(0)).otherwise(
+        (hash_uniform(F.col("customer_id"), F.col("month")) < _hazard(w, known)).cast("int"))
     return base.select(
         "customer_id", "month", "credit_utilization", "late_payment", "payment_ratio",
         "outstanding_balance", default.cast("int").alias("default_event"),
         "num_transactions", "avg_transaction_amount", "missed_due_flag")
 
 
-def _hazard(w) -> Column:
+#: The row before the first one of a ledger's part, and the unpaid sum up to it.
+BEFORE = "struct<unpaid4:bigint,missed_due_flag:int,payment_ratio:double,outstanding_balance:double,late_payment:int>"
+
+
+def _hazard(w, known: bool = False) -> Column:
     """Default hazard from the previous row's behaviour, clamped."""
-    prev = lambda c: F.lag(c, 1).over(w)
+    prev = lambda c: F.coalesce(F.lag(c, 1).over(w), F.col("before")[c]) if known else F.lag(c, 1).over(w)
     raw = (F.lit(HAZARD_BASE)
            + F.lit(HAZARD_MISSED) * prev("missed_due_flag")
            + F.lit(HAZARD_UNPAID) * (F.lit(1.0) - prev("payment_ratio"))
