@@ -6,14 +6,13 @@ retrying a failed run. Here:
 * X1  ``readStream`` over a folder of new event files; the checkpoint makes a
       failed micro-batch re-run (same ``batch_id``) — the retry.
 * X2  in ``foreachBatch``: the batch's per-customer-day partial aggregates
-      are written to a history table partitioned by ``batch_id`` and a
-      customer hash bucket; only customers present in the batch are
-      refreshed — their history is read from their buckets only (partition
-      pruning), re-aggregated, and their snapshots rebuilt with the batch
-      operators and written to ``batch_id=<n>`` with overwrite, so a replayed
-      batch is idempotent. ``latest_snapshots``
-      keeps, per customer, the rows of its newest batch (an aggregate + join,
-      no per-customer collect).
+      are written to a history table partitioned by ``batch_id``, a
+      customer hash bucket and an era of days. A customer's rebuild begins at the first day that the batch changes: what
+      came before is in the customer's carry row (``operators.carry``), of which every batch writes a new version, so the
+      history is read from the changed days on only (partition pruning). A version counts as long as no later batch
+      changed a day up to its own; late data goes back to an older one. The rebuilt snapshot rows are written to
+      ``batch_id=<n>`` with overwrite, so a replayed batch is idempotent; ``latest_snapshots``
+      keeps the newest row of each customer and day, ``compact_snapshots`` merges the batches.
 * X4  ``score_stream``: a stateless projection of the scoring policy over a
       stream of scoring requests.
 
@@ -24,13 +23,15 @@ a ``purchase`` is a transaction of ``value``; an ``error`` on that day means
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import policy as P
-from ..operators.features import build_snapshots
-from ..sources.fixtures import ledger_from_amounts
+from .. import schemas as S
+from ..operators import carry as C
+from ..operators.features import build_snapshots, finish_snapshots, window_features
+from ..sources.fixtures import BEFORE, ledger_from_amounts
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -41,6 +42,7 @@ EVENTS = T.StructType([
     T.StructField("props", T.StringType()),
 ])
 
+_PARTIALS = "customer_id long, month int, n long, cents long, err int, bucket int, era int"
 BASE_DATE = "2024-01-01"   # fixture parameter: day 1 of the event stream
 ERROR_PAID_PERCENT, CLEAN_PAID_PERCENT = 40, 100
 
@@ -58,15 +60,17 @@ def day_partials(events: DataFrame, base_date: str = BASE_DATE) -> DataFrame:
         F.max((F.col("event_type") == "error").cast("int")).alias("err"))
 
 
-def amounts_from_partials(partials: DataFrame) -> DataFrame:
+def amounts_from_partials(partials: DataFrame, begin: DataFrame | None = None) -> DataFrame:
     """(customer_id, month=day, n, bill4, paid4) on a dense spine from each
-    customer's first to last day (gaps are inactive days)."""
+    customer's first day (``lo`` of ``begin``, if the customer is there) to the last (gaps are inactive days)."""
     per_day = partials.groupBy("customer_id", "month").agg(
         F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.max("err").alias("err"))
     share = F.when(F.col("err") == 1, F.lit(ERROR_PAID_PERCENT)).otherwise(F.lit(CLEAN_PAID_PERCENT))
     active = per_day.select("customer_id", "month", "n", (F.col("cents") * 100).alias("bill4"),
                             (F.col("cents") * share).alias("paid4"))
     span = per_day.groupBy("customer_id").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    if begin is not None:
+        span = span.join(begin.withColumnRenamed("lo", "_lo"), "customer_id", "left").withColumn("lo", F.coalesce("_lo", "lo"))
     spine = span.select("customer_id", F.explode(F.sequence("lo", "hi")).alias("month"),
                         F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bill4"),
                         F.lit(0).cast("long").alias("paid4"))
@@ -94,25 +98,79 @@ def _bucket(c: str, buckets: int):
     return F.pmod(F.xxhash64(F.col(c)), F.lit(buckets)).cast("int")
 
 
+#: Days of an era, the unit in which the history is left out.
+ERA_DAYS = 8
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _stored_partials(partials: DataFrame, buckets: int) -> DataFrame:
+    return partials.withColumn("bucket", _bucket("customer_id", buckets)).withColumn("era", F.floor(F.col("month") / ERA_DAYS).cast("int"))
+
+
+def touched_customers(spark: SparkSession, mine: DataFrame, carry_dir: str, batch_id: int) -> DataFrame:
+    """(customer_id, bucket, first_changed, carry): the customers of a batch's partials with the newest carry row before
+    the first changed day that still counts, NULL if there is none."""
+    touched = mine.groupBy("customer_id", "bucket").agg(F.min("month").alias("first_changed"))
+    if not _exists(spark, carry_dir):
+        kind = T.StructType([*C.CARRY.fields[1:], T.StructField("month", T.IntegerType()), T.StructField("unpaid4", T.LongType())])
+        return touched.withColumn("carry", F.lit(None).cast(kind))
+    hit = [r["bucket"] for r in mine.select("bucket").distinct().collect()]   # at most `buckets` values
+    kept = spark.read.parquet(carry_dir).where(F.col("bucket").isin(hit) & (F.col("batch_id") < batch_id)).withColumnRenamed("first_changed", "changed_by")
+    later = Window.partitionBy("customer_id").orderBy(F.col("batch_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.join(touched.select("customer_id", "first_changed"), "customer_id").withColumn("_later", F.min("changed_by").over(later))
+    counts = (F.col("month") < F.col("first_changed")) & F.coalesce(F.col("_later") > F.col("month"), F.lit(True))
+    names = [f.name for f in C.CARRY.fields[1:]]
+    best = kept.where(counts).groupBy("customer_id").agg(F.max_by(F.struct(*names, "month", "unpaid4"), F.struct("month", "batch_id")).alias("carry"))
+    return touched.join(best, "customer_id", "left")
+
+
+def partials_to_rebuild(spark: SparkSession, history_dir: str, touched: DataFrame) -> DataFrame:
+    """The history rows of touched customers after their carry row (columns of the partials, first_changed, carry)."""
+    first = touched.agg(F.min(F.coalesce(F.col("carry.month") + 1, F.lit(-(1 << 30))))).first()[0]
+    hit = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
+    history = spark.read.parquet(history_dir).where(F.col("bucket").isin(hit) & (F.col("era") >= (first if first is not None else 0) // ERA_DAYS))
+    return history.drop("bucket").join(touched.drop("bucket"), "customer_id").where(F.col("carry").isNull() | (F.col("month") > F.col("carry.month")))
+
+
+def continued_ledger(touched: DataFrame, partials: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledger with ``carry.OFFSETS``: the carried rows and the new ones; unpaid sum of the new rows by customer)."""
+    carry = touched.where("carry is not null").select("customer_id", "carry.*")
+    amounts = amounts_from_partials(partials.select("customer_id", "month", "n", "cents", "err"),
+                                    carry.select("customer_id", (F.col("month") + 1).alias("lo")))
+    last = F.element_at("rows", -1)
+    before = carry.select("customer_id", F.struct(F.col("unpaid4"), last["missed"].alias("missed_due_flag"), last["ratio"].alias("payment_ratio"),
+                                                  last["bal"].alias("outstanding_balance"), last["late"].alias("late_payment")).cast(BEFORE).alias("before"))
+    new = ledger_from_amounts(amounts.join(before, "customer_id", "left"))
+    offsets = carry.select("customer_id", (F.col("n_rows") - F.size("rows")).alias("_rn0"), F.col("n_defaults").alias("_defaults0"), F.col("last_default_rn").alias("_last_default0"))
+    new = new.join(offsets, "customer_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in C.OFFSETS})
+    both = new.unionByName(C.carried_ledger(carry).select(*new.columns))
+    return both, amounts.groupBy("customer_id").agg(F.sum(F.col("bill4") - F.col("paid4")).alias("unpaid_new"))
+
+
 def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, history_dir: str, profiles: DataFrame,
-                  out_dir: str, base_date: str = BASE_DATE, buckets: int = HISTORY_BUCKETS) -> None:
-    """X2 body. (1) Append this batch's per-customer-day partials to the
-    history table under ``batch_id=<n>/bucket=<b>`` (overwrite of its own
-    folder: a replayed batch is idempotent). (2) Rebuild the snapshots of the
-    customers in this batch from the history of their buckets only (partition
-    pruning), re-aggregating partials of a day split across batches."""
-    base = history_dir.rstrip("/")
+                  out_dir: str, base_date: str = BASE_DATE, buckets: int = HISTORY_BUCKETS, lookback: int = S.LOOKBACK_MONTHS) -> None:
+    """X2 body: this batch's partials are appended to the history, the snapshots of its customers are rebuilt from the
+    first changed day on, then the customers' new carry rows are written. Each table has a folder
+    of this batch, written with overwrite, and carry rows of earlier batches only are read: a replay gives the same."""
+    base, out, carry_dir = history_dir.rstrip("/"), out_dir.rstrip("/"), f"{out_dir.rstrip('/')}_carry"
     finish_compaction(spark, base)
-    partials = day_partials(batch, base_date).withColumn("bucket", _bucket("customer_id", buckets))
-    partials.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/batch_id={batch_id}")
-    mine = spark.read.parquet(f"{base}/batch_id={batch_id}")
-    ids = mine.select("customer_id").distinct()
-    hit = [r["bucket"] for r in mine.select("bucket").distinct().collect()]   # at most `buckets` values
-    history = (spark.read.parquet(base).where(F.col("bucket").isin(hit))
-               .join(ids, "customer_id", "left_semi"))
-    prof = profiles.join(ids, "customer_id", "left_semi")
-    snaps = build_snapshots(ledger_from_amounts(amounts_from_partials(history)), prof)
-    snaps.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+    finish_compaction(spark, out)
+    _stored_partials(day_partials(batch, base_date), buckets).write.mode("overwrite").partitionBy("bucket", "era").parquet(f"{base}/batch_id={batch_id}")
+    mine = spark.read.schema(_PARTIALS).parquet(f"{base}/batch_id={batch_id}")
+    touched = touched_customers(spark, mine, carry_dir, batch_id)
+    ledger, unpaid = continued_ledger(touched, partials_to_rebuild(spark, base, touched))
+    begin = touched.select("customer_id", F.col("carry.month").alias("_carried"))
+    feats = window_features(ledger, lookback).where(F.col("_rn") > lookback).join(begin, "customer_id")
+    feats = feats.where(F.col("_carried").isNull() | (F.col("snapshot_month") > F.col("_carried"))).drop("_carried")
+    finish_snapshots(feats, profiles).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    carry = (C.carry_rows(ledger, lookback).join(touched, "customer_id").join(unpaid, "customer_id")
+             .select("customer_id", "bucket", "first_changed", *[c for c in C.CARRY.fieldNames() if c != "customer_id"],
+                     F.element_at("rows", -1)["month"].alias("month"), (F.coalesce(F.col("carry.unpaid4"), F.lit(0)) + F.col("unpaid_new")).alias("unpaid4")))
+    carry.write.mode("overwrite").partitionBy("bucket").parquet(f"{carry_dir}/batch_id={batch_id}")
 
 
 def start_refresh(spark: SparkSession, source_dir: str, profiles: DataFrame, out_dir: str,
@@ -134,33 +192,48 @@ def start_refresh(spark: SparkSession, source_dir: str, profiles: DataFrame, out
 
 
 def latest_snapshots(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Per customer, the snapshot rows of its newest batch."""
+    """Per customer and day, the snapshot row of the newest batch that has one."""
+    finish_compaction(spark, out_dir.rstrip("/"))
     allb = spark.read.parquet(out_dir)
-    newest = allb.groupBy("customer_id").agg(F.max("batch_id").alias("batch_id"))
-    return allb.join(newest, ["customer_id", "batch_id"], "left_semi").drop("batch_id")
+    newest = allb.groupBy("customer_id", "snapshot_month").agg(F.max("batch_id").alias("batch_id"))
+    return allb.join(newest, ["customer_id", "snapshot_month", "batch_id"], "left_semi").drop("batch_id")
 
 
 COMPACTED = -1      # batch_id of the merged history
 
 
-def compact_history(spark: SparkSession, history_dir: str, buckets: int = HISTORY_BUCKETS) -> None:
-    """Merge the partials of all batches but the newest (a failed micro-batch writes that one
-    again) into one folder, one row per customer and day. Run between refreshes. The merged table is complete before
+def _compact(spark: SparkSession, folder: str, merge, partition_by: list[str]) -> None:
+    """Merge all batches of a folder but the newest (a failed micro-batch writes that one
+    again) into one. Run between refreshes. The merged table is complete before
     the folders that went into it are removed; what an interruption leaves is finished by the
     next call or refresh."""
-    base = history_dir.rstrip("/")
+    base = folder.rstrip("/")
     finish_compaction(spark, base)
     every = spark.read.parquet(base)
     ids = sorted(r["batch_id"] for r in every.select("batch_id").distinct().collect())[:-1]
     if len(ids) < 2:
         return
-    merged = (every.where(F.col("batch_id").isin(ids)).groupBy("customer_id", "month")
-              .agg(F.sum("n").alias("n"), F.sum("cents").cast("long").alias("cents"), F.max("err").alias("err"))
-              .withColumn("bucket", _bucket("customer_id", buckets)))
-    merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}__compact-{ids[-1]}")
+    merged = merge(every.where(F.col("batch_id").isin(ids)))
+    w = (merged.hint("rebalance", *partition_by) if partition_by else merged).write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{base}__compact-{ids[-1]}")
     finish_compaction(spark, base)
 
 
+def compact_history(spark: SparkSession, history_dir: str, buckets: int = HISTORY_BUCKETS) -> None:
+    """One row per customer and day of the merged batches."""
+    _compact(spark, history_dir, lambda df: _stored_partials(
+        df.groupBy("customer_id", "month").agg(F.sum("n").alias("n"), F.sum("cents").cast("long").alias("cents"), F.max("err").alias("err")), buckets), ["bucket", "era"])
+
+
+def compact_snapshots(spark: SparkSession, out_dir: str) -> None:
+    """The newest snapshot row per customer and day of the merged batches."""
+    def merge(df: DataFrame) -> DataFrame:
+        newest = df.groupBy("customer_id", "snapshot_month").agg(F.max("batch_id").alias("batch_id"))
+        return df.join(newest, ["customer_id", "snapshot_month", "batch_id"], "left_semi").drop("batch_id")
+
+    _compact(spark, out_dir, merge, [])
+
+
 def finish_compaction(spark: SparkSession, history_dir: str) -> None:
     base = history_dir.rstrip("/")
     path = spark._jvm.org.apache.hadoop.fs.Path
