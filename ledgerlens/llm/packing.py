@@ -253,10 +253,11 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, min_cut
     ship(spark)
     path = vocabulary or vocabulary_path()
     pieces = Stored(spark, piece_table(docs, path, capacity, min_cut, end_id, with_ids), "pieces")
-    names = [n for n in pieces.schema.names if n != "piece"]
+    # ids stay where they are until every piece has its place
+    names = [n for n in pieces.schema.names if n != "ids"]
     tokens = pieces.df.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-tokens // group_tokens))
-    p = (pieces.df.withColumn("grp", F.pmod(F.xxhash64("piece"), F.lit(groups)).cast("long"))
+    p = (pieces.df.select(*names).withColumn("grp", F.pmod(F.xxhash64("piece"), F.lit(groups)).cast("long"))
          .withColumn("k", F.floor(F.lit(capacity) / F.col("length")).cast("long")))
     one = Window.partitionBy("grp", "k")
     p = (p.withColumn("rn", F.row_number().over(one.orderBy("piece")) - 1)
@@ -274,8 +275,11 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, min_cut
     def left(pdf: pd.DataFrame) -> pd.DataFrame:
         return first_fit(pdf, capacity)[[*names, "sequence_id", "offset"]]
 
-    rest = p.where(~full).select(*names, "piece", "grp").groupBy("grp").applyInPandas(left, f"{fields}, sequence_id long, offset long")
-    return harmonic.union(rest)
+    rest = p.where(~full).select(*names, "grp").groupBy("grp").applyInPandas(left, f"{fields}, sequence_id long, offset long")
+    out = harmonic.union(rest)
+    if with_ids:
+        out = out.join(pieces.df.select("piece", "ids"), "piece")
+    return out.drop("piece")
 
 
 def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
