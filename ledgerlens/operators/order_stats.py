@@ -5,20 +5,20 @@
                   deciles, median imputation) — same values as pandas
                   ``quantile`` / DuckDB ``quantile_cont``.
 
-Quantiles are found by rank selection: a sketch gives two bounds that hold each
+Quantiles are found by repeated narrowing: a sketch gives two bounds that hold each
 wanted rank between them, one pass counts the values outside the bounds and keeps
-the distinct values inside (a few in ten thousand of the rows), and only those are
-sorted. The bounds limit the work; the ranks come from exact counts, and a rank that
-lies outside its bounds is an error, not a guess.
-
-Running sums cut the value range into buckets with approximate bounds (only
-to balance the work), add up each bucket, and add the totals of the buckets before it
-to a running sum inside each bucket. The number of buckets grows with the rows.
+the distinct values inside with their counts (a few in ten thousand of the rows; a heavy
+value is one of them). Those are cut at sketched bounds again, and only the piece that holds a
+wanted rank is kept, until no piece has more than ``WINDOW_ROWS`` values to be sorted. The bounds limit the
+work; the ranks come from exact counts, and a rank that lies outside its bounds is an error, not a guess.
+
+Running sums take one range-partitioned sort: each partition reports its totals by its id,
+and a running sum inside a partition starts from the totals of those before it. What is
+broadcast has one row per partition.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 
 from ..session import warehouse_path
 
-ROWS_PER_BUCKET = 200_000
+#: Distinct values that one task sorts to pick a rank.
+WINDOW_ROWS = 100_000
+#: Pieces that a round of narrowing makes of each.
+PIECES = 200
 #: Rank error of the sketch: one in so many rows.
 SKETCH = 10_000
 
@@ -38,51 +41,74 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucket_index(x: Column, bounds: Column, n: int, descending: bool = False) -> Column:
-    """How many of the ``n`` sorted bounds lie before x: first among every step-th bound, then
-    among the bounds of one step, 2 * sqrt(n) comparisons."""
-    step = max(1, math.isqrt(n))
-    before = (lambda t: t > x) if descending else (lambda t: t < x)
-    if descending:
-        bounds = F.reverse(bounds)
-    heads = F.transform(F.sequence(F.lit(1), F.lit(n), F.lit(step)), lambda i: F.element_at(bounds, i))
-    block = F.greatest(F.size(F.filter(heads, before)) - 1, F.lit(0))
-    return block * step + F.size(F.filter(F.slice(bounds, block * step + 1, F.lit(step)), before))
-
-
 def prefix_sums(df: DataFrame, order: str, sums: list[str], descending: bool = False, inclusive: bool = True,
-                n_buckets: int | None = None, prefix: str = "cum_", then: list[str] | None = None) -> DataFrame:
+                n_partitions: int | None = None, prefix: str = "cum_", then: list[str] | None = None) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows that come before (and, if
-    ``inclusive``, at) each row in ``order`` (numeric), then by the columns of ``then``.
+    ``inclusive``, at) each row in ``order``, then by the columns of ``then``.
 
-    (order, *then) must be unique (aggregate first). The input is evaluated once.
+    (order, *then) must be unique (aggregate first). ``n_partitions`` defaults to the session's shuffle
+    partitions; a partition is sorted with spill, so more rows need no more of them than other sorts do.
     """
-    x = written(df, "prefix")
-    nb = n_buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")), -(-x.count() // ROWS_PER_BUCKET))
-    fracs = [i / nb for i in range(1, nb)]
-    # one bound array: an uncorrelated scalar subquery, no join
-    bound = x.agg(F.percentile_approx(order, fracs, max(SKETCH, 10 * nb))).scalar()
-    x = x.withColumn("_bounds", bound)
-    x = x.withColumn("_b", bucket_index(F.col(order), F.col("_bounds"), nb - 1, descending)).drop("_bounds")
+    n = n_partitions or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    ordc = [F.col(c).desc() if descending else F.col(c).asc() for c in [order, *(then or [])]]
+    # written: the ids of the partitions stay with their rows
+    x = written(df.repartitionByRange(n, *ordc).withColumn("_b", F.spark_partition_id()), "prefix")
 
     totals = x.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    # one row per bucket
+    # one row per partition
     w_t = Window.partitionBy().orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(w_t), F.lit(0)).alias(f"_o_{c}") for c in sums])
-    x = x.join(F.broadcast(offsets), "_b")      # nb rows
+    x = x.join(F.broadcast(offsets), "_b")      # n rows
 
-    ordc = [F.col(c).desc() if descending else F.col(c).asc() for c in [order, *(then or [])]]
     w = Window.partitionBy("_b").orderBy(*ordc).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = x.select("*", *[(F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_o_{c}")).alias(f"{prefix}{c}")
                           for c in sums])
     return out.drop("_b", *[f"_o_{c}" for c in sums])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
+def _ranks(probs: list[float]) -> list[tuple[float, str, Column, Column]]:
+    """(q, end, position, rank) of the values that each quantile lies between, of ``_n`` rows."""
+    out = []
+    for q in probs:
+        pos = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
+        out += [(float(q), "lo", pos, F.floor(pos)), (float(q), "hi", pos, F.ceil(pos))]
+    return out
+
+
+def _narrowed(kept: DataFrame, by: list[str], probs: list[float], limit: int) -> DataFrame:
+    """The values that may have a wanted rank, at most ``limit`` in a piece.
+
+    ``kept`` has one row per value and piece: (*by, _n, _r piece, _k value, _c rows, _before rows that
+    come before the piece). A round drops all but 1 in ``PIECES`` of a piece's values.
+    """
+    key = [*by, "_r"]
+    while True:
+        sizes = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), F.percentile_approx(
+            "_k", [i / PIECES for i in range(1, PIECES)], 10 * PIECES).alias("_cuts"))
+        sizes = written(sizes.withColumn("_cuts", F.when(F.col("_m") > limit, F.col("_cuts"))), "cuts")     # one row per piece
+        if (sizes.agg(F.max("_m")).head()[0] or 0) <= limit:
+            return kept
+        cut = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_k"))), F.lit(0))
+        x = kept.join(F.broadcast(sizes), key).withColumn("_s", cut).drop("_m", "_cuts")
+        totals = x.groupBy(*key, "_n", "_s").agg(F.sum("_c").alias("_t"), F.max("_before").alias("_o"))
+        first = F.coalesce(F.sum("_t").over(
+            Window.partitionBy(*key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))   # at most PIECES rows
+        totals = totals.withColumn("_o", F.col("_o") + first)
+        wanted = F.lit(False)
+        for _, _, _, k in _ranks(probs):
+            wanted = wanted | ((k >= F.col("_o")) & (k < F.col("_o") + F.col("_t")))
+        pieces = totals.where(wanted).select(*key, "_s", "_o")      # one row per wanted rank at most
+        x = x.join(F.broadcast(pieces), [*key, "_s"])
+        kept = written(x.select(*by, "_n", (F.col("_r") * PIECES + F.col("_s")).alias("_r"), "_k", "_c", F.col("_o").alias("_before")), "ranks")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
+                    window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation: for each group and ``q`` the
     value at position ``q * (n - 1)`` of the sorted non-null values.
 
-    ``by`` must have few groups (columns of a table, classes).
+    ``by`` must have few groups (columns of a table, classes). ``window_rows`` bounds the values
+    that one task sorts.
     Returns ``(*by, q, quantile)``.
     """
     by = list(by or [])
@@ -110,20 +136,22 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
             .agg(F.count(F.lit(1)).alias("_c")))
     kept = written(kept, "ranks")
     # running counts: regions first (a few per group), then the distinct values inside a region
-    per = kept.groupBy(*by, "_r").agg(F.sum("_c").alias("_t"))
-    per = per.select(*by, "_r", F.coalesce(F.sum("_t").over(
-        Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    per = kept.groupBy(*by, "_n", "_r").agg(F.sum("_c").alias("_t"), F.count("_k").alias("_inside"))
+    per = per.withColumn("_before", F.coalesce(F.sum("_t").over(
+        Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    missed = F.lit(False)
+    for _, _, _, k in _ranks(probs):
+        missed = missed | ((F.col("_inside") == 0) & (k >= F.col("_before")) & (k < F.col("_before") + F.col("_t")))
+    per = per.select(*by, "_r", F.when(missed, F.raise_error(F.lit("quantile bounds miss a rank")).cast("long"))
+                     .otherwise(F.col("_before")).alias("_before"))
+    x = kept.join(F.broadcast(per), [*by, "_r"]).where(F.col("_k").isNotNull())
+    x = _narrowed(x.withColumn("_r", F.col("_r").cast("long")), by, probs, window_rows)
     run = F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
-    cum = kept.withColumn("_hi", run).join(F.broadcast(per), [*by, "_r"])
+    cum = x.withColumn("_hi", run)
     hi = F.col("_before") + F.col("_hi")
     lo = hi - F.col("_c")
-    hits = []
-    for q in probs:
-        pos = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
-        for which, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hits.append(F.when((k >= lo) & (k < hi), F.struct(
-                F.lit(float(q)).alias("q"), F.lit(which).alias("which"),
-                F.coalesce("_k", F.raise_error(F.lit("quantile bounds miss a rank")).cast("double")).alias("v"), pos.alias("pos"))))
+    hits = [F.when((k >= lo) & (k < hi), F.struct(F.lit(q).alias("q"), F.lit(end).alias("which"), F.col("_k").alias("v"), pos.alias("pos")))
+            for q, end, pos, k in _ranks(probs)]
     picked = (cum.select(*by, F.explode(F.array_compact(F.array(*hits))).alias("h"))
               .select(*by, "h.q", "h.which", "h.v", "h.pos"))
     res = picked.groupBy(*by, "q").agg(

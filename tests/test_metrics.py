@@ -114,10 +114,10 @@ def test_exact_quantiles_match_numpy(spark, scored):
 def test_prefix_sums_match_cumsum(spark, scored):
     df, pdf = scored
     agg = df.groupBy("p").count()
-    got = prefix_sums(agg, "p", ["count"], n_buckets=5).toPandas().sort_values("p")
+    got = prefix_sums(agg, "p", ["count"], n_partitions=5).toPandas().sort_values("p")
     exp = pdf.groupby("p").size().sort_index().cumsum()
     assert list(got["cum_count"]) == list(exp.values)
-    desc = prefix_sums(agg, "p", ["count"], descending=True, inclusive=False, n_buckets=3).toPandas()
+    desc = prefix_sums(agg, "p", ["count"], descending=True, inclusive=False, n_partitions=3).toPandas()
     exp_d = pdf.groupby("p").size().sort_index(ascending=False)
     exp_excl = (exp_d.cumsum() - exp_d).to_dict()
     assert all(r.cum_count == exp_excl[r.p] for r in desc.itertuples())

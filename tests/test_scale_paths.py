@@ -84,10 +84,46 @@ def test_quantiles_sort_only_what_the_sketch_leaves(spark):
     ids = row_ids(df.select((F.monotonically_increasing_id() % 5000).alias("a"), F.monotonically_increasing_id().alias("b")), ["a", "b"])
     rows = sorted((r["a"], r["b"], r["row_id"]) for r in ids.collect())
     assert [r[2] for r in rows] == list(range(1, len(rows) + 1))
-    many = prefix_sums(spark.range(3000).select(F.col("id").cast("double").alias("x"), F.lit(1).alias("c")), "x", ["c"], n_buckets=700)
+    many = prefix_sums(spark.range(3000).select(F.col("id").cast("double").alias("x"), F.lit(1).alias("c")), "x", ["c"], n_partitions=700)
     assert all(r["cum_c"] == r["x"] + 1 for r in many.collect())
 
 
+def test_rank_windows_are_bounded(spark):
+    """With 100 times the rows no more values are sorted in one window, whatever is heavy."""
+    import numpy as np
+
+    from ledgerlens.operators.order_stats import exact_quantiles
+
+    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for n in (5_000, 500_000):
+        df = spark.range(n, numPartitions=8).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 4 == 1, 7.5).otherwise(
+            (F.xxhash64("id") % 1_000_003).cast("double")).alias("x"))
+        got = {(r["g"], r["q"]): r["quantile"] for r in exact_quantiles(df, "x", qs, by=["g"], window_rows=40).collect()}
+        v = df.toPandas()
+        for g, part in v.groupby("g"):
+            for q in qs:
+                assert abs(got[g, q] - np.quantile(part["x"], q)) < 1e-9
+        left = spark.read.parquet(*_scratch(spark, "ranks"))
+        assert 0 < left.groupBy("g", "_r").count().agg(F.max("count")).head()[0] <= 40
+
+
+def test_running_sums_broadcast_one_row_per_partition(spark):
+    from ledgerlens.operators.order_stats import prefix_sums
+
+    for n in (0, 1, 1000, 100_000):
+        df = spark.range(n, numPartitions=5).select((F.col("id") * 7919 % 100_003).cast("double").alias("x"), (F.col("id") % 3).alias("c"))
+        want = {r["x"]: r["c"] for r in df.collect()}
+        for down, inclusive in ((False, True), (True, False)):
+            total, expect = 0, {}
+            for x in sorted(want, reverse=down):
+                expect[x] = total + (want[x] if inclusive else 0)
+                total += want[x]
+            out = prefix_sums(df, "x", ["c"], descending=down, inclusive=inclusive)
+            assert {r["x"]: r["cum_c"] for r in out.collect()} == expect
+        ids = spark.read.parquet(*_scratch(spark, "prefix")).select("_b").distinct().count()
+        assert ids <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _scratch(spark, tag):
     import glob
 
