@@ -75,6 +75,36 @@ def q_importance_share(spark, sf_dir):
     return _round(AU.importance_share(imp, AU.group_table(spark)), {"importance": 6, "share": 6})
 
 
+def _terms_sql() -> str:
+    """One row per value of a categorical: its term of the correlation ratio with the label."""
+    return " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{c}_' || coalesce({c}, 'Unknown') AS feature, count(*)::BIGINT AS n_rows, avg(default_next_1m) AS label_mean,
+  sqrt(count(*) * (avg(default_next_1m) - (SELECT avg(default_next_1m) FROM snapshots)) ** 2
+    / ((SELECT count(*) FROM snapshots) * (SELECT var_pop(default_next_1m) FROM snapshots))) AS importance FROM snapshots GROUP BY {c}"""
+                              for c in S.CATEGORICAL_STATIC)
+
+
+@query("categorical_association", O.with_snapshots(f"""SELECT "column", feature, n_rows, round(label_mean, 9) AS label_mean,
+  round(importance, 9) AS importance, round(sqrt(sum(importance ** 2) OVER (PARTITION BY "column")), 9) AS eta FROM ({_terms_sql()})"""))
+def q_categorical_association(spark, sf_dir):
+    """Association of every category with the label and the correlation ratio of its column."""
+    from pyspark.sql import Window
+    a = AU.categorical_association(snapshots(spark, sf_dir), S.CATEGORICAL_STATIC)
+    a = a.withColumn("eta", F.sqrt(F.sum(F.col("importance") ** 2).over(Window.partitionBy("column"))))     # one row per value
+    return _round(a, {"label_mean": 9, "importance": 9, "eta": 9})
+
+
+@query("importance_share_expanded", f"""WITH {AUDIT_CTES},
+expanded AS (SELECT feature, importance FROM imp WHERE importance IS NOT NULL AND NOT isnan(importance)
+  UNION ALL SELECT feature, importance FROM ({_terms_sql()})),
+best AS (SELECT feature, importance, min(priority) AS priority FROM expanded JOIN grp ON starts_with(feature, group_feature) GROUP BY feature, importance),
+per AS (SELECT CASE WHEN priority = 0 THEN 'static' ELSE 'behavioral' END AS "group", sum(importance) AS importance FROM best GROUP BY 1)
+SELECT "group", round(importance, 6) AS importance, round(importance / sum(importance) OVER (), 6) AS share FROM per""")
+def q_importance_share_expanded(spark, sf_dir):
+    """Static and behavioural share over one-hot names, which match their column by prefix."""
+    imp = AU.expanded_importance(snapshots(spark, sf_dir), S.ALL_FEATURES)
+    return _round(AU.importance_share(imp, AU.group_table(spark)), {"importance": 6, "share": 6})
+
+
 @query("audit_flags", f"""WITH {AUDIT_CTES},
 cs AS (SELECT max(CASE WHEN cohort = 'cold_start' THEN std_score END) AS cold_std,
               max(CASE WHEN cohort = 'cold_start' THEN mean_score END) AS cold_mean,

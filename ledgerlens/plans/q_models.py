@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import policy as P
 from ..operators import audit as AU
+from ..operators import model_tables as MT
 from ..operators import models as MD
 from ..operators import prep as PR
 from ..operators import stats as ST
 from ..operators.order_stats import written
+from ..session import warehouse_path
 from . import oracle as O
 from .catalog import _round, query, snapshots
 from .q_eval import SPLIT_CTES, SPLIT_KEYS, split_snapshots
@@ -175,6 +177,48 @@ def q_train_full_lr(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
+def _lr_gradient_sql() -> str:
+    parts = []
+    for role in ("cold", "full"):
+        feats = MD.role_features(role)
+        names = ["(intercept)", *[c for c in feats if c not in S.CATEGORICAL_STATIC]]
+        parts.append(f"SELECT '{role}' AS role, unnest([{', '.join(map(repr, names))}]) AS feature")
+        parts += [f"SELECT DISTINCT '{role}', '{c}_' || coalesce({c}, 'Unknown') FROM splitted WHERE NOT is_test"
+                  for c in feats if c in S.CATEGORICAL_STATIC]
+    return f"""WITH {SPLIT_CTES}
+SELECT role, feature, (SELECT count(*) FROM splitted WHERE NOT is_test)::BIGINT AS n_train, true AS stationary
+FROM ({' UNION ALL '.join(parts)})"""
+
+
+@query("lr_gradient", _lr_gradient_sql())
+def q_lr_gradient(spark, sf_dir):
+    """Whether the objective's gradient over all training rows vanishes at the fitted coefficients (M9), per role and expanded feature."""
+    train, _ = _split(spark, sf_dir)
+    out = None
+    for role in ("cold", "full"):
+        g = MT.lr_gradient(spark, MD.fit_candidate(train, role, "logistic_regression"), train)
+        g = g.select(F.lit(role).alias("role"), "feature", "n_train", (F.abs("gradient") <= MT.GRADIENT_BOUND).alias("stationary"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+WALK_SQL = f"WITH {SPLIT_CTES}\nSELECT customer_id, snapshot_month, true AS agrees FROM splitted WHERE is_test"
+
+
+@query("tree_walk_gbt", WALK_SQL)
+def q_tree_walk_gbt(spark, sf_dir):
+    """Hold-out rows whose score by joins over the boosted trees' nodes equals the model's."""
+    _, test = _split(spark, sf_dir)
+    return MT.walk_agreement(spark, fitted(spark, sf_dir, "full", "gradient_boosting"), test, SPLIT_KEYS, warehouse_path(spark, "node_tables"))
+
+
+@query("tree_walk_rf", WALK_SQL)
+def q_tree_walk_rf(spark, sf_dir):
+    """Hold-out rows whose score by joins over the forest's nodes equals the model's."""
+    _, test = _split(spark, sf_dir)
+    return MT.walk_agreement(spark, fitted(spark, sf_dir, "full", "random_forest"), test, SPLIT_KEYS, warehouse_path(spark, "node_tables"))
+
+
 @query("train_full_rf")
 def q_train_full_rf(spark, sf_dir):
     """Impurity importance of the full random forest, by expanded feature."""
