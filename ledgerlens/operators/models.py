@@ -90,12 +90,13 @@ def fit_candidate(train: DataFrame, role: str, name: str, label: str = S.LABEL)
 
 def predict(fitted: Fitted | PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Probability of class 1 and the 0.5-threshold label (M12), plus score
-    and decision (F2, F3)."""
+    and decision (F2, F3), beside the columns of ``keep`` as they are in ``df``: the
+    model's imputation and scaling work in place on the names it shares with them."""
     model = fitted.model if isinstance(fitted, Fitted) else fitted
-    out = model.transform(df)
-    p = vector_to_array("probability")[1]
     cols = list(keep or [])
-    return out.select(*cols, p.alias("probability"), F.col("prediction").cast("int").alias("predicted"),
+    out = model.transform(df.withColumn("_kept", F.struct(*cols)) if cols else df)
+    p = vector_to_array("probability")[1]
+    return out.select(*(["_kept.*"] if cols else []), p.alias("probability"), F.col("prediction").cast("int").alias("predicted"),
                       prob_to_score(p).alias("credit_score"),
                       score_to_decision(prob_to_score(p)).alias("decision"))
 
