@@ -3,8 +3,8 @@ over character and word inputs, trained in numpy, scoring all overlapping window
 
 A word is a run of letters, digits and non-ASCII bytes, A-Z lower-cased. Its input is a
 hashed word vector beside the mean of its hashed 3-byte strings' vectors. A text is cut to
-windows of ``WINDOW`` words, ``STRIDE`` apart, the last one ending with the text; every
-window is scored and a text's score is its highest window, calibrated to a probability.
+windows of ``WINDOW`` words, ``STRIDE`` apart, the last one ending with the text, so that each passage
+of up to WINDOW - STRIDE + 1 words lies whole in one; every window is scored and a text's score is its highest window, calibrated to a probability.
 
 Fitting takes a bounded sample of labelled rows: of each class the first
 ``MAX_LABELLED`` in the order of a hash of the doc_id, texts of any length; rows held out
@@ -32,7 +32,7 @@ from ledgerlens.llm.common import ship, table, with_fields, without
 from ledgerlens.llm.quality_rules import calibrate
 from ledgerlens.llm.textarrays import Texts
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_BITS, CHAR_BITS, DIM, HIDDEN = 13, 13, 8, 8
 MAX_LABELLED = 3000
 FIT_WINDOWS, FIT_BYTES, FIT_WORD = 24, 16384, 256

@@ -160,6 +160,45 @@ def test_toxicity_learns(spark):
     assert np.mean([(got[i] >= 0.5) == (y == 1) for i, y in held]) > 0.93
 
 
+def test_toxicity_windows_hold_every_passage():
+    """Each passage of WINDOW - STRIDE + 1 words lies whole in a window, wherever it starts."""
+    span = toxicity.WINDOW - toxicity.STRIDE + 1
+    assert 2 * toxicity.STRIDE <= toxicity.WINDOW
+    for n in (1, span, toxicity.WINDOW, toxicity.WINDOW + 1, 100, 131):
+        ids, real, doc = toxicity.Words(Texts.of(pa.array([" ".join(f"w{i}" for i in range(n))]))).windows()
+        words = toxicity.Words(Texts.of(pa.array([" ".join(f"w{i}" for i in range(n))])))
+        inside = [set(row[keep].tolist()) for row, keep in zip(ids, real)]
+        for a in range(max(n - span, 0) + 1):
+            assert any(set(words.at[a:a + span].tolist()) <= w for w in inside)
+
+
+def test_toxicity_at_window_edges(spark):
+    """Held-out recall of a passage planted across the edges of windows in long clean texts."""
+    g = np.random.default_rng(3)
+    vocab = [f"w{i}" for i in range(300)]
+    passage = lambda: [f"grolt{g.choice(['ish', 'ed', 'er'])}" for _ in range(6)]
+    rows, labels = [], []
+    for i in range(600):
+        w = g.choice(vocab, int(g.integers(40, 260))).tolist()
+        if i % 2:
+            a = int(g.integers(len(w)))
+            w[a:a] = passage()
+        rows.append((i, " ".join(w)))
+        labels.append((i, i % 2))
+    planted = []
+    for k in range(60):
+        w = g.choice(vocab, 400).tolist()
+        a = toxicity.STRIDE * (1 + k % 20) - 1 - k % 5
+        if k % 2:
+            w[a:a] = passage()
+        planted.append((10_000 + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = toxicity.fit(spark, docs, spark.createDataFrame(labels, "doc_id long, toxic int"), epochs=10)
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(spark, spark.createDataFrame(planted, "doc_id long, text string"), net).collect()}
+    assert np.mean([got[10_000 + k] >= 0.5 for k in range(1, 60, 2)]) >= 0.9
+    assert np.mean([got[10_000 + k] < 0.5 for k in range(0, 60, 2)]) >= 0.9
+
+
 def test_toxicity_edges(spark, docs, empty, labels, no_labels):
     net = toxicity.fit(spark, docs, labels, epochs=1)
     got = toxicity.score(spark, docs, net).collect()
