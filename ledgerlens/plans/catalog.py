@@ -228,6 +228,40 @@ def q_order_faults(spark, sf_dir):
         "o_orderstatus": F.when(hit(17), F.lit("X")).otherwise(F.col("o_orderstatus"))}))
 
 
+def _far_orders(spark, sf_dir):
+    """The orders, those of every 97th key dated a thousand years later."""
+    from ..sources.tables import read_table
+    date = F.col("o_orderdate")
+    return read_table(spark, sf_dir, "orders").withColumn(
+        "o_orderdate", F.when(F.col("o_orderkey") % 97 == 0, date + F.expr("interval 1000 years")).otherwise(date))
+
+
+@query("order_faults_far", O.with_far_orders("""
+SELECT 'far date' AS fault, count(*)::BIGINT AS n_orders FROM placed JOIN cal ON month < lo OR month > hi HAVING count(*) > 0"""))
+def q_order_faults_far(spark, sf_dir):
+    """Far dates are reported."""
+    return FX.order_faults(_far_orders(spark, sf_dir))
+
+
+@query("ledger_far_orders", O.with_far_orders(f"SELECT {_LEDGER_COLS} FROM ledger"))
+def q_ledger_far_orders(spark, sf_dir):
+    """The ledger keeps its calendar whatever far dates the orders hold."""
+    from ..sources.tables import read_table
+    return FX.ledger_from_amounts(FX.ledger_amounts(_far_orders(spark, sf_dir), read_table(spark, sf_dir, "customer")))
+
+
+@query("idle_spans", O.with_ledger("""
+, marked AS (
+  SELECT customer_id, month, month - row_number() OVER (PARTITION BY customer_id ORDER BY month) AS island
+  FROM ledger WHERE num_transactions = 0)
+SELECT customer_id, min(month)::INTEGER AS first_period, max(month)::INTEGER AS last_period
+FROM marked GROUP BY customer_id, island""").replace("\n\n,", ","))
+def q_idle_spans(spark, sf_dir):
+    """Idle spans of every customer, read from the sparse ledger without expanding it."""
+    from ..sources.tables import read_table
+    return FX.idle_spans(FX.ledger_runs(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")))
+
+
 def _round(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Round report columns (sums of doubles differ in the last bits between
     engines that add in different orders)."""

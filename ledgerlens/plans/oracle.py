@@ -9,19 +9,25 @@ sums are cast to BIGINT, truncation uses ``trunc`` before casts.
 from __future__ import annotations
 
 AMOUNT_CTES = """
-ord AS (
+placed AS (
   SELECT o_custkey::BIGINT AS customer_id,
          ((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate))::INTEGER AS month,
          round(o_totalprice * 100)::BIGINT AS cents,
          CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'P' THEN 75 WHEN 'O' THEN 40 END AS share
   FROM orders),
+cal AS (
+  SELECT min(month) AS lo, max(month) AS hi FROM (
+    SELECT month, n, sum(CASE WHEN month - before > 160 THEN 1 ELSE 0 END) OVER (ORDER BY month) AS island FROM (
+      SELECT month, count(*) AS n, lag(month) OVER (ORDER BY month) AS before FROM placed GROUP BY month))
+  GROUP BY island ORDER BY sum(n) DESC, min(month) LIMIT 1),
+ord AS (SELECT p.* FROM placed p JOIN cal ON p.month BETWEEN cal.lo AND cal.hi),
 amt AS (
   SELECT customer_id, month, count(*)::BIGINT AS n, (sum(cents) * 100)::BIGINT AS bill4,
          sum(cents * share)::BIGINT AS paid4
   FROM ord GROUP BY customer_id, month),
 oids AS (SELECT c_custkey::BIGINT AS customer_id FROM customer UNION SELECT customer_id FROM ord),
 spine AS (
-  SELECT customer_id, unnest(range((SELECT min(month) FROM ord), (SELECT max(month) FROM ord) + 1))::INTEGER AS month FROM oids),
+  SELECT customer_id, unnest(range((SELECT lo FROM cal), (SELECT hi FROM cal) + 1))::INTEGER AS month FROM oids),
 dense AS (
   SELECT s.customer_id, s.month, coalesce(a.n, 0)::BIGINT AS n,
          coalesce(a.bill4, 0)::BIGINT AS bill4, coalesce(a.paid4, 0)::BIGINT AS paid4
@@ -185,5 +191,12 @@ def with_ledger(body: str) -> str:
     return f"WITH {LEDGER_CTES}\n{body}"
 
 
+def with_far_orders(body: str) -> str:
+    """As ``with_ledger``, with the orders of every 97th key dated a thousand years later."""
+    moved = ("(SELECT * REPLACE (CASE WHEN o_orderkey % 97 = 0 THEN o_orderdate + INTERVAL 1000 YEAR "
+             "ELSE o_orderdate END AS o_orderdate) FROM orders)")
+    return f"WITH {LEDGER_CTES.replace('FROM orders)', f'FROM {moved})')}\n{body}"
+
+
 def with_profiles(body: str) -> str:
     return f"WITH {PROFILE_CTE}\n{body}"

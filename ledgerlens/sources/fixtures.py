@@ -3,7 +3,8 @@ TPC-H-style tables (L1–L5, J7, T6).
 
 Mapping (portable, so DuckDB can reproduce it exactly):
   period   = (year(o_orderdate) - 1995) * 4 + quarter(o_orderdate), called ``month``;
-             the range runs from the first to the last period of the orders
+             the range runs from the first to the last period of the orders, but for those
+             that ``MAX_GAP`` periods without any order part from the most (``calendar``)
   cents    = bigint(round(o_totalprice * 100))
   paid %   = status F 100, P 75, O 40
   bill4    = sum(cents) * 100, paid4 = sum(cents * paid%), unpaid4 = bill4 - paid4
@@ -13,11 +14,12 @@ Mapping (portable, so DuckDB can reproduce it exactly):
              reported by ``order_faults``
   default  = md5-derived uniform < hazard of the previous period (first period never)
 
-Plan shape: the order rows and the spine rows are unioned and aggregated once
+Plan shape: the order rows and one row per customer are unioned and aggregated once
 by (customer, period) — the partial aggregate runs map-side, so a customer with
 a huge share of the orders is collapsed to at most one row per period before
-the shuffle. The ledger then needs one shuffle by customer for its windows;
-each window partition is bounded by the number of periods.
+the shuffle. Idle periods stay intervals (``ledger_runs``) through the one shuffle by customer
+and are expanded behind it, so the windows need no other; each window partition is bounded by
+the number of periods.
 """
 
 from __future__ import annotations
@@ -83,46 +85,96 @@ def period_of(ts: Column) -> Column:
     return ((F.year(ts) - BASE_YEAR) * 4 + F.quarter(ts)).cast("int")
 
 
-def ledger_amounts(orders: DataFrame, customer: DataFrame) -> DataFrame:
-    """Per customer-period integer amounts on the dense spine.
+#: Periods without any order after which the orders beyond belong to another calendar (a far date is a fault).
+MAX_GAP = 160
 
-    The spine holds the ids of ``customer`` and of ``orders`` (a customer without a
-    profile has a ledger too) over the periods that the orders span. Rows that
-    ``order_faults`` reports as unplaced have no period or no customer and are left out.
 
-    Output: customer_id, month, n, bill4, paid4 — inactive periods have zeros.
-    """
-    month = period_of(F.col("o_orderdate"))
+def placed_orders(orders: DataFrame) -> DataFrame:
+    """Orders of a known customer and date: customer_id, month, n, cents, paid4."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     share = _pick_int(F.col("o_orderstatus"), PAID_PERCENT)
-    order_rows = orders.select(
+    return orders.select(
         F.col("o_custkey").cast("long").alias("customer_id"),
-        month.alias("month"),
+        period_of(F.col("o_orderdate")).alias("month"),
         F.lit(1).cast("long").alias("n"),
         cents.alias("cents"),
         (cents * F.coalesce(share, F.lit(0))).alias("paid4"),
     ).where("customer_id is not null and month is not null")
-    ids = (customer.select(F.col("c_custkey").cast("long").alias("customer_id"))
-           .union(order_rows.select("customer_id")).where("customer_id is not null").distinct())
-    span = order_rows.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-    spine_rows = ids.select(
-        "customer_id",
-        F.explode(F.sequence(span.select("lo").scalar(), span.select("hi").scalar())).alias("month"),
-        F.lit(0).cast("long").alias("n"),
-        F.lit(0).cast("long").alias("cents"),
-        F.lit(0).cast("long").alias("paid4"),
-    )
+
+
+def calendar(placed: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+    """The periods that the ledger covers, one row (lo, hi): of the runs of periods no more than ``max_gap``
+    apart the one with the most orders (of equal ones the earliest). NULLs without orders.
+
+    The window runs over one row per period of the calendar, however many orders there are."""
+    w = Window.orderBy("month")
+    periods = placed.groupBy("month").agg(F.sum("n").alias("n"))
+    far = F.coalesce(F.col("month") - F.lag("month").over(w) > max_gap, F.lit(False))
+    islands = (periods.withColumn("far", far.cast("int")).withColumn("island", F.sum("far").over(w))
+               .groupBy("island").agg(F.min("month").alias("lo"), F.max("month").alias("hi"), F.sum("n").alias("n")))
+    most = islands.agg(F.max_by(F.struct("lo", "hi"), F.struct("n", -F.col("lo"))).alias("m"))
+    return most.select("m.lo", "m.hi")
+
+
+def ledger_runs(orders: DataFrame, customer: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+    """The sparse ledger: one row per customer and period with orders, which also stands for the idle periods
+    around it: customer_id, start, month, until, n, bill4, paid4. The runs ``start..until`` of a customer cover the
+    calendar without overlap; a customer without orders has one run of zeros.
+
+    The ids are those of ``customer`` and of ``orders`` (a customer without a profile has a ledger too). Rows that
+    ``order_faults`` reports as unplaced (no period, no customer, a far date) are left out, so a wrong
+    date changes nobody else's periods. Only active periods and one row per customer are shuffled."""
+    placed = placed_orders(orders)
+    span = calendar(placed, max_gap)
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    zero = F.lit(0).cast("long")
+    ids = customer.select(F.col("c_custkey").cast("long").alias("customer_id"), lo.alias("month"),
+                          zero.alias("n"), zero.alias("cents"), zero.alias("paid4")).where("customer_id is not null")
     # One aggregate over both inputs: partial sums run before the shuffle.
-    return (order_rows.unionByName(spine_rows)
-            .groupBy("customer_id", "month")
-            .agg(F.sum("n").alias("n"), (F.sum("cents") * 100).alias("bill4"),
-                 F.sum("paid4").alias("paid4")))
+    active = (placed.where(F.col("month").between(lo, hi)).unionByName(ids)
+              .groupBy("customer_id", "month")
+              .agg(F.sum("n").alias("n"), (F.coalesce(F.sum("cents"), zero) * 100).alias("bill4"),
+                   F.coalesce(F.sum("paid4"), zero).alias("paid4")))
+    w = Window.partitionBy("customer_id").orderBy("month")
+    return active.select(
+        "customer_id",
+        F.when(F.row_number().over(w) == 1, lo).otherwise(F.col("month")).alias("start"),
+        "month",
+        F.coalesce(F.lead("month").over(w) - 1, hi).alias("until"),
+        "n", "bill4", "paid4")
 
 
-def order_faults(orders: DataFrame) -> DataFrame:
+def idle_spans(runs: DataFrame) -> DataFrame:
+    """The longest spans without orders, one row each: customer_id, first_period, last_period. Only a customer's first
+    run is idle on both sides of its active period, or altogether."""
+    idle = F.array(
+        F.when((F.col("n") > 0) & (F.col("start") < F.col("month")), F.struct(F.col("start").alias("a"), (F.col("month") - 1).alias("b"))),
+        F.when(F.col("n") == 0, F.struct(F.col("start").alias("a"), F.col("until").alias("b"))),
+        F.when((F.col("n") > 0) & (F.col("month") < F.col("until")), F.struct((F.col("month") + 1).alias("a"), F.col("until").alias("b"))))
+    return runs.select("customer_id", F.explode(F.array_compact(idle)).alias("i")).select(
+        "customer_id", F.col("i.a").cast("int").alias("first_period"), F.col("i.b").cast("int").alias("last_period"))
+
+
+def ledger_amounts(orders: DataFrame, customer: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+    """Per customer-period integer amounts on the dense spine (L1, J7): the runs of ``ledger_runs``, expanded
+    behind their exchange, as every period has a drawn default (L5).
+
+    Output: customer_id, month, n, bill4, paid4 — inactive periods have zeros.
+    """
+    runs = ledger_runs(orders, customer, max_gap).withColumn("period", F.explode(F.sequence("start", "until")))
+    here = F.col("period") == F.col("month")
+    return runs.select("customer_id", F.col("period").alias("month"), *[
+        F.when(here, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c) for c in ("n", "bill4", "paid4")])
+
+
+def order_faults(orders: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     """Orders with faults, counted by kind: without customer, date or price, of an unknown
-    status (billed, nothing counts as paid). The first two can't be placed in the ledger."""
+    status (billed, nothing counts as paid), dated outside the calendar. Those without customer
+    or date and those of a far date can't be placed in the ledger."""
+    span = calendar(placed_orders(orders), max_gap)
+    month = period_of(F.col("o_orderdate"))
     kinds = F.array(
+        F.when((month < span.select("lo").scalar()) | (month > span.select("hi").scalar()), F.lit("far date")),
         F.when(F.col("o_custkey").isNull(), F.lit("no customer")),
         F.when(F.col("o_orderdate").isNull(), F.lit("no date")),
         F.when(F.col("o_totalprice").isNull(), F.lit("no price")),

@@ -61,6 +61,40 @@ def test_spine_follows_the_orders(spark):
     assert faults == {"no date": 1, "no customer": 1, "unknown status": 1}
 
 
+def test_far_dates_change_only_their_customer(spark):
+    """An order of the year 2999, and many of one sentinel date, leave everybody else's rows alone."""
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    customer = spark.read.parquet(f"{SF_SMALL}/customer.parquet").select("c_custkey")
+    one = spark.sql("SELECT 7L AS o_custkey, timestamp'2999-06-01' AS o_orderdate, 10.0D AS o_totalprice, 'F' AS o_orderstatus")
+    many = orders.where("o_custkey % 3 = 0").limit(200).withColumn("o_orderdate", F.lit("1600-01-01").cast(orders.schema["o_orderdate"].dataType))
+    far = orders.unionByName(one).unionByName(many)
+    a, b = FX.ledger_amounts(orders, customer), FX.ledger_amounts(far, customer)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    assert {r["fault"]: r["n_orders"] for r in FX.order_faults(far).collect()}["far date"] == 201
+    # a lower limit parts what lies closer
+    two = spark.sql("""SELECT * FROM VALUES (1L, timestamp'2000-01-01', 1.0D, 'F'), (1L, timestamp'2000-05-01', 1.0D, 'F'),
+        (2L, timestamp'2010-01-01', 1.0D, 'F') AS t(o_custkey, o_orderdate, o_totalprice, o_orderstatus)""")
+    rows = FX.ledger_amounts(two, spark.createDataFrame([(1,), (3,)], "c_custkey long"), max_gap=8).collect()
+    assert sorted((r["customer_id"], r["month"], r["n"]) for r in rows) == [(1, 21, 1), (1, 22, 1), (3, 21, 0), (3, 22, 0)]
+    assert FX.ledger_amounts(two.limit(0), customer).count() == 0
+
+
+def test_runs_stay_sparse_up_to_their_exchange(spark):
+    """Only active periods and one row per customer are shuffled, and the windows need no second exchange by customer."""
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    customer = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    runs, dense = FX.ledger_runs(orders, customer), FX.ledger_amounts(orders, customer)
+    active = orders.select("o_custkey", FX.period_of(F.col("o_orderdate")).alias("m")).distinct().count()
+    assert runs.count() <= active + customer.count() < dense.count()
+    assert runs.where("start > month or month > until").count() == 0
+    assert runs.agg(F.sum(F.col("until") - F.col("start") + 1)).first()[0] == dense.count()
+    spans = FX.idle_spans(runs)
+    assert spans.agg(F.sum(F.col("last_period") - F.col("first_period") + 1)).first()[0] == dense.where("n = 0").count()
+    plan = FX.ledger_from_amounts(dense)._jdf.queryExecution().executedPlan().toString()
+    by_customer = [x for x in plan.splitlines() if "Exchange hashpartitioning(customer_id" in x and "month" not in x]
+    assert len(by_customer) == 1
+
+
 def test_quantiles_sort_only_what_the_sketch_leaves(spark):
     """Ranks are picked among the few values inside the sketch's bounds."""
     import numpy as np
