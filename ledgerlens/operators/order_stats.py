@@ -19,12 +19,11 @@ broadcast has one row per partition.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import warehouse_path
+from ..session import scratch_path
 
 #: Distinct values that one task sorts to pick a rank.
 WINDOW_ROWS = 100_000
@@ -35,8 +34,9 @@ SKETCH = 10_000
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: consumers share one evaluation."""
-    path = warehouse_path(df.sparkSession, f"scratch/{tag}-{uuid.uuid4().hex}")
+    """``df`` written to the shared folder and read back: consumers share one evaluation. The table goes with
+    the open ``session.scratch_scope``."""
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

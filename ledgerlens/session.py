@@ -10,6 +10,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -69,3 +74,72 @@ def warehouse_path(spark: SparkSession, name: str) -> str:
     intermediate tables). Never a machine-local folder on a cluster."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+#: Folders under the shared one that hold scratch tables.
+SCRATCH_FOLDERS = ("tables/scratch", "llm")
+
+
+class ScratchScope:
+    """The scratch tables written since the scope was opened."""
+
+    def __init__(self, spark: SparkSession, outer: ScratchScope | None):
+        self.spark, self.outer, self.paths = spark, outer, []
+
+    def keep(self, path: str) -> None:
+        """Leave a table to the scope around this one (to nobody, if there is none)."""
+        self.paths.remove(path)
+        if self.outer is not None:
+            self.outer.paths.append(path)
+
+    def close(self) -> None:
+        while self.paths:
+            delete_path(self.spark, self.paths.pop())
+
+
+_SCOPE: ContextVar[ScratchScope | None] = ContextVar("scratch_scope", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[ScratchScope]:
+    """Scratch tables written inside go when the block ends, also by an error. What the block computes must have been
+    written or collected by then: a DataFrame that still reads a scratch table can't be used behind it."""
+    scope = ScratchScope(spark, _SCOPE.get())
+    token = _SCOPE.set(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPE.reset(token)
+        scope.close()
+
+
+def own_scratch(path: str) -> str:
+    """Name ``path`` to the open scope, if there is one, before it is written: a write that fails halfway goes too."""
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.paths.append(path)
+    return path
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path for a scratch table in the shared folder, owned by the open scope."""
+    return own_scratch(warehouse_path(spark, f"scratch/{tag}-{uuid.uuid4().hex}"))
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep_scratch(spark: SparkSession, older_than_hours: float = 168.0) -> int:
+    """Delete scratch tables that were last changed longer ago than this and return their number: a maintenance job for
+    what drivers that died, and queries without a scope, left behind. No run may take longer than the limit."""
+    base, gone = ensure_checkpoint_dir(spark).rstrip("/"), 0
+    limit = (time.time() - 3600 * older_than_hours) * 1000
+    for folder in SCRATCH_FOLDERS:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{folder}")
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        for x in fs.listStatus(p) if fs.exists(p) else ():
+            if x.isDirectory() and x.getModificationTime() <= limit:
+                gone += bool(fs.delete(x.getPath(), True))
+    return gone
