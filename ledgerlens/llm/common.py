@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import ensure_checkpoint_dir, own_scratch
 
 #: Word separators of every operator here: space and the ASCII controls 9 to 13.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -36,11 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """A written intermediate table. ``drop()`` once nothing reads it any more."""
+    """A written intermediate table. ``drop()`` once nothing reads it any more; the open ``session.scratch_scope`` drops
+    it at the latest."""
 
     def __init__(self, spark: SparkSession, df: DataFrame, tag: str):
         self.spark, self.schema = spark, df.schema
-        self.path = f"{shared_dir(spark)}/llm/{tag}-{uuid.uuid4().hex}"
+        self.path = own_scratch(f"{shared_dir(spark)}/llm/{tag}-{uuid.uuid4().hex}")
         df.write.parquet(self.path)
 
     @property

@@ -183,3 +183,19 @@ def test_written_shards_keep_columns_of_equal_rows(spark, tmp_path):
     sharding.write_shards(spark, docs, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r["k"] for r in back) == sorted(r[2] for r in rows) and len({(r["shard"], r["slot"]) for r in back}) == len(rows)
+
+
+def test_stored_tables_go_with_their_scope(spark):
+    import os
+
+    from ledgerlens.llm.common import Stored, stored
+    from ledgerlens.session import scratch_scope
+
+    with scratch_scope(spark) as scope:
+        t, kept = Stored(spark, spark.range(5).toDF("x"), "scoped"), Stored(spark, spark.range(3).toDF("x"), "kept")
+        stored(spark, t.df.where("x > 2"), "scoped")
+        paths = list(scope.paths)
+        scope.keep(kept.path)
+    assert [os.path.exists(p.replace("file:", "")) for p in paths] == [False, True, False]
+    assert kept.df.count() == 3
+    kept.drop()
