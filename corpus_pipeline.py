@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import jaccard_join, line_dedup, mixing, packing, site_quality
-from ledgerlens.llm.common import cols, stored, table
+from ledgerlens.llm.common import Stored, cols, stored, table
+from ledgerlens.session import scratch_scope
 
 
 def _packed(docs: DataFrame, own: Sequence[str]) -> DataFrame:
@@ -81,7 +82,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn. A stage's scratch tables and the table it read go once its result is written."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(spark, stage(spark, docs, sf_dir), name)
+        with scratch_scope(spark) as scope:
+            out = Stored(spark, stage(spark, docs, sf_dir), name)
+            scope.keep(out.path)
+        if read is not None:
+            read.drop()
+        docs, read = out.df, out
     return STAGES[-1][1](spark, docs, sf_dir)
