@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens import schemas as S
 from ledgerlens.functions import policy as P
 from ledgerlens.sources import fixtures as FX
-from ledgerlens.sources.tables import read_csv
+from ledgerlens.sources.tables import read_csv, read_table
 
 from .conftest import SF_SMALL
 
@@ -192,3 +192,14 @@ def test_null_labels_and_probabilities(spark):
     ev = spark.range(40).select((F.col("id") % 2).cast("int").alias("y"), F.when(F.col("id") < 10, F.col("id") / 10.0).alias("p"))
     assert sorted(r["n_rows"] for r in M.decile_table(ev).collect()) == [1] * 10
     assert {r["accept_rate"] for r in M.threshold_sweep(ev, thresholds=[0.55]).collect()} == {60.0}
+
+
+def test_ledger_tasks_grow_with_the_tables(spark, monkeypatch):
+    """The expanded ledger is sorted by as many tasks as the tables need, not by as many as there are cores."""
+    orders, customer = (read_table(spark, SF_SMALL, t) for t in ("orders", "customer"))
+    want = sorted(map(tuple, FX.ledger_amounts(orders, customer).collect()))
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(FX, "TASK_CUSTOMERS", -(-customer.count() // (cores + 40)))
+    got = FX.ledger_amounts(orders, customer)
+    assert got.rdd.getNumPartitions() > cores
+    assert sorted(map(tuple, got.collect())) == want
