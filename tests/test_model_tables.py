@@ -48,6 +48,18 @@ def test_gradient_is_the_objectives(spark, split):
     assert MT.lr_gradient(spark, f, train.limit(0)).count() == 0
 
 
+def test_one_candidate_keeps_one_copy_of_the_rows(spark, split, monkeypatch):
+    """The vectors aren't stored beside the copy that the regression's fit makes of them."""
+    train, _ = split
+    kept, persist = [], type(train).persist
+    monkeypatch.setattr(type(train), "persist", lambda df, *a: kept.append(df) or persist(df, *a))
+    one = MD.fit_candidate(train, "cold", "logistic_regression")
+    assert not kept
+    two = MD.fit_candidates(train, "cold", ["logistic_regression", "gradient_boosting"])["logistic_regression"]
+    assert len(kept) == 1
+    assert np.allclose(one.model.stages[-1].coefficients.toArray(), two.model.stages[-1].coefficients.toArray(), atol=1e-6)
+
+
 @pytest.mark.parametrize("name", ["gradient_boosting", "random_forest"])
 def test_trees_walked_by_joins_and_by_duckdb(spark, split, name):
     train, test = split
