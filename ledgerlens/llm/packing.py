@@ -43,8 +43,8 @@ END_ID = 1
 GROUP_TOKENS = 2_000_000
 VOCABULARY = "word_bpe_49k.json"
 
-#: Bytes of text taken at once, and pieces of words whose ids a Python worker keeps (about 100 MB).
-TEXT_BYTES = 2 << 20
+#: Bytes of text taken at once (their arrays take some 100 bytes each), and pieces of words whose ids a Python worker keeps (about 100 MB).
+TEXT_BYTES = 512 << 10
 KNOWN_PIECES = 1_000_000
 #: Classes of bytes in words that are cut here as the tokenizer cuts them: letters (ASCII, and U+00C0 to U+024F in two
 #: bytes), digits, other ASCII.
@@ -202,25 +202,26 @@ def piece_table(docs: DataFrame, path: str, capacity: int, min_cut: int, end_id:
             _TOKENIZERS[path] = WordTokenizer(path)
         piece = TaskContext.get().partitionId() << 40
         for b in batches:
-            texts = Texts.of(b.column("text"))
-            row, start, length, crc, total, kept = [], [], [], [], [], []
-            for d, ids in ((i + d, ids) for i, _, t in texts.slices(TEXT_BYTES) for d, ids in token_ids(t, _TOKENIZERS[path], end_id)):
-                raw, at = ids.astype("<u4").tobytes(), 0
-                for n in cut_lengths(len(ids), capacity, min_cut):
-                    row.append(d)
-                    start.append(at)
-                    length.append(n)
-                    crc.append(zlib.crc32(raw[4 * at:4 * (at + n)]))
-                    total.append(len(ids))
-                    if with_ids:
-                        kept.append(raw[4 * at:4 * (at + n)])
-                    at += n
-            out = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(np.arange(piece, piece + len(row)))]
-            piece += len(row)
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece"]
-            if with_ids:
-                out, names = [*out, pa.array(kept, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            # a slice of the texts at once: neither their arrays nor their ids gather for a whole batch
+            for first, _, texts in Texts.of(b.column("text")).slices(TEXT_BYTES):
+                row, start, length, crc, total, kept = [], [], [], [], [], []
+                for d, ids in token_ids(texts, _TOKENIZERS[path], end_id):
+                    raw, at = ids.astype("<u4").tobytes(), 0
+                    for n in cut_lengths(len(ids), capacity, min_cut):
+                        row.append(first + d)
+                        start.append(at)
+                        length.append(n)
+                        crc.append(zlib.crc32(raw[4 * at:4 * (at + n)]))
+                        total.append(len(ids))
+                        if with_ids:
+                            kept.append(raw[4 * at:4 * (at + n)])
+                        at += n
+                out = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(np.arange(piece, piece + len(row)))]
+                piece += len(row)
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece"]
+                if with_ids:
+                    out, names = [*out, pa.array(kept, pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, piece long" + ", ids binary" * with_ids
