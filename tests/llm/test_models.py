@@ -112,7 +112,7 @@ def test_windows_cover_all_words():
     for d in range(len(texts)):
         want = set(w.at[first[d]:first[d] + n[d]].tolist())
         assert set(ids[doc == d][real[doc == d]].tolist()) == want
-    assert (doc == 5).sum() == 1 + -(-(1000 - 32) // 24)
+    assert (doc == 5).sum() == 1 + -(-(1000 - 32) // 16)
 
 
 def test_gradient():
