@@ -211,3 +211,23 @@ def test_near_duplicates_keep_unique_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = corpus_pipeline.near_duplicates(spark, df, "")
     assert Counter(map(tuple, got.collect())) == Counter([(1, a), (5, b), (5, c), (8, ""), (8, None), (None, a), (None, a)])
+
+
+def test_pieces_leave_by_slices_of_text(monkeypatch):
+    """A Python worker holds the pieces of some texts, not of a whole Arrow batch."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    kind = SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))
+    docs = SimpleNamespace(schema={"doc_id": kind}, select=lambda *c: docs, mapInArrow=lambda f, schema: f)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "TEXT_BYTES", 4000)
+    texts = [f"word{i} and others " * 100 for i in range(30)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(32), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(packing.piece_table(docs, packing.vocabulary_path(), 2048, 128, 1, True)(iter([batch])))
+    assert len(out) >= 10 and max(len(set(b.column("doc_id").to_pylist())) for b in out) <= 4
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["piece"] for r in rows] == list(range(len(rows)))
+    assert sorted({r["doc_id"] for r in rows}) == list(range(32))
+    assert all(sum(r["length"] for r in rows if r["doc_id"] == d) == next(r["doc_tokens"] for r in rows if r["doc_id"] == d) for d in range(32))
