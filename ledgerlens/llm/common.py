@@ -5,10 +5,7 @@ workers, connected components over an edge table.
 
 from __future__ import annotations
 
-import io
-import os
 import uuid
-import zipfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.session import ensure_checkpoint_dir, own_scratch
+from ledgerlens.session import ship as ship
 
 #: Word separators of every operator here: space and the ASCII controls 9 to 13.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -58,30 +56,6 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return Stored(spark, df, tag).df
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give Python workers this package (once per application), through the shared folder."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for d, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(root)))
-    name = f"{shared_dir(spark)}/llm/package-{uuid.uuid4().hex}.zip"
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-    out.write(packed.getvalue())
-    out.close()
-    spark.sparkContext.addPyFile(name)
-    _SHIPPED.add(app)
-
-
 def without(df: DataFrame, *names: str) -> list[str]:
     """Columns of ``df`` but those that an operator is about to add (compared as Spark does, by any case)."""
     low = {n.lower() for n in names}
