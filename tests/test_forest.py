@@ -3,6 +3,7 @@
 import itertools
 import json
 import tempfile
+import threading
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import forest as FO
 from ledgerlens.operators import models as MD
 from ledgerlens.plans import q_models as Q
+from ledgerlens.session import scratch_path, scratch_scope, side_by_side
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +103,42 @@ def test_named_candidate_is_fitted_alone(spark, monkeypatch):
     out = Q.q_train_full_lr(spark, "/root/testdata/sf0.001")
     assert fitted == ["logistic_regression"]
     assert out.where(F.col("coefficient") != 0).count() > 20
+
+
+def test_node_splits_equal_histograms():
+    """Nodes of few, some and many rows: the cuts that the counts over all bins give, weights of three classes included."""
+    rng = np.random.default_rng(5)
+    size = np.array([1, 2, 3, 5, 8, 31, 32, 33, 200, FO.LARGE_NODE, 900, 2, 17])
+    n, first = int(size.sum()), np.cumsum(size) - size
+    x = rng.integers(0, 9, (n, 6)).astype(np.uint8)
+    x[:, 2], x[:, 3] = x[:, 2] > 6, 1
+    rows, own = rng.permutation(n), np.repeat(np.arange(len(size)), size)
+    times, drawn = rng.integers(1, 256, n).astype(np.uint8), FO.draw(rng, len(size), 6, 3)
+    for weights in (np.array([[0.6, 0.0], [0.0, 3.0]]), np.array([[0.6, 0.0], [0.0, 3.0], [0.5, 0.0]])):
+        code = rng.integers(0, len(weights), n).astype(np.uint8)
+        want = FO.best_splits(FO.histogram(x, rows, own, times, code, drawn, 9, len(weights)), weights)
+        got = FO.node_splits(x, np.ascontiguousarray(x.T), rows, first, size, times, code, drawn, weights, 9)
+        ok = want[2] > 0
+        assert ok.sum() > 8 and (got[2] == want[2]).all()
+        for a, b in zip(got, want, strict=True):
+            assert (a[ok] == b[ok]).all()
+
+
+def test_candidates_are_fitted_side_by_side(spark, monkeypatch):
+    """The fits of a role went one after the other."""
+    met = threading.Barrier(3, timeout=60)
+    monkeypatch.setattr(MD, "evaluate", lambda f, *a: (met.wait(), f.metrics.update(roc_auc={"random_forest": 0.9}.get(f.name, 0.5))))
+    make = MD.make_classifier
+    monkeypatch.setattr(MD, "make_classifier", lambda name, *a, **b: make("logistic_regression", *a, **b).setMaxIter(1))
+    train, test = Q._split(spark, "/root/testdata/sf0.001")
+    fits, best = MD.train_role(train, test, "cold")
+    assert list(fits) == MD.CANDIDATE_ORDER and best == "random_forest"
+
+
+def test_side_by_side(spark):
+    """Order, the open scratch scope and errors."""
+    with scratch_scope(spark) as scope:
+        assert side_by_side(spark, [lambda i=i: (scratch_path(spark, f"t{i}"), spark.range(i).count())[1] for i in (3, 1, 2)]) == [3, 1, 2]
+        assert len(scope.paths) == 3
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, [lambda: 1, lambda: 1 / 0])
