@@ -42,6 +42,8 @@ SEED = 5
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class Words:
@@ -49,23 +51,31 @@ class Words:
     occurrence its distinct word and text."""
 
     def __init__(self, texts: Texts):
-        t = texts.lower_ascii()
-        starts, ends, self.doc = t.spans(_WORD[t.data])
-        h = Texts.span_hash(t.prefix_hash(), starts, ends)
-        distinct, first, self.at = np.unique(h, return_index=True, return_inverse=True)
+        found = []
+        for i, _, t in texts.slices():          # 8 bytes per text byte for a slice at a time
+            t = t.lower_ascii()
+            starts, ends, doc = t.spans(_WORD[t.data])
+            found.append((starts + texts.offsets[i], (ends - starts).astype(np.int32), doc + i, Texts.span_hash(t.prefix_hash(), starts, ends)))
+        starts, lengths, self.doc, h = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, k) for k in (np.int64, np.int32, np.int64, np.uint64))
+        del found
+        distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
+        del h
+        self.at = at.astype(np.int32)
         self.word = (distinct >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        a, size = starts[first], (ends - starts)[first]
+        a, size = starts[first], lengths[first].astype(np.int64)
         # 3-byte strings around each byte of a word, 0 outside the word
         self.owner = np.repeat(np.arange(len(size)), size)
         stop = np.cumsum(size)
         k = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size, size)
         pos = np.repeat(a, size) + k
-        data = np.concatenate((t.data, [0])).astype(np.uint32)
-        left = np.where(k > 0, data[pos - 1], 0)
-        right = np.where(k + 1 < np.repeat(size, size), data[pos + 1], 0)
-        mixed = ((left * np.uint32(0x9E3779B1) + data[pos]) * np.uint32(0x85EBCA77) + right) * np.uint32(0xC2B2AE3D)
+        # only the distinct words' bytes, side by side
+        data = np.append(_LOWER[texts.data[pos]].astype(np.uint32), np.uint32(0))
+        near = np.arange(len(pos))
+        left = np.where(k > 0, data[near - 1], 0)
+        right = np.where(k + 1 < np.repeat(size, size), data[near + 1], 0)
+        mixed = ((left * np.uint32(0x9E3779B1) + data[:-1]) * np.uint32(0x85EBCA77) + right) * np.uint32(0xC2B2AE3D)
         self.char = (mixed >> np.uint32(32 - CHAR_BITS)).astype(np.int64)
-        self.size, self.n_texts = size, t.n
+        self.size, self.n_texts = size, texts.n
 
     def subset(self, ids: np.ndarray) -> tuple[Words, np.ndarray]:
         """The distinct words among ``ids`` alone, and ``ids`` numbered among them."""
@@ -83,11 +93,11 @@ class Words:
         per = np.where(n > 0, np.maximum(-(-(n - WINDOW) // STRIDE), 0) + 1, 0)
         doc = np.repeat(np.arange(self.n_texts), per)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-        begin = np.minimum(nth * STRIDE, np.maximum(n[doc] - WINDOW, 0))
-        place = begin[:, None] + np.arange(WINDOW)
+        begin = np.minimum(nth * STRIDE, np.maximum(n[doc] - WINDOW, 0)).astype(np.int32)
+        place = begin[:, None] + np.arange(WINDOW, dtype=np.int32)
         real = place < n[doc][:, None]
-        first = np.cumsum(n) - n
-        ids = self.at[np.minimum(first[doc][:, None] + place, max(len(self.at) - 1, 0))] if len(doc) else np.zeros((0, WINDOW), np.int64)
+        place += (np.cumsum(n) - n)[doc].astype(np.int32)[:, None]
+        ids = self.at[np.minimum(place, max(len(self.at) - 1, 0), out=place)] if len(doc) else np.zeros((0, WINDOW), np.int32)
         return np.where(real, ids, 0), real, doc
 
 

@@ -1,6 +1,7 @@
 """Quality rules, quality classifier, toxicity: brute force and held-out accuracy."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -244,3 +245,25 @@ def test_quality_rules_bounded_sample(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     quality_rules.fit(spark, spark.createDataFrame(rows, "doc_id long, text string"), labels, max_labelled=10)
     assert len(seen) == 2 and 0 < sum(seen) <= 40
+
+
+def test_words_memory():
+    """Words of many slices: the same as of one, and 8 bytes per text byte for one slice at a time (39 times the texts before)."""
+    g = np.random.default_rng(1)
+    vocab = ["".join(chr(97 + c) for c in g.integers(0, 26, g.integers(1, 9))) + "É" * (k % 50 == 0) for k in range(5000)]
+    texts = Texts.of(pa.array([" ".join(vocab[k] for k in g.integers(0, 5000, 32)).title() for _ in range(20_000)] + [None, "", "x"]))
+    tracemalloc.start()
+    try:
+        w = toxicity.Words(texts)
+        ids, real, doc = w.windows()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(texts.data) > 2 << 20 and peak < 25 * len(texts.data)
+    for i in (0, 9_999, 19_999, 20_002):
+        alone = toxicity.Words(Texts(texts.data[texts.offsets[i]:texts.offsets[i + 1]], texts.offsets[i:i + 2] - texts.offsets[i]))
+        one, there, _ = alone.windows()
+        row = np.flatnonzero(doc == i)[0]
+        assert (real[row] == there[0]).all()
+        a, b = w.subset(ids[row][real[row]])[0], alone.subset(one[0][there[0]])[0]
+        assert (a.word == b.word).all() and (a.char == b.char).all() and (a.size == b.size).all()
