@@ -4,6 +4,7 @@ import itertools
 import json
 import tempfile
 import threading
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -142,3 +143,33 @@ def test_side_by_side(spark):
         assert len(scope.paths) == 3
     with pytest.raises(ZeroDivisionError):
         side_by_side(spark, [lambda: 1, lambda: 1 / 0])
+
+
+def test_nodes_are_split_in_steps_of_bounded_memory():
+    """All small nodes of a level went through numpy at once, in temporary arrays that left the core's cache."""
+    rng = np.random.default_rng(6)
+    size = rng.integers(2, 33, 40_000)
+    n, first = int(size.sum()), np.cumsum(size) - size
+    x, code, times = rng.integers(0, 20, (n, 30)).astype(np.uint8), rng.integers(0, 2, n).astype(np.uint8), np.ones(n, dtype=np.uint8)
+    drawn, rows = FO.draw(rng, len(size), 30, 6), np.arange(n)
+    tracemalloc.start()
+    try:
+        FO.node_splits(x, None, rows, first, size, times, code, drawn, np.eye(2), 20)
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_walk_ends_where_a_row_by_row_walk_does():
+    """Trees of every shape: a leaf alone, open top nodes, deeper than a step of levels; more rows than a step."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 256, (FO.STEP_VALUES + 50, 5)).astype(np.uint8)
+    chain = np.array([4, *[-1, 2] * 11, -1, -1])                # every right child is split again
+    for feature in (np.array([-1]), np.array([-2]), np.array([0, -3, 3, -2, -1]), chain):
+        cut, left = rng.integers(0, 255, len(feature)), np.where(feature >= 0, FO.left_children(feature), 0)
+        end = FO.walk(x, feature, cut, left)
+        for i in [*range(200), len(x) - 1]:
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + (x[i, feature[node]] > cut[node])
+            assert end[i] == node
