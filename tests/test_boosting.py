@@ -110,3 +110,33 @@ def test_nothing_to_split(spark):
     assert abs(p - 0.25) < 0.01 and m.getNumTrees == 30 and m.featureImportances.toArray().tolist() == [0, 0]
     with pytest.raises(Exception, match="labels 0 and 1"):
         BO.TableBoosted(labelCol="y", maxIter=2).fit(_table(spark, np.ones((4, 2)), np.array([0, 1, 2, 1])))
+
+
+def test_smaller_children_are_counted(rows, monkeypatch):
+    """Both children of every split went through all features; the larger one's sums are the parent's less the smaller one's."""
+    asked, level = [], BO._level
+    monkeypatch.setattr(BO, "_level", lambda blocks, first, columns, feature, cut, nodes: asked.append((len(feature), len(nodes))) or level(blocks, first, columns, feature, cut, nodes))
+    m = BO.TableBoosted(labelCol="y", maxIter=2).fit(rows)
+    starts = [i for i, (n, _) in enumerate(asked) if n == 1]
+    assert len(starts) == 2 and all(asked[i + 1][1] == 1 for i in starts)
+    assert all(n <= 2 ** max(0, (i - max(s for s in starts if s <= i)) - 1) for i, (_, n) in enumerate(asked))
+    assert m.getNumTrees == 2
+
+
+def test_joint_codes_and_steps(monkeypatch):
+    """Features that share a column, more rows than a step: the sums, and the node that a row ends at, feature by feature."""
+    monkeypatch.setattr(BO, "STEP_VALUES", 70)
+    rng = np.random.default_rng(2)
+    bins = [32, 1, 2, 31, 2, 7]
+    columns, x = BO._Columns(bins), np.stack([rng.integers(0, b, 300) for b in bins]).astype(np.uint8)
+    codes, values, node = columns.codes(x), rng.normal(size=300), rng.integers(0, 3, 300)
+    total = columns.none(3)
+    for r in BO._steps(300):
+        columns.add(total, codes, r, node[r], values[r])
+    out = columns.by_feature(total, 3)
+    for j, first, b in columns.slots:
+        for v in range(3):
+            assert out[0, v, first:first + b].tolist() == np.bincount(x[j, node == v], minlength=b).tolist()
+            assert np.allclose(out[1, v, first:first + b], np.bincount(x[j, node == v], weights=values[node == v], minlength=b))
+    feature, cut = np.array([3, 0, 5, -1, 2, -1, -1, -1, -1]), np.array([14, 9, 3, 0, 0, 0, 0, 0, 0])
+    assert (columns.walker(feature, cut)(codes, np.arange(300)) == BO.walked(x, feature, cut, 3)).all()
