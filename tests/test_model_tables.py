@@ -129,3 +129,29 @@ def test_one_hot_names_match_by_prefix(spark):
     assert {r["feature"] for r in imp.collect()} == {"city_tier_Tier-1", "city_tier_Tier-2", "util_avg_3m"}
     shares = {r["group"]: r["share"] for r in AU.importance_share(imp, AU.group_table(spark)).collect()}
     assert set(shares) == {"static", "behavioral"} and abs(sum(shares.values()) - 1) < 1e-12
+
+
+@pytest.mark.parametrize("name", ["gradient_boosting", "random_forest"])
+def test_walk_shuffles_no_vectors(spark, split, name):
+    """Hold-out rows x trees went through a shuffle with their vectors at every level."""
+    train, test = split
+    f = _small(with_class_weights(train.select(*MD.role_features("full"), S.LABEL), S.LABEL), name)
+    scored = f.model.transform(test.withColumn("k", F.struct(*KEYS))).select("k.*", "features", vector_to_array("probability")[1].alias("p"))
+    out = MT.tree_walk(scored, KEYS, MT.tree_nodes(spark, f, tempfile.mkdtemp(prefix="ll-nodes-", dir="/tmp")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1      # the sums by key
+    assert scored.join(out, KEYS).where(F.abs(F.col("p") - F.col("probability")) < 1e-9).count() == test.count()
+
+
+def test_stored_tree_without_an_end(tmp_path):
+    """A child that isn't stored, or no tree at all: no value. NaN goes right, as in the model."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    file = str(tmp_path / "t.parquet")
+    pq.write_table(pa.table({"node": pa.array([2, 0, 1], pa.int32()), "feature": pa.array([None, 1, None], pa.int32()), "threshold": [None, 0.5, None],
+                             "left_child": pa.array([2, 1, 1], pa.int32()), "right_child": pa.array([2, 2, 1], pa.int32()), "value": [0.75, None, None]}), file)
+    x = np.array([[9.0, 0.5], [9.0, 0.6], [9.0, np.nan]])
+    got = MT.stored_values(x, [f"file://{file}"], 3)
+    assert np.isnan(got[0]) and got[1:].tolist() == [0.75, 0.75]
+    assert np.isnan(MT.stored_values(x, [], 3)).all()
